@@ -142,6 +142,63 @@ class Tables:
     def brand_incidence(self) -> DataFrame:
         return self.lines.select("container_id", F.col("brand").alias("item_key")).distinct()
 
+    @cached_property
+    def brand_vocab(self) -> DataFrame:
+        """Brands numbered from 1 by falling container support (there are at most a few dozen)."""
+        counts = self.brand_incidence.groupBy("item_key").agg(F.count("*").alias("n_containers"))
+        return voc.assign_ids(counts).withColumn("rank", F.col("item_id") + 1)
+
+    @cached_property
+    def brand_names(self) -> list[str]:
+        """The bounded item list of the rule queries: every brand, best supported first."""
+        return [r["item_key"] for r in self.brand_vocab.orderBy("rank").collect()]
+
+    @cached_property
+    def rules(self) -> DataFrame:
+        """Six rules over brands chosen by support rank: (rule_id, clause_id, item_key)."""
+        k, r = F.col("rule_id"), F.col("rank")
+        clause = (
+            F.when((r == k) | (r == k + 6), 0)
+            .when(r == k + 12, 1)
+            .when((k % 2 == 0) & ((r == k + 3) | (r == k + 15)), 2)
+        )
+        return (
+            self.brand_vocab.select("item_key", "rank", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("rule_id"))
+            .select("rule_id", clause.alias("clause_id"), "item_key")
+            .where("clause_id IS NOT NULL")
+        )
+
+    @cached_property
+    def brand_elements(self) -> DataFrame:
+        return self.elements.drop("item_key").withColumn("item_key", F.col("brand"))
+
+    @cached_property
+    def spurious(self) -> DataFrame:
+        """Two competitors per rule: the brands ranked 20 and 21 places from the top."""
+        r = F.col("rank")
+        return (
+            self.brand_vocab.select("item_key", "rank", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("rule_id"))
+            .where((r == 20) | (r == 22))
+            .select("rule_id", F.when(r == 20, 0).otherwise(1).alias("ordinal"), "item_key")
+        )
+
+    @cached_property
+    def family(self) -> DataFrame:
+        return self.brand_vocab.where("rank = 24").select(
+            F.explode(F.sequence(F.lit(1), F.lit(6))).alias("rule_id"), "item_key"
+        )
+
+    @cached_property
+    def truth(self) -> DataFrame:
+        from incidex.operators import rules as rl
+
+        return rl.annotate(self.brand_elements, self.rules, self.spurious, self.family)
+
+    @cached_property
+    def score_cuts(self) -> list[tuple]:
+        """Range bounds of the element score, sampled from the scan itself."""
+        return skew.cut_points(self.raw("lineitem"), [F.col("l_extendedprice")])
+
     @cached_property
     def edges(self) -> DataFrame:
         """Neighbouring elements of a container, in both directions."""
@@ -228,6 +285,34 @@ SHARED_SQL: dict[str, str] = {
         JOIN vocab_ids USING (item_key) LEFT JOIN kept k USING (item_key)""",
     "incidence": "SELECT DISTINCT container_id, item_key FROM lines",
     "brand_incidence": "SELECT DISTINCT container_id, brand AS item_key FROM lines",
+    "brand_vocab": """SELECT item_key, count(*) AS n_containers,
+        row_number() OVER (ORDER BY count(*) DESC, item_key) AS rank FROM brand_incidence GROUP BY 1""",
+    "rules": """SELECT * FROM (SELECT rule_id, CASE WHEN rank IN (rule_id, rule_id + 6) THEN 0
+          WHEN rank = rule_id + 12 THEN 1
+          WHEN rule_id % 2 = 0 AND rank IN (rule_id + 3, rule_id + 15) THEN 2 END AS clause_id, item_key
+        FROM brand_vocab, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS rule_id)) WHERE clause_id IS NOT NULL""",
+    "fired_clauses": """SELECT rule_id, clause_id, container_id FROM brand_incidence JOIN rules USING (item_key)
+        JOIN (SELECT rule_id, clause_id, count(*) AS need FROM rules GROUP BY ALL) USING (rule_id, clause_id)
+        GROUP BY ALL HAVING count(*) = max(need)""",
+    "fired": "SELECT DISTINCT rule_id, container_id FROM fired_clauses",
+    "labelled": """SELECT r.rule_id, c.container_id, label, CASE WHEN f.rule_id IS NULL THEN 0 ELSE 1 END AS synth
+        FROM containers c, (SELECT DISTINCT rule_id FROM rules) r
+        LEFT JOIN fired f ON f.rule_id = r.rule_id AND f.container_id = c.container_id""",
+    "truth": """SELECT m.rule_id, e.container_id, e.element_id, m.kind, m.ordinal, e.brand AS item_key FROM elements e JOIN (
+        SELECT rule_id, container_id, item_key, 'clause' AS kind, clause_id AS ordinal
+          FROM fired_clauses JOIN rules USING (rule_id, clause_id)
+        UNION ALL SELECT DISTINCT rule_id, container_id, item_key, 'node', 0
+          FROM fired_clauses JOIN rules USING (rule_id, clause_id)
+        UNION ALL SELECT rule_id, container_id, item_key, 'spurious', CASE WHEN rank = 20 THEN 0 ELSE 1 END
+          FROM fired, brand_vocab WHERE rank IN (20, 22)
+        UNION ALL SELECT rule_id, container_id, item_key, 'family', 0 FROM fired, brand_vocab WHERE rank = 24) m
+        ON m.container_id = e.container_id AND m.item_key = e.brand""",
+    "cooc": """SELECT a.item_key AS a, b.item_key AS b, count(*) AS inter, any_value(va.n_containers) AS n_a,
+        any_value(vb.n_containers) AS n_b,
+        count(*) / (any_value(va.n_containers) + any_value(vb.n_containers) - count(*)) AS jaccard,
+        count(*) / any_value(va.n_containers) AS p_b_given_a, count(*) / any_value(vb.n_containers) AS p_a_given_b
+        FROM brand_incidence a JOIN brand_incidence b ON a.container_id = b.container_id AND a.item_key <> b.item_key
+        JOIN brand_vocab va ON va.item_key = a.item_key JOIN brand_vocab vb ON vb.item_key = b.item_key GROUP BY 1, 2""",
     "edges": """SELECT container_id, element_id - 1 AS src, element_id AS dst FROM elements WHERE element_id >= 2
         UNION ALL SELECT container_id, element_id, element_id - 1 FROM elements WHERE element_id >= 2""",
     "predictions": """SELECT container_id, item_key, p_full, p_full - v AS p_without FROM

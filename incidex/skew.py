@@ -163,20 +163,22 @@ def ladder(
 def average_rank(df: DataFrame, by: Sequence[str], x: str, out: str, cuts=None) -> DataFrame:
     """Adds the tie-averaged ascending rank (1-based) of ``x`` inside each group."""
     by = list(by)
-    steps = ladder(df, by, x, cuts=cuts).select(*by, x, (F.col("n_before") + (F.col("n") + 1) / 2).alias(out))
+    src = df.select(*by, F.col(x).alias("_x"))
+    rank = (F.col("n_before") + (F.col("n") + 1) / 2).alias(out)
+    steps = ladder(src, by, "_x", cuts=cuts).select(*by, F.col("_x").alias(x), rank)
     return df.join(steps, [*by, x], "left")
 
 
 def quantiles(df: DataFrame, by: Sequence[str], x: str, probs: dict[str, float], cuts=None) -> DataFrame:
     """Exact linearly interpolated quantiles: one row per group, one column per name."""
     by = list(by)
-    steps = ladder(df, by, x, cuts=cuts)
+    steps = ladder(df.select(*by, F.col(x).alias("_x")), by, "_x", cuts=cuts)
     aggs = []
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("n_total") - 1)
         for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             hit = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-            aggs.append(F.max(F.when(hit, F.col(x))).alias(f"_{name}_{side}"))
+            aggs.append(F.max(F.when(hit, F.col("_x"))).alias(f"_{name}_{side}"))
         aggs.append(F.max(pos - F.floor(pos)).alias(f"_{name}_f"))
     got = steps.groupBy(*by).agg(*aggs)
     return got.select(
@@ -190,22 +192,24 @@ def quantiles(df: DataFrame, by: Sequence[str], x: str, probs: dict[str, float],
     )
 
 
-def roc_auc(df: DataFrame, by: Sequence[str], y: str, x: str, out: str = "auc", cuts=None) -> DataFrame:
+def roc_auc(
+    df: DataFrame, by: Sequence[str], y: str, x: str, out: str = "auc", cuts=None, weight: str | None = None
+) -> DataFrame:
     """ROC-AUC per group (Mann-Whitney with ties); NULL when a class is missing."""
     by = list(by)
-    y1 = F.col(y).cast("long")
-    steps = ladder(df.where(F.col(y).isNotNull()), by, x, {"pos": F.sum(y1)}, cuts)
-    neg = F.col("n") - F.col("pos")
-    neg_before = F.col("n_before") - F.col("pos_before")
+    w = F.lit(1) if weight is None else F.col(weight)
+    sums = {"tot": F.sum("_w"), "pos": F.sum(F.when(F.col("_y").cast("int") == 1, F.col("_w")).otherwise(0))}
+    src = df.where(F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), w.alias("_w"))
+    steps = ladder(src, by, "_x", sums, cuts)
+    neg = F.col("tot") - F.col("pos")
+    neg_before = F.col("tot_before") - F.col("pos_before")
     got = steps.groupBy(*by).agg(
         F.sum(F.col("pos") * (neg_before + neg / 2)).alias("_u"),
         F.max("pos_total").alias("n_pos"),
-        F.max(F.col("n_total") - F.col("pos_total")).alias("n_neg"),
+        F.max(F.col("tot_total") - F.col("pos_total")).alias("n_neg"),
     )
     pairs = F.col("n_pos") * F.col("n_neg")
-    return got.select(
-        *by, "n_pos", "n_neg", F.when(pairs > 0, F.col("_u") / pairs).alias(out)
-    )
+    return got.select(*by, "n_pos", "n_neg", F.when(pairs > 0, F.col("_u") / pairs).alias(out))
 
 
 def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
