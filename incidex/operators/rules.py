@@ -554,4 +554,5 @@ def example_container(inc: DataFrame, rule_items: DataFrame, lo: int = 3, hi: in
 
 def composition(elements: DataFrame, kinds: Sequence[str]) -> DataFrame:
     """Element-type histogram of each container, one column per type."""
-    return elements.groupBy("container_id").pivot("kind", list(kinds)).agg(F.count(F.lit(1)))
+    wide = elements.groupBy("container_id").pivot("kind", list(kinds)).agg(F.count(F.lit(1)))
+    return wide.select("container_id", *[F.coalesce(k, F.lit(0)).alias(k) for k in kinds])

@@ -55,8 +55,6 @@ def build_vocab(parts: DataFrame, containers: DataFrame, min_sup: float = 0.01)
 
 def assign_ids(vocab: DataFrame, count: str = "n_containers") -> DataFrame:
     """Dense ids from 0 by falling count; the key breaks ties."""
-    if not skew.small_input(vocab):  # numbering reads the counts more than once: keep them
-        vocab = cut_lineage(vocab)
     return skew.number_rows(vocab, [], [-F.col(count), F.col("item_key")], "item_id", first=0)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from incidex import skew
 from incidex.operators import vocab as voc
+from incidex.session import cut_lineage
 
 PCT = 0.026  # support cutoff used by the bound queries
 SEED = "42"
@@ -146,7 +147,7 @@ class Tables:
     def brand_vocab(self) -> DataFrame:
         """Brands numbered from 1 by falling container support (there are at most a few dozen)."""
         counts = self.brand_incidence.groupBy("item_key").agg(F.count("*").alias("n_containers"))
-        return voc.assign_ids(counts).withColumn("rank", F.col("item_id") + 1)
+        return cut_lineage(voc.assign_ids(counts).withColumn("rank", F.col("item_id") + 1))
 
     @cached_property
     def brand_names(self) -> list[str]:
@@ -170,7 +171,9 @@ class Tables:
 
     @cached_property
     def brand_elements(self) -> DataFrame:
-        return self.elements.drop("item_key").withColumn("item_key", F.col("brand"))
+        """Numbered elements with the brand as item, stored once for the element-level queries."""
+        e = self.elements.select("container_id", "element_id", F.col("brand").alias("item_key"), "flag", "score_a", "score_b")
+        return cut_lineage(e)
 
     @cached_property
     def spurious(self) -> DataFrame:
@@ -192,7 +195,7 @@ class Tables:
     def truth(self) -> DataFrame:
         from incidex.operators import rules as rl
 
-        return rl.annotate(self.brand_elements, self.rules, self.spurious, self.family)
+        return cut_lineage(rl.annotate(self.brand_elements, self.rules, self.spurious, self.family))
 
     @cached_property
     def score_cuts(self) -> list[tuple]:

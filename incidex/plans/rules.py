@@ -405,7 +405,7 @@ KINDS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 @query("rul29_composition", "container_id:l " + " ".join(f"{k}:l" for k in KINDS),
-       "SELECT container_id, " + ", ".join(f"nullif(count(*) FILTER (kind = '{k}'), 0) AS {k}" for k in KINDS)
+       "SELECT container_id, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in KINDS)
        + " FROM lines GROUP BY 1")
 def _(t):
     return rl.composition(t.lines, KINDS)
@@ -428,7 +428,7 @@ def _(t):
 
     n = rl.fired_containers(t.brand_incidence, t.rules).groupBy("rule_id").agg(F.count("*").alias("n_fired"))
     table = rl.rule_text(t.rules).join(n, "rule_id")
-    return skew.number_rows(table, [], [F.desc("n_fired"), F.col("rule_id")], "rank", cuts=[])
+    return skew.number_rows(table, [], [-F.col("n_fired"), F.col("rule_id")], "rank", cuts=[])
 
 
 @query("rul32_extract_rules", "n_clauses:l rule:s n1:l pct1:d rank:l")

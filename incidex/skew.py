@@ -7,7 +7,9 @@ group holds a third of the data.  Windows then run inside (group, range), and th
 ranges of a group are linked by running totals over at most k summary rows.
 
 The cut points come from a bounded random sample: they decide only how evenly the
-work is spread, never a result.
+work is spread, never a result.  Unless a caller brings cut points of a stored column,
+the input is written out first: it is then computed once, and a float that comes out
+of an aggregation has the same bits in every pass.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from incidex.session import cut_lineage
+
 _RANGE = "_range"
 _ROWS_PER_CUT = 20
 
@@ -41,7 +45,7 @@ def small_input(df: DataFrame) -> bool:
         return False
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        total = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+        total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:  # no JVM plan at hand: take the general way
         return False
     return total < limit
@@ -93,7 +97,8 @@ def number_rows(
 ) -> DataFrame:
     """``row_number`` per group over a total order.  Keys in ``by`` must not be NULL."""
     by = list(by)
-    if cuts is None:
+    if cuts is None and not small_input(df):
+        df = cut_lineage(df)
         cuts = cut_points(df, order)
     if not cuts:
         w = Window.partitionBy(*by).orderBy(*order)
@@ -129,7 +134,8 @@ def ladder(
     names = list(measures)
     src = df.where(F.col(x).isNotNull())
     order = [F.col(x)]
-    if cuts is None:
+    if cuts is None and not small_input(src):
+        src = cut_lineage(src)
         cuts = cut_points(src, order)
     if not cuts:
         steps = src.groupBy(*by, x).agg(*[e.alias(m) for m, e in measures.items()])
@@ -160,12 +166,17 @@ def ladder(
     return out.drop(_RANGE, *[f"{m}_off" for m in names])
 
 
-def average_rank(df: DataFrame, by: Sequence[str], x: str, out: str, cuts=None) -> DataFrame:
-    """Adds the tie-averaged ascending rank (1-based) of ``x`` inside each group."""
+def average_rank(df: DataFrame, by: Sequence[str], x: str, out: str) -> DataFrame:
+    """Adds the tie-averaged ascending rank (1-based) of ``x`` inside each group; NULL for NULL."""
     by = list(by)
+    if small_input(df):
+        low = F.rank().over(Window.partitionBy(*by).orderBy(F.col(x).asc_nulls_last()))
+        ties = F.count("*").over(Window.partitionBy(*by, x))
+        return df.withColumn(out, F.when(F.col(x).isNotNull(), low + (ties - 1) / 2))
+    df = cut_lineage(df)
     src = df.select(*by, F.col(x).alias("_x"))
     rank = (F.col("n_before") + (F.col("n") + 1) / 2).alias(out)
-    steps = ladder(src, by, "_x", cuts=cuts).select(*by, F.col("_x").alias(x), rank)
+    steps = ladder(src, by, "_x", cuts=cut_points(src, [F.col("_x")])).select(*by, F.col("_x").alias(x), rank)
     return df.join(steps, [*by, x], "left")
 
 
