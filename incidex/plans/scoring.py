@@ -360,7 +360,7 @@ def _(t):
 
 def dnf_sql(scores: str) -> str:
     """Instance and global AUC per rule over a score table."""
-    return f"""SELECT rule_id, avg(inst) AS instance_auc, avg(whole_auc) AS whole_aucal_auc, count(inst) AS n_containers FROM
+    return f"""SELECT rule_id, avg(inst) AS instance_auc, avg(whole_auc) AS global_auc, count(inst) AS n_containers FROM
       (WITH sc AS (SELECT * FROM {scores}),
        fl AS (SELECT f.rule_id, f.container_id, s.element_id, s.score, CASE WHEN n.element_id IS NULL THEN 0 ELSE 1 END AS cause
          FROM (SELECT DISTINCT rule_id, container_id FROM truth WHERE kind = 'node') f JOIN sc s USING (container_id)
