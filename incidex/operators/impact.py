@@ -204,7 +204,7 @@ def pack(pooled: DataFrame, by: Sequence[str], parts: Sequence[str]) -> DataFram
     """Pooled dimensions back into one array per part: the chosen figures one after another."""
     cells = F.array_sort(F.collect_list(F.struct("dim", *parts)))
     one = pooled.groupBy(*by).agg(cells.alias("c"))  # a vector has a fixed length
-    return one.select(*by, F.concat(*[F.transform("c", lambda s, p=p: s[p]) for p in parts]).alias("vector"))
+    return one.select(*by, F.concat(*[F.col("c").getField(p) for p in parts]).alias("vector"))
 
 
 def size_weights(elements: DataFrame, by: Sequence[str], unknown: Column) -> DataFrame:
