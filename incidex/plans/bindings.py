@@ -249,6 +249,31 @@ class Tables:
         names = n.select("n_nationkey", F.col("n_name").alias("dataset"))
         return cell.join(names, cell.c_nationkey == names.n_nationkey).drop("n_nationkey", "c_nationkey")
 
+    @cached_property
+    def run_fields(self) -> DataFrame:
+        """Runs with the recorded fields of a run summary (variant, tier, flags, directory)."""
+        n, fam = F.col("n_rows"), F.lower(F.substring("family", 3, 20))
+        fam = F.regexp_replace(fam, " ", "_")
+        variant = F.concat(
+            F.lit("v"),
+            F.substring("family", 1, 1),
+            F.when(n % 2 == 1, "_filter").otherwise(""),
+            F.when(n % 3 == 0, F.when(n % 2 == 0, "_relabelled_easy").otherwise("_relabelled")).otherwise(""),
+        )
+        tier = F.when(n % 4 == 0, "easy").when(n % 4 == 1, "dnf_k2_r1").when(n % 4 == 2, "odd")
+        return self.runs.select(
+            "dataset", "backbone", "fold", "n_rows", "auc", "mae", "pearson_mean", "pearson_max", "gt_roc",
+            fam.alias("family"),
+            variant.alias("vocab_variant"),
+            tier.alias("gt_tier"),
+            F.when(n % 3 == 0, "true").when(n % 3 == 1, "no").otherwise("1").alias("use_gt"),
+            (n % 2 == 0).alias("w_feat"),
+            (n % 3 == 0).alias("w_message"),
+            F.lit(None).cast("boolean").alias("w_readout"),
+            F.concat_ws("/", F.lit("runs"), fam, F.col("dataset"), F.concat(F.lit("fold"), F.col("fold").cast("string")), variant,
+                        F.concat(F.lit("bb-"), F.col("backbone"), F.lit("_enc-onehot"))).alias("exp_dir"),
+        )
+
     @cached_property
     def tokens(self) -> DataFrame:
         """Lower-case letter runs of whole documents: (doc_id, pos, token)."""
@@ -326,6 +351,14 @@ SHARED_SQL: dict[str, str] = {
         avg(o_totalprice) / 1e5 AS mae, avg(c_acctbal) / 1e4 AS pearson_mean,
         avg(o_totalprice % 1000) / 1000 AS pearson_max, avg(o_totalprice % 100) / 100 AS gt_roc
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""",
+    "run_fields": """SELECT *, 'runs/' || family || '/' || dataset || '/fold' || fold || '/' || vocab_variant || '/bb-' || backbone || '_enc-onehot' AS exp_dir
+        FROM (SELECT dataset, backbone, fold, n_rows, auc, mae, pearson_mean, pearson_max, gt_roc,
+        replace(lower(substr(family, 3)), ' ', '_') AS family,
+        'v' || substr(family, 1, 1) || CASE WHEN n_rows % 2 = 1 THEN '_filter' ELSE '' END
+          || CASE WHEN n_rows % 3 <> 0 THEN '' WHEN n_rows % 2 = 0 THEN '_relabelled_easy' ELSE '_relabelled' END AS vocab_variant,
+        CASE n_rows % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'dnf_k2_r1' WHEN 2 THEN 'odd' END AS gt_tier,
+        CASE n_rows % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'no' ELSE '1' END AS use_gt,
+        n_rows % 2 = 0 AS w_feat, n_rows % 3 = 0 AS w_message, CAST(NULL AS BOOLEAN) AS w_readout FROM runs)""",
     "tokens": """SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM
         (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS i FROM
           (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z]+') AS w FROM documents))
