@@ -150,7 +150,7 @@ def _(t):
           s AS (SELECT kind AS run, method, brand, avg(CASE method WHEN 'a' THEN score_a WHEN 'b' THEN score_b WHEN 'part' THEN score_c ELSE 1 END) AS score
             FROM l, m GROUP BY ALL)
           SELECT run, method, CASE WHEN method = 'part' THEN 'PARTIAL' WHEN count(DISTINCT round(score, 12)) <= 1 THEN 'DEGENERATE' ELSE 'VALID' END AS state,
-            CASE WHEN method = 'part' THEN 'files absent' WHEN count(DISTINCT round(score, 12)) <= 1 THEN 'constant score' ELSE '' END AS reason FROM s GROUP BY ALL""")
+            CASE WHEN method = 'part' THEN 'files absent' WHEN count(DISTINCT round(score, 12)) <= 1 THEN 'constant score' ELSE '' END AS reason FROM s GROUP BY run, method""")
 def _(t):
     score = {"a": "score_a", "b": "score_b", "part": "score_c"}
     cols = [F.struct(F.lit(m).alias("method"), F.col(c).alias("score")) for m, c in score.items()]
