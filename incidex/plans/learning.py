@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from incidex.operators import graph
 from incidex.operators import learn as ln
-from incidex.operators import rules as rl
 from incidex.plans.registry import query
 
 BITS = "log2(20)"
@@ -260,15 +259,6 @@ def _(t):
     return ln.apply_rulebook(_trees(t), book).groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("lrn18_krimp", "code:s bits:d")
-def _(t):
-    n = t.containers.count()
-    pool = rl.itemsets(t.brand_incidence, max(2, round(0.0215 * n))).where(F.size("items") >= 2).collect()  # frequent sets of a bounded item list
-    codes, curve = ln.krimp(_baskets(t), [(r["items"], r["n"]) for r in pool])
-    rows = [(" & ".join(c), curve[-1]) for c in codes]
-    return t.spark.createDataFrame(rows, "code string, bits double")
-
-
 @query("lrn19_greedy_cover", "code:s size:l c:l",
        """WITH top AS (SELECT item_key, rank FROM brand_vocab WHERE rank <= 4),
           b AS (SELECT container_id, max((rank = 1)::INT) AS r1, max((rank = 2)::INT) AS r2, max((rank = 3)::INT) AS r3, max((rank = 4)::INT) AS r4
