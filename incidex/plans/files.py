@@ -103,8 +103,8 @@ def _(t):
 @query("src12_read_scores", "container_id:l method:s n:l total:d",
        "SELECT container_id, 'price' AS method, count(*) AS n, sum(score_b) AS total FROM lines GROUP BY 1")
 def _(t):
-    # one array per (container, item): a saved attribution file holds one array per container
-    arr = t.lines.groupBy("container_id", "part_id").agg(F.collect_list("score_b").alias("v"))
+    # short arrays, so that no container has to be gathered in one place
+    arr = t.lines.select("container_id", F.array("score_b").alias("v"))
     js = F.to_json(F.create_map(F.lit("price"), F.create_map(F.col("container_id").cast("string"), F.col("v"))))
     s = rd.read_scores(arr.select(js.alias("js")), [], "js")
     return s.groupBy("container_id", "method").agg(F.count("*").alias("n"), F.sum("score").alias("total"))

@@ -63,10 +63,12 @@ def flatten_summary(df: DataFrame) -> DataFrame:
 
 def harvest(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """found = harvested + skipped (rows that are no valid JSON)."""
-    df = spark.read.option("recursiveFileLookup", "true").option("mode", "PERMISSIVE").schema(schema + ", _corrupt_record string").json(root)
-    bad = F.col("_corrupt_record").isNotNull()
-    keep = df.select("*", bad.alias("_bad"))
-    return keep.agg(F.count("*").alias("found"), F.sum((~F.col("_bad")).cast("long")).alias("harvested"), F.sum(F.col("_bad").cast("long")).alias("skipped"))
+    lines = spark.read.option("recursiveFileLookup", "true").text(root)
+    parsed = lines.select(F.from_json("value", schema + ", _corrupt_record string").alias("j"))
+    bad = F.col("j").isNull() | F.col("j._corrupt_record").isNotNull()
+    return parsed.agg(
+        F.count("*").alias("found"), F.sum((~bad).cast("long")).alias("harvested"), F.sum(bad.cast("long")).alias("skipped")
+    )
 
 
 def metrics_wide(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
