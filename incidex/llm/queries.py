@@ -6,21 +6,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidex.llm.common import table
+from incidex.llm import brownlm
+from incidex.llm.common import id_crc, table
 from incidex.llm.decisionlist import COUNTS, judge
+from incidex.llm.jaccard import similar_classes
 from incidex.llm.linededup import line_dedup
 from incidex.llm.tokenfile import read_shards, write_shards
+from incidex.llm.toxicity import score, train
 from incidex.llm.warc import read_archives, write_archives
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 
 
+def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(id_crc("doc_id") % 5 == 0, F.lit(False))
+    model = train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"), min_chars=10)
     return out.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(id_crc("doc_id") % 7 == 2, F.lit(False))
+    model = brownlm.train(docs.where(~held_out))
+    scored = brownlm.score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op6_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similar_classes(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
     return read_shards(shards).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
@@ -38,6 +60,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op4_line_dedup, op7_token_shards, op8_decision_list, op10_warc)
+    for f in (op1_toxicity_fm, op4_line_dedup, op5_brown_lm, op6_token_group_join, op7_token_shards, op8_decision_list, op10_warc)
 }
 ORACLES: dict[str, str] = {}
