@@ -1,7 +1,7 @@
 """Token-id shards with a minimal perfect hash index.
 
-A shard file holds, in order: the magic, all ids as little-endian unsigned 32-bit integers, and an index:
-per document its length; the levels of a minimal perfect hash over the document keys; for each hash slot a
+A shard file holds, in order: the magic, all ids as little-endian unsigned integers (16 bits where the whole vocabulary
+fits, else 32), and an index: per document its length; the levels of a minimal perfect hash over the document keys; for each hash slot a
 32-bit fingerprint and the document's number in the shard; the keys; and a trailer with the sizes.  A
 lookup hashes the key through the levels, takes the slot's rank, compares the stored fingerprint and goes
 to the offset: constant time, no search.
@@ -20,6 +20,7 @@ and no rows; further columns are not read.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,36 +34,59 @@ from pyspark.sql import functions as F
 from incidex.llm.common import file_system, mix64, one_row_each, record_batches, shared_folder, slices
 from incidex.session import cut_lineage
 
-MAGIC = b"TIDSHRD1"
+MAGIC = b"TIDSHRD2"
 GAMMA = 2
 _NULL_KEY = -(1 << 63)
+_MARKS = ".,;:!?%$#*&"
 _MEMO = 400_000  # words kept per task; a full memo is emptied, results do not change
 
 
 class WordEncoder:
-    """Encodes texts by encoding each distinct white-space-free piece once.
+    """Encodes texts by encoding each distinct piece between spaces once.
 
-    Right for tokenizers that drop white space and never merge across it.
+    Right for tokenizers that drop white space and never merge across it, lower-case letter by letter, and
+    part a run of letters from the marks after it: ``Word,`` is ``word`` and ``,``.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task per core
         self._tokenizer = Tokenizer.from_file(path)
         self._memo: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian ids of a text."""
-        words = text.replace("\n", " ").split(" ")
+    def width(self, *more: int) -> int:
+        """Bytes of an id."""
+        return 2 if max(self._tokenizer.get_vocab_size() - 1, *more) < 1 << 16 else 4
+
+    @staticmethod
+    def _parts(piece: str) -> tuple[str, str]:
+        """The piece without closing marks and in lower case, where that changes no id; and the marks."""
+        core = piece.rstrip(_MARKS)
+        mark = piece[len(core) :]
+        if not core.isalpha():
+            return piece, ""
+        return (core if core.islower() or "\u03a3" in core or "\u0130" in core else core.lower()), mark
+
+    def _learn(self, pieces: set[str], width: int) -> None:
         memo = self._memo
-        fresh = [w for w in set(words) if w not in memo]
-        if fresh:
-            if len(memo) > _MEMO:
-                memo.clear()
-                fresh = list(set(words))
-            for w, e in zip(fresh, self._tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(memo.__getitem__, words))
+        parts = {p: self._parts(p) for p in pieces}
+        cores = list({x for pair in parts.values() for x in pair if x not in memo})
+        for core, e in zip(cores, self._tokenizer.encode_batch_fast(cores, add_special_tokens=False)):
+            memo[core] = np.array(e.ids, f"<u{width}").tobytes()
+        for piece, (core, mark) in parts.items():
+            memo[piece] = memo[core] + memo[mark]
+
+    def ids(self, text: str, width: int = 4) -> bytes:
+        """Little-endian ids of a text; one width to an encoder."""
+        pieces, memo = text.replace("\n", " ").split(" "), self._memo
+        if len(memo) > _MEMO:
+            memo.clear()
+        try:
+            return b"".join(map(memo.__getitem__, pieces))
+        except KeyError:
+            self._learn({p for p in pieces if p not in memo}, width)
+            return b"".join(map(memo.__getitem__, pieces))
 
 
 def _levels(keys: np.ndarray) -> list[np.ndarray]:
@@ -109,7 +133,7 @@ def _ordinals(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def index_bytes(keys: np.ndarray, lengths: np.ndarray) -> bytes:
+def index_bytes(keys: np.ndarray, lengths: np.ndarray, width: int) -> bytes:
     hashed = _hash_keys(keys, _ordinals(keys))
     tables = _levels(hashed)
     slot = _slots(tables, hashed)
@@ -118,7 +142,7 @@ def index_bytes(keys: np.ndarray, lengths: np.ndarray) -> bytes:
     sizes = np.array([len(t) for t in tables], "<u8")
     bits = b"".join(np.packbits(t).tobytes() for t in tables)
     parts = [lengths.astype("<u8").tobytes(), sizes.tobytes(), bits, prints.tobytes(), numbers.tobytes(), keys.astype("<i8").tobytes()]
-    return b"".join(parts) + struct.pack("<QQQ", len(keys), len(tables), len(bits)) + MAGIC
+    return b"".join(parts) + struct.pack("<QQQQ", width, len(keys), len(tables), len(bits)) + MAGIC
 
 
 class Shard:
@@ -128,11 +152,11 @@ class Shard:
         system, path = file_system(uri)
         self._file = system.open_input_file(path)
         size = self._file.size()
-        n, levels, n_bits = struct.unpack("<QQQ", self._file.read_at(32, size - 32)[:24])
+        self.width, n, levels, n_bits = struct.unpack("<QQQQ", self._file.read_at(32, size - 40))
         if self._file.read_at(8, 0) != MAGIC or self._file.read_at(8, size - 8) != MAGIC:
             raise ValueError(f"{uri} is not a token shard")
         index_size = 8 * n + 8 * levels + n_bits + 4 * n + 4 * n + 8 * n
-        raw = self._file.read_at(index_size, size - 32 - index_size)
+        raw = self._file.read_at(index_size, size - 40 - index_size)
         at = 0
 
         def take(kind: str, count: int) -> np.ndarray:
@@ -157,8 +181,9 @@ class Shard:
         return np.where(good, self._numbers[np.maximum(slot, 0)].astype(np.int64), -1)
 
     def payload(self, number: int) -> bytes:
-        """The raw ids of one document."""
-        return self._file.read_at(int(self.lengths[number]) * 4, 8 + int(self.starts[number]) * 4)
+        """The ids of one document as unsigned 32-bit integers."""
+        raw = self._file.read_at(int(self.lengths[number]) * self.width, 8 + int(self.starts[number]) * self.width)
+        return raw if self.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", order: list | None = None) -> DataFrame:
@@ -174,7 +199,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_i
         task, encoder = TaskContext.get(), WordEncoder(tokenizer)
         uri = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.tid"
         system, path = file_system(uri)
-        end, out, keys, lengths = struct.pack("<I", end_id), None, [], []
+        width = encoder.width(end_id)
+        end, out, keys, lengths = end_id.to_bytes(width, "little"), None, [], []
         for batch in batches:
             for part in slices(batch, 256):
                 keys.append(np.array([_NULL_KEY if k is None else k for k in part.column("key").to_pylist()], np.int64))
@@ -182,11 +208,11 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_i
                     if out is None:
                         out = system.open_output_stream(path, compression=None)
                         out.write(MAGIC)
-                    ids = (encoder.ids(body) if body else b"") + end
+                    ids = (encoder.ids(body, width) if body else b"") + end
                     out.write(ids)
-                    lengths.append(len(ids) // 4)
+                    lengths.append(len(ids) // width)
         if out is not None:
-            out.write(index_bytes(np.concatenate(keys), np.array(lengths, np.int64)))
+            out.write(index_bytes(np.concatenate(keys), np.array(lengths, np.int64), width))
             out.close()
             yield record_batches([("path", pa.string(), [uri]), ("shard", pa.int64(), [task.partitionId()]), ("n_docs", pa.int64(), [len(lengths)]), ("n_tokens", pa.int64(), [sum(lengths)])])
 
