@@ -174,7 +174,7 @@ def best_class(table: np.ndarray, own: int, after: np.ndarray, before: np.ndarra
     n[own, :] -= after
     n[:, own] -= before
     n[own, own] -= loop
-    rows, cols, diag = n.sum(1), n.sum(0), np.diagonal(n).copy()
+    rows, cols, diag = n.sum(1) + before, n.sum(0) + after, np.diagonal(n).copy()
     to_row = _phi(n + after[None, :]) - _phi(n)
     to_col = _phi(n + before[:, None]) - _phi(n)
     gain = to_row.sum(1) - np.diagonal(to_row) + to_col.sum(0) - np.diagonal(to_col)
