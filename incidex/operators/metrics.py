@@ -300,9 +300,9 @@ def edge_scores(edges: DataFrame, scores: DataFrame) -> DataFrame:
     ).drop("s", "d")
 
 
-def container_auc(scored: DataFrame, by: Sequence[str] = (), cuts=None) -> DataFrame:
+def container_auc(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """AUC of every container; ``scored(by, container_id, y, score)``."""
-    return skew.roc_auc(scored, [*by, "container_id"], "y", "score", cuts=cuts)
+    return skew.roc_auc(scored, [*by, "container_id"], "y", "score")
 
 
 def mean_auc(per: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -328,10 +328,10 @@ def _fired_elements(scores: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
-def dnf_auc(scores: DataFrame, truth: DataFrame, cuts=None) -> DataFrame:
+def dnf_auc(scores: DataFrame, truth: DataFrame) -> DataFrame:
     """Per (rule, container): best fired clause (other clauses left out) and union of fired clauses."""
     flagged = _fired_elements(scores, truth)
-    whole = skew.roc_auc(flagged, ["rule_id", "container_id"], "cause", "score", "global_auc", cuts)
+    whole = skew.roc_auc(flagged, ["rule_id", "container_id"], "cause", "score", "global_auc")
     clause = truth.where("kind = 'clause'").select("rule_id", "container_id", "element_id", F.col("ordinal").alias("clause_id"))
     keys = ["rule_id", "container_id", "element_id"]
     pos = clause.join(flagged, keys).select("rule_id", "container_id", "clause_id", "score", F.lit(1).alias("y"))
@@ -339,20 +339,20 @@ def dnf_auc(scores: DataFrame, truth: DataFrame, cuts=None) -> DataFrame:
     neg = flagged.where("cause = 0").join(fired, ["rule_id", "container_id"]).select(
         "rule_id", "container_id", "clause_id", "score", F.lit(0).alias("y")
     )
-    per = skew.roc_auc(pos.unionByName(neg), ["rule_id", "container_id", "clause_id"], "y", "score", cuts=cuts)
+    per = skew.roc_auc(pos.unionByName(neg), ["rule_id", "container_id", "clause_id"], "y", "score")
     best = per.groupBy("rule_id", "container_id").agg(F.max("auc").alias("instance_auc"))
     return whole.select("rule_id", "container_id", "global_auc").join(best, ["rule_id", "container_id"])
 
 
-def dnf_roc(scores: DataFrame, truth: DataFrame, cuts=None) -> DataFrame:
-    return dnf_auc(scores, truth, cuts).groupBy("rule_id").agg(
+def dnf_roc(scores: DataFrame, truth: DataFrame) -> DataFrame:
+    return dnf_auc(scores, truth).groupBy("rule_id").agg(
         F.avg("instance_auc").alias("instance_auc"),
         F.avg("global_auc").alias("global_auc"),
         F.count("instance_auc").alias("n_containers"),
     )
 
 
-def contrast(scores: DataFrame, truth: DataFrame, kind: str, cuts=None) -> DataFrame:
+def contrast(scores: DataFrame, truth: DataFrame, kind: str) -> DataFrame:
     """Competitor elements (positives) against the cause (negatives), mean over containers."""
     keys = ["rule_id", "container_id", "element_id"]
     cause = truth.where("kind = 'node'").select(*keys)
@@ -361,19 +361,19 @@ def contrast(scores: DataFrame, truth: DataFrame, kind: str, cuts=None) -> DataF
     neg = cause.join(groups, ["rule_id", "container_id"]).select(*keys, "ordinal", F.lit(0).alias("y"))
     rows = rival.select(*keys, "ordinal", F.lit(1).alias("y")).unionByName(neg)
     scored = rows.join(scores.select("container_id", "element_id", "score"), ["container_id", "element_id"])
-    per = skew.roc_auc(scored, ["rule_id", "ordinal", "container_id"], "y", "score", cuts=cuts)
+    per = skew.roc_auc(scored, ["rule_id", "ordinal", "container_id"], "y", "score")
     return per.groupBy("rule_id", "ordinal").agg(F.avg("auc").alias("auc_mean"), F.count("auc").alias("n_containers"))
 
 
-def truth_roc_all(scores: DataFrame, truth: DataFrame, cuts=None) -> DataFrame:
+def truth_roc_all(scores: DataFrame, truth: DataFrame) -> DataFrame:
     """Whole set per rule: node, instance, global, family and per-competitor AUC with their maximum."""
     flagged = _fired_elements(scores, truth)
-    node = mean_auc(skew.roc_auc(flagged, ["rule_id", "container_id"], "cause", "score", cuts=cuts), ["rule_id"])
-    fam = contrast(scores, truth, "family", cuts).select("rule_id", F.col("auc_mean").alias("family_auc"))
-    spur = contrast(scores, truth, "spurious", cuts).groupBy("rule_id").agg(
+    node = mean_auc(skew.roc_auc(flagged, ["rule_id", "container_id"], "cause", "score"), ["rule_id"])
+    fam = contrast(scores, truth, "family").select("rule_id", F.col("auc_mean").alias("family_auc"))
+    spur = contrast(scores, truth, "spurious").groupBy("rule_id").agg(
         F.max("auc_mean").alias("spurious_auc_max"), F.count("auc_mean").alias("n_spurious")
     )
-    dnf = dnf_roc(scores, truth, cuts)
+    dnf = dnf_roc(scores, truth)
     joined = node.select("rule_id", F.col("auc_mean").alias("node_auc"))
     for part in (dnf.drop("n_containers"), fam, spur):
         joined = joined.join(part, "rule_id", "left")
@@ -382,16 +382,16 @@ def truth_roc_all(scores: DataFrame, truth: DataFrame, cuts=None) -> DataFrame:
     )
 
 
-def truth_roc(scores: DataFrame, truth: DataFrame, unk_mode: str, cuts=None) -> DataFrame:
+def truth_roc(scores: DataFrame, truth: DataFrame, unk_mode: str) -> DataFrame:
     """DNF ROC with unknown elements as they are, set to 0 or 0.5, or left out."""
     if unk_mode == "exclude":
         known = scores.where("item_id >= 0")
-        return dnf_roc(known, truth, cuts)
+        return dnf_roc(known, truth)
     if unk_mode in ("zero", "half"):
-        return dnf_roc(fill_unknown(scores, 0.0 if unk_mode == "zero" else 0.5), truth, cuts)
+        return dnf_roc(fill_unknown(scores, 0.0 if unk_mode == "zero" else 0.5), truth)
     if unk_mode != "as_is":
         raise ValueError(f"unknown mode {unk_mode!r}")
-    return dnf_roc(scores, truth, cuts)
+    return dnf_roc(scores, truth)
 
 
 def require_element_scores(scores: DataFrame) -> DataFrame:

@@ -10,18 +10,10 @@ from pyspark.sql import functions as F
 from incidex import skew
 
 
-def hash_cuts(df: DataFrame) -> list[tuple]:
-    """Even range bounds of an md5 order; no sample is needed because hashes are uniform."""
-    if skew.small_input(df):
-        return []
-    k = skew.range_count(df.sparkSession)
-    return [(f"{(i << 16) // k:04x}",) for i in range(1, k)]
-
-
 def shuffled(df: DataFrame, by: Sequence[str], key: Column, seed: str, out: str = "draw") -> DataFrame:
     """1-based position of each row in its group's random order."""
     digest = F.md5(F.concat(F.lit(seed + "|"), key.cast("string")))
-    return skew.number_rows(df.withColumn("_h", digest), by, [F.col("_h"), key], out, cuts=hash_cuts(df)).drop("_h")
+    return skew.number_rows(df.withColumn("_h", digest), by, [F.col("_h"), key], out).drop("_h")
 
 
 def random_split(containers: DataFrame, seed: str, train: float = 0.8, valid: float = 0.1) -> DataFrame:

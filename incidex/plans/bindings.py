@@ -104,9 +104,7 @@ class Tables:
     def elements(self) -> DataFrame:
         """Lines numbered 1..n inside their container."""
         order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "score_a", "l_shipdate")]
-        base = self.raw("lineitem").select("l_linenumber", "l_partkey")
-        cuts = skew.cut_points(base, [F.col("l_linenumber"), F.col("l_partkey")])
-        return skew.number_rows(self.lines, ["container_id"], order, "element_id", cuts=cuts)
+        return skew.number_rows(self.lines, ["container_id"], order, "element_id")
 
     @cached_property
     def parts(self) -> DataFrame:
@@ -197,11 +195,6 @@ class Tables:
 
         return cut_lineage(rl.annotate(self.brand_elements, self.rules, self.spurious, self.family))
 
-    @cached_property
-    def score_cuts(self) -> list[tuple]:
-        """Range bounds of the element score, sampled from the scan itself."""
-        return skew.cut_points(self.raw("lineitem"), [F.col("l_extendedprice")])
-
     @cached_property
     def edges(self) -> DataFrame:
         """Neighbouring elements of a container, in both directions."""

@@ -95,4 +95,4 @@ def _(t):
           FROM (SELECT DISTINCT family FROM runs)""")
 def _(t):
     order = bn.preferred_order(F.col("family"), ["3-MEDIUM", "1-URGENT"])
-    return skew.number_rows(t.runs.select("family").distinct(), [], order, "position", cuts=[])
+    return skew.number_rows(t.runs.select("family").distinct(), [], order, "position")

@@ -366,7 +366,7 @@ def _(t):
            (SELECT pearson_u, spearman_u FROM ({correlation_sql(GROUPED_ROWS, 'split')}) WHERE split = 'test' AND unk = 'incl') c""")
 def _(t):
     corr = mt.grouped_correlations(grouped_rows(t).where("split = 'test'"), ["split"]).where("unk = 'incl'")
-    return mt.dnf_roc(node_scores(t), t.truth, t.score_cuts).select(
+    return mt.dnf_roc(node_scores(t), t.truth).select(
         "*", corr.select("pearson_u").scalar().alias("pearson_u"), corr.select("spearman_u").scalar().alias("spearman_u")
     )
 

@@ -428,7 +428,7 @@ def _(t):
 
     n = rl.fired_containers(t.brand_incidence, t.rules).groupBy("rule_id").agg(F.count("*").alias("n_fired"))
     table = rl.rule_text(t.rules).join(n, "rule_id")
-    return skew.number_rows(table, [], [-F.col("n_fired"), F.col("rule_id")], "rank", cuts=[])
+    return skew.number_rows(table, [], [-F.col("n_fired"), F.col("rule_id")], "rank")
 
 
 @query("rul32_extract_rules", "n_clauses:l rule:s n1:l pct1:d rank:l")

@@ -75,7 +75,7 @@ NODE_SCORES = NODE_SCORES.replace("JOIN brand_vocab ON item_key = brand", "JOIN
        auc_sql("SELECT brand, label, score_a FROM lines JOIN containers USING (container_id)", "brand", "label", "score_a"))
 def _(t):
     j = t.lines.select("container_id", "brand", "score_a").join(t.containers.select("container_id", "label"), "container_id")
-    return skew.roc_auc(j, ["brand"], "label", "score_a", cuts=t.score_cuts)
+    return skew.roc_auc(j, ["brand"], "label", "score_a")
 
 
 @query("met1_auc_discount", "kind:s n_pos:l n_neg:l auc:d",
@@ -329,7 +329,7 @@ def _flag_scored(t):
 
 @query("met25_container_auc", "container_id:l n_pos:l n_neg:l auc:d", auc_sql(FLAG_SCORED, "container_id", "y", "score"))
 def _(t):
-    return mt.container_auc(_flag_scored(t), cuts=t.score_cuts)
+    return mt.container_auc(_flag_scored(t))
 
 
 @query("met25_container_auc_edges", "container_id:l n_pos:l n_neg:l auc:d",
@@ -354,7 +354,7 @@ MEAN_AUC = """SELECT {by} avg(auc) AS auc_mean, stddev_pop(auc) AS auc_std, coun
 @query("met26_mean_auc", "split:s auc_mean:d auc_std:d n_scored:l n_degenerate:l",
        MEAN_AUC.format(by="split,", src=auc_sql(FLAG_SCORED, "container_id", "y", "score")) + " JOIN containers USING (container_id) GROUP BY 1")
 def _(t):
-    per = mt.container_auc(_flag_scored(t), cuts=t.score_cuts)
+    per = mt.container_auc(_flag_scored(t))
     return mt.mean_auc(per.join(t.containers.select("container_id", "split"), "container_id"), ["split"])
 
 
@@ -380,7 +380,7 @@ DNF_COLS = "rule_id:l instance_auc:d global_auc:d n_containers:l"
 
 @query("met27_dnf_roc", DNF_COLS, dnf_sql(NODE_SCORES))
 def _(t):
-    return mt.dnf_roc(node_scores(t), t.truth, t.score_cuts)
+    return mt.dnf_roc(node_scores(t), t.truth)
 
 
 def contrast_sql(kind: str) -> str:
@@ -398,7 +398,7 @@ def contrast_sql(kind: str) -> str:
 
 @query("met28_contrast", "rule_id:l ordinal:l auc_mean:d n_containers:l", contrast_sql("spurious"))
 def _(t):
-    return mt.contrast(node_scores(t), t.truth, "spurious", t.score_cuts)
+    return mt.contrast(node_scores(t), t.truth, "spurious")
 
 
 @query("met29_truth_roc_all",
@@ -408,12 +408,12 @@ def _(t):
            LEFT JOIN (SELECT rule_id, auc_mean AS family_auc FROM ({contrast_sql('family')})) USING (rule_id)
            LEFT JOIN (SELECT rule_id, max(auc_mean) AS spurious_auc_max, count(auc_mean) AS n_spurious FROM ({contrast_sql('spurious')}) GROUP BY 1) USING (rule_id)""")
 def _(t):
-    return mt.truth_roc_all(node_scores(t), t.truth, t.score_cuts)
+    return mt.truth_roc_all(node_scores(t), t.truth)
 
 
 @query("met30_masked_roc", DNF_COLS, dnf_sql(f"(SELECT * FROM {NODE_SCORES} WHERE item_id >= 0)"))
 def _(t):
-    return mt.truth_roc(node_scores(t), t.truth, "exclude", t.score_cuts)
+    return mt.truth_roc(node_scores(t), t.truth, "exclude")
 
 
 @query("met31_fill_unknown", "container_id:l element_id:l score:d",
@@ -442,10 +442,10 @@ def _(t):
 @query("met66_truth_roc_zero", DNF_COLS,
        dnf_sql(f"(SELECT * REPLACE (CASE WHEN item_id < 0 THEN 0.0::DOUBLE ELSE score END AS score) FROM {NODE_SCORES})"))
 def _(t):
-    return mt.truth_roc(mt.require_element_scores(node_scores(t)), t.truth, "zero", t.score_cuts)
+    return mt.truth_roc(mt.require_element_scores(node_scores(t)), t.truth, "zero")
 
 
 @query("met66_truth_roc_half", DNF_COLS,
        dnf_sql(f"(SELECT * REPLACE (CASE WHEN item_id < 0 THEN 0.5::DOUBLE ELSE score END AS score) FROM {NODE_SCORES})"))
 def _(t):
-    return mt.truth_roc(node_scores(t), t.truth, "half", t.score_cuts)
+    return mt.truth_roc(node_scores(t), t.truth, "half")

@@ -1,110 +1,40 @@
 """Ranking, numbering and quantiles that never put a whole group into one task.
 
 A plain ``Window.partitionBy(group).orderBy(x)`` sends all rows of a group to one
-task.  Here the ordering column is first cut into ranges.  A range holds about
-1/k of *all* rows, so (group, range) cannot hold more than that even when one
-group holds a third of the data.  Windows then run inside (group, range), and the
-ranges of a group are linked by running totals over at most k summary rows.
-
-The cut points come from a bounded random sample: they decide only how evenly the
-work is spread, never a result.  Unless a caller brings cut points of a stored column,
-the input is written out first: it is then computed once, and a float that comes out
-of an aggregation has the same bits in every pass.
+task.  Here rows are first dealt to ranges of the order by Spark's range partitioner, and the
+range is written down with the row.  A range holds about 1/k of *all* rows, so (group, range)
+cannot hold more than that even when one group holds a third of the data.  Windows then
+run inside (group, range), and the ranges of a group are linked by running totals over at
+most k summary rows.  k is ``spark.sql.shuffle.partitions``, as for any other exchange of the job.
+
+Ties are added up to one row per (group, value) before anything is dealt, so a value that
+most rows share is one row.  The dealt rows are stored: they are computed once, and a float that
+comes out of an aggregation has the same bits in every pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidex.session import cut_lineage
 
 _RANGE = "_range"
-_ROWS_PER_CUT = 20
+_HEAVY = 1000  # a value with more than 1/_HEAVY of all rows is joined by broadcast; there are fewer than _HEAVY of them
 
 
-def range_count(spark: SparkSession) -> int:
-    """Number of ranges; override with ``spark.incidex.ranges``."""
-    default = min(256, max(8, 2 * spark.sparkContext.defaultParallelism))
-    return int(spark.conf.get("spark.incidex.ranges", str(default)))
+def in_ranges(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` stored with the number of the range of ``order`` each row lies in."""
+    k = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(k, *order).withColumn(_RANGE, F.spark_partition_id()))
 
 
-def _order_key(order: Sequence[Column]) -> Column:
-    return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-
-
-def small_input(df: DataFrame) -> bool:
-    """True when all files behind ``df`` together stay under ``spark.incidex.smallBytes``.
-
-    Such a plan fits one task, so it needs no ranges (and no sample).
-    """
-    limit = int(df.sparkSession.conf.get("spark.incidex.smallBytes", str(64 << 20)))
-    if limit == 0:
-        return False
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:  # no JVM plan at hand: take the general way
-        return False
-    return total < limit
-
-
-def cut_points(df: DataFrame, order: Sequence[Column]) -> list[tuple]:
-    """At most ``range_count - 1`` boundary rows of the given ordering; none for small input."""
-    if small_input(df):
-        return []
-    k = range_count(df.sparkSession)
-    wanted = k * _ROWS_PER_CUT
-    rows = (
-        df.select(_order_key(order).alias("key"))
-        .orderBy(F.rand(17))
-        .limit(wanted)
-        .orderBy("key")
-        .collect()
-    )
-    step = max(1, len(rows) // k)
-    cuts: list[tuple] = []
-    for i in range(step, len(rows), step):
-        cut = tuple(rows[i]["key"])
-        if None not in cut and (not cuts or cut != cuts[-1]):
-            cuts.append(cut)
-    return cuts
-
-
-def range_of(order: Sequence[Column], cuts: list[tuple]) -> Column:
-    """Range number of a row, by a balanced tree of comparisons."""
-    key = _order_key(order)
-
-    def branch(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        bound = _order_key([F.lit(v) for v in cuts[mid]])
-        return F.when(key > bound, branch(mid + 1, hi)).otherwise(branch(lo, mid))
-
-    return branch(0, len(cuts))
-
-
-def number_rows(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[Column],
-    out: str,
-    first: int = 1,
-    cuts: list[tuple] | None = None,
-) -> DataFrame:
+def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str, first: int = 1) -> DataFrame:
     """``row_number`` per group over a total order.  Keys in ``by`` must not be NULL."""
     by = list(by)
-    if cuts is None and not small_input(df):
-        df = cut_lineage(df)
-        cuts = cut_points(df, order)
-    if not cuts:
-        w = Window.partitionBy(*by).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("long") + (first - 1))
-    leading = list(order)[: len(cuts[0])]
-    tagged = df.withColumn(_RANGE, range_of(leading, cuts))
+    tagged = in_ranges(df, [*order, *[F.col(c) for c in by]])
     totals = tagged.groupBy(*by, _RANGE).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, _RANGE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -116,38 +46,17 @@ def number_rows(
     )
 
 
-def ladder(
-    df: DataFrame,
-    by: Sequence[str],
-    x: str,
-    measures: dict[str, Column] | None = None,
-    cuts: list[tuple] | None = None,
-) -> DataFrame:
+def ladder(df: DataFrame, by: Sequence[str], x: str, measures: dict[str, Column] | None = None) -> DataFrame:
     """One row per (group, distinct x) with each measure's own, earlier and total sum.
 
     Measures are aggregate expressions that add up (counts and sums); ``n`` is always
     there.  Output: ``by, x, <m>, <m>_before, <m>_total``.  NULL x is left out.
-    ``cuts`` may come from a cheaper table that holds the same column.
     """
     by = list(by)
     measures = {"n": F.count("*"), **(measures or {})}
     names = list(measures)
-    src = df.where(F.col(x).isNotNull())
-    order = [F.col(x)]
-    if cuts is None and not small_input(src):
-        src = cut_lineage(src)
-        cuts = cut_points(src, order)
-    if not cuts:
-        steps = src.groupBy(*by, x).agg(*[e.alias(m) for m, e in measures.items()])
-        upto = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-        everything = Window.partitionBy(*by)
-        return steps.select(
-            "*",
-            *[F.coalesce(F.sum(m).over(upto), F.lit(0)).alias(f"{m}_before") for m in names],
-            *[F.sum(m).over(everything).alias(f"{m}_total") for m in names],
-        )
-    tagged = src.withColumn(_RANGE, range_of(order, cuts))
-    steps = tagged.groupBy(*by, _RANGE, x).agg(*[e.alias(m) for m, e in measures.items()])
+    added = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(*[e.alias(m) for m, e in measures.items()])
+    steps = in_ranges(added, [F.col(c) for c in (x, *by)])
     chunk = steps.groupBy(*by, _RANGE).agg(*[F.sum(m).alias(m) for m in names])
     prior = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -167,23 +76,26 @@ def ladder(
 
 
 def average_rank(df: DataFrame, by: Sequence[str], x: str, out: str) -> DataFrame:
-    """Adds the tie-averaged ascending rank (1-based) of ``x`` inside each group; NULL for NULL."""
+    """Adds the tie-averaged ascending rank (1-based) of ``x`` inside each group; NULL for NULL.
+
+    Values that many rows share get their rank by broadcast (fewer than ``_HEAVY`` rows can be that
+    frequent), the others by an equi-join.
+    """
     by = list(by)
-    if small_input(df):
-        low = F.rank().over(Window.partitionBy(*by).orderBy(F.col(x).asc_nulls_last()))
-        ties = F.count("*").over(Window.partitionBy(*by, x))
-        return df.withColumn(out, F.when(F.col(x).isNotNull(), low + (ties - 1) / 2))
     df = cut_lineage(df)
-    src = df.select(*by, F.col(x).alias("_x"))
-    rank = (F.col("n_before") + (F.col("n") + 1) / 2).alias(out)
-    steps = ladder(src, by, "_x", cuts=cut_points(src, [F.col("_x")])).select(*by, F.col("_x").alias(x), rank)
-    return df.join(steps, [*by, x], "left")
+    steps = ladder(df.select(*by, F.col(x).alias("_x")), by, "_x").select(
+        *by, F.col("_x").alias(x), (F.col("n_before") + (F.col("n") + 1) / 2).alias(out), "n"
+    )
+    heavy = F.broadcast(steps.where(F.col("n") > F.lit(df.count() / _HEAVY)).drop("n"))
+    keys = [*by, x]
+    light = df.join(heavy.drop(out), keys, "left_anti").join(steps.drop("n"), keys, "left")
+    return df.join(heavy, keys).select(*df.columns, out).unionByName(light.select(*df.columns, out))
 
 
-def quantiles(df: DataFrame, by: Sequence[str], x: str, probs: dict[str, float], cuts=None) -> DataFrame:
+def quantiles(df: DataFrame, by: Sequence[str], x: str, probs: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles: one row per group, one column per name."""
     by = list(by)
-    steps = ladder(df.select(*by, F.col(x).alias("_x")), by, "_x", cuts=cuts)
+    steps = ladder(df.select(*by, F.col(x).alias("_x")), by, "_x")
     aggs = []
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("n_total") - 1)
@@ -204,14 +116,14 @@ def quantiles(df: DataFrame, by: Sequence[str], x: str, probs: dict[str, float],
 
 
 def roc_auc(
-    df: DataFrame, by: Sequence[str], y: str, x: str, out: str = "auc", cuts=None, weight: str | None = None
+    df: DataFrame, by: Sequence[str], y: str, x: str, out: str = "auc", weight: str | None = None
 ) -> DataFrame:
     """ROC-AUC per group (Mann-Whitney with ties); NULL when a class is missing."""
     by = list(by)
     w = F.lit(1) if weight is None else F.col(weight)
     sums = {"tot": F.sum("_w"), "pos": F.sum(F.when(F.col("_y").cast("int") == 1, F.col("_w")).otherwise(0))}
     src = df.where(F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), w.alias("_w"))
-    steps = ladder(src, by, "_x", sums, cuts)
+    steps = ladder(src, by, "_x", sums)
     neg = F.col("tot") - F.col("pos")
     neg_before = F.col("tot_before") - F.col("pos_before")
     got = steps.groupBy(*by).agg(

@@ -11,11 +11,3 @@ from incidex.session import local_session
 @pytest.fixture(scope="session")
 def spark():
     return local_session("tests", 4, 4)
-
-
-@pytest.fixture(params=["small", "ranges"])
-def path(request, spark):
-    """Run a test on the plain path and on the large-data path."""
-    spark.conf.set("spark.incidex.smallBytes", "67108864" if request.param == "small" else "0")
-    yield request.param
-    spark.conf.unset("spark.incidex.smallBytes")

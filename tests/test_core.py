@@ -1,4 +1,4 @@
-"""Known answers and invariants on small fixtures, on both execution paths."""
+"""Known answers and invariants on small fixtures."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,24 +7,24 @@ from incidex import skew
 from incidex.operators import gates, learn, metrics, rules, vocab
 
 
-def test_auc_perfect_and_reversed(spark, path):
+def test_auc_perfect_and_reversed(spark):
     df = spark.createDataFrame([("a", 1, 0.9), ("a", 1, 0.8), ("a", 0, 0.1), ("a", 0, 0.05), ("b", 0, 0.9), ("b", 1, 0.1)], "g string, y int, s double")
     got = {r["g"]: r["auc"] for r in skew.roc_auc(df, ["g"], "y", "s").collect()}
     assert got == {"a": 1.0, "b": 0.0}
 
 
-def test_auc_is_null_for_one_class(spark, path):
+def test_auc_is_null_for_one_class(spark):
     df = spark.createDataFrame([("a", 1, 0.9)], "g string, y int, s double")
     assert skew.roc_auc(df, ["g"], "y", "s").collect()[0]["auc"] is None
 
 
-def test_quantiles_are_linear(spark, path):
+def test_quantiles_are_linear(spark):
     df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 2, 10)], "g string, x double")
     row = skew.quantiles(df, ["g"], "x", {"q": 0.75, "m": 0.5}).collect()[0]
     assert (row["q"], row["m"]) == (4.0, 2.0)
 
 
-def test_number_rows_and_ranks_match_brute_force(spark, path):
+def test_number_rows_and_ranks_match_brute_force(spark):
     values = [((i * 37) % 101) / 7 for i in range(3000)]
     df = spark.createDataFrame([("hot" if i % 3 else f"g{i % 7}", i, v) for i, v in enumerate(values)], "g string, i int, x double")
     rows = skew.average_rank(skew.number_rows(df, ["g"], [F.col("x"), F.col("i")], "n"), ["g"], "x", "r").collect()
@@ -40,7 +40,7 @@ def test_number_rows_and_ranks_match_brute_force(spark, path):
             assert r["r"] == below + (same + 1) / 2
 
 
-def test_dnf_instance_beats_global(spark, path):
+def test_dnf_instance_beats_global(spark):
     truth = spark.createDataFrame(
         [(1, 1, e, "clause", c) for e, c in ((0, 0), (1, 0), (2, 1), (3, 1))] + [(1, 1, e, "node", 0) for e in range(4)],
         "rule_id int, container_id int, element_id int, kind string, ordinal int")
@@ -87,3 +87,16 @@ def test_merges_lower_counts(spark):
     out, trace = learn.bpe_frequency(seq, 0.0, max_merges=1)
     assert trace == [("a", "b", 3)]
     assert {r["t"]: r["c"] for r in learn.token_supports(out).collect()} == {"ab": 3, "c": 1}
+
+
+def test_ranks_with_one_frequent_value(spark):
+    """One value on nine rows of ten, in every group."""
+    values = [0.0 if i % 10 else float(i) for i in range(4000)]
+    df = spark.createDataFrame([(f"g{i % 3}", i, v) for i, v in enumerate(values)] + [("g0", -1, None)], "g string, i int, x double")
+    got = skew.average_rank(df, ["g"], "x", "r").collect()
+    assert len(got) == 4001 and [r["r"] for r in got if r["x"] is None] == [None]
+    for g in ("g0", "g1", "g2"):
+        xs = sorted(r["x"] for r in got if r["g"] == g and r["x"] is not None)
+        n = xs.count(0.0)
+        assert {r["r"] for r in got if r["g"] == g and r["x"] == 0.0} == {(n + 1) / 2}
+        assert {r["r"] for r in got if r["g"] == g and r["x"] == xs[-1]} == {float(len(xs))}
