@@ -217,8 +217,8 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def occlusion(vectors: DataFrame, max_containers: int = 300) -> DataFrame:
-    """1 - cos(mean of all, mean without the item), never negative; mean per item over its first containers.
+def occlusion(vectors: DataFrame) -> DataFrame:
+    """1 - cos(mean of all, mean without the item), never negative; mean per item over its containers.
 
     ``vectors(container_id, item_key, vector)``.  The container's own sum is computed once
     and the item's sum taken off it.
@@ -229,8 +229,7 @@ def occlusion(vectors: DataFrame, max_containers: int = 300) -> DataFrame:
     dist = j.groupBy("container_id", "item_key").agg(
         (1 - ratio(F.sum(F.col("total") * F.col("rest")), F.sqrt(F.sum(F.col("total") ** 2)) * F.sqrt(F.sum(F.col("rest") ** 2)))).alias("d")
     ).where("d IS NOT NULL")
-    first = skew.top_rows(dist, ["item_key"], [F.col("container_id")], max_containers)
-    return first.groupBy("item_key").agg(F.avg(F.greatest("d", F.lit(0.0))).alias("occlusion"), F.count("*").alias("n"))
+    return dist.groupBy("item_key").agg(F.avg(F.greatest("d", F.lit(0.0))).alias("occlusion"), F.count("*").alias("n"))
 
 
 def attention_scores(df: DataFrame) -> DataFrame:

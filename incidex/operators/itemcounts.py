@@ -73,13 +73,6 @@ def combination_counts(baskets: DataFrame, width: int, combos: Sequence[tuple[in
     return baskets.mapInPandas(add_up, "combo long, n long").groupBy("combo").agg(F.sum("n").alias("n"))
 
 
-def indexed(items: DataFrame, order: Sequence[Column], limit: int) -> list[str]:
-    """The bounded item list in order; its position is the basket index."""
-    if limit > MAX_ITEMS:
-        raise ValueError(f"item list is bounded by {MAX_ITEMS}")
-    return [r["item_key"] for r in items.orderBy(*order).select("item_key").limit(limit).collect()]
-
-
 def index_column(names: Sequence[str], key: str = "item_key") -> Column:
     """Index of a key in the bounded list, NULL outside it."""
     if not names:

@@ -6,6 +6,7 @@ sees one winner (or a bounded list) per round.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Sequence
 
@@ -208,12 +209,17 @@ def merge_pair(packed: DataFrame, a: str, b: str) -> DataFrame:
     return packed.withColumn("seq", F.replace("seq", F.lit(old), F.lit(new)))
 
 
-def bpe_frequency(packed: DataFrame, floor: float, cap: int | None = None, max_merges: int = 1000) -> tuple[DataFrame, list[tuple[str, str, int]]]:
-    """Merge the most frequent pair until it falls below ``floor`` (share of the total weight)."""
+def bpe_frequency(
+    packed: DataFrame, floor: float, cap: int | None = None, first: int | None = None, least: int = 1
+) -> tuple[DataFrame, list[tuple[str, str, int]]]:
+    """Merge the most frequent pair until it falls below ``floor`` (share of the total weight) or ``least``.
+
+    ``first`` asks for the first so many merges only; without it the loop runs to its end.
+    """
     state = cut_lineage(packed)
-    limit = floor * state.agg(F.sum("w")).collect()[0][0]
+    limit = max(least, floor * (state.agg(F.sum("w")).collect()[0][0] or 0))
     trace: list[tuple[str, str, int]] = []
-    for step in range(max_merges):
+    for step in itertools.count() if first is None else range(first):
         pairs = pair_supports(state).where(F.col("c") >= limit)
         if cap is not None:
             pairs = pairs.where(F.length(F.concat("a", "b")) <= cap)
@@ -232,8 +238,11 @@ def _f(c: Column) -> Column:
     return F.when(c > 0, c * F.log2(c)).otherwise(0.0)
 
 
-def bpe_description(packed: DataFrame, max_merges: int = 1000) -> tuple[DataFrame, list[tuple[str, str, float]]]:
-    """Merge the pair with the best estimated drop in description length while the exact length drops."""
+def bpe_description(packed: DataFrame, first: int | None = None) -> tuple[DataFrame, list[tuple[str, str, float]]]:
+    """Merge the pair with the best estimated drop in description length while the exact length drops.
+
+    ``first`` asks for the first so many merges only.
+    """
     state = cut_lineage(packed)
 
     def length(df: DataFrame) -> float:
@@ -241,7 +250,7 @@ def bpe_description(packed: DataFrame, max_merges: int = 1000) -> tuple[DataFram
         return description_length(t.select("size", "c")).collect()[0]["bits"]
 
     now, trace = length(state), []
-    for _ in range(max_merges):
+    for _ in itertools.count() if first is None else range(first):
         types = token_supports(state)
         n, k = types.agg(F.sum("c")).scalar(), F.col("k")
         p = pair_supports(state).select("a", "b", F.col("c").alias("k"))
@@ -284,7 +293,10 @@ def bpe_description(packed: DataFrame, max_merges: int = 1000) -> tuple[DataFram
 
 
 def knee(counts: DataFrame) -> DataFrame:
-    """Step farthest from the chord of the log10 support curve.  ``counts(step, c)``, step from 0."""
+    """Step farthest from the chord of the log10 support curve.  ``counts(step, c)``, step from 0.
+
+    A curve of one or two steps has no knee: all of it is kept.
+    """
     ends = counts.agg(
         F.max("step").alias("x1"), F.min_by("c", "step").alias("c0"), F.max_by("c", "step").alias("c1")
     )
@@ -295,13 +307,17 @@ def knee(counts: DataFrame) -> DataFrame:
     off = dy * F.col("step") - F.col("x1") * (lg(F.col("c")) - lg(F.col("c0")))
     dist = F.coalesce(ratio(F.abs(off), F.hypot(F.col("x1").cast("double"), dy)), F.lit(0.0))
     d = j.select("step", "c", F.round(dist, 9).alias("d"))
-    return d.agg((F.max_by("step", F.struct(F.col("d"), -F.col("step"))) + 1).alias("n_keep"), F.max("d").alias("distance"))
+    at = F.max_by("step", F.struct(F.col("d"), -F.col("step"))) + 1
+    return d.agg(F.when(F.count("*") <= 2, F.count("*")).otherwise(at).alias("n_keep"), F.max("d").alias("distance"))
 
 
-def bpe_shoulder(packed: DataFrame, max_merges: int = 1000) -> tuple[DataFrame, list[tuple[str, str, int]]]:
-    """Merge to exhaustion, then keep only the merges up to the knee of their supports."""
+def bpe_shoulder(packed: DataFrame, first: int | None = None) -> tuple[DataFrame, list[tuple[str, str, int]]]:
+    """Merge to exhaustion (no pair occurs twice), then keep only the merges up to the knee of their supports.
+
+    ``first`` looks for the knee among the first so many merges.
+    """
     spark = packed.sparkSession
-    _, trace = bpe_frequency(packed, 0.0, max_merges=max_merges)
+    _, trace = bpe_frequency(packed, 0.0, first=first, least=2)
     if not trace:
         return packed, []
     curve = spark.createDataFrame([(i, c) for i, (_, _, c) in enumerate(trace)], "step long, c long")
@@ -345,19 +361,20 @@ def hierarchy(cuts: DataFrame, roots: DataFrame) -> DataFrame:
 
 def merge_parents(
     baskets: DataFrame, parents: Sequence[tuple[str, Sequence[str]]], sizes: dict[str, int],
-    min_count: int, max_child_share: float, small: int = 2, max_rounds: int = 100,
+    min_count: int, max_child_share: float, small: int = 2,
 ) -> tuple[DataFrame, list[tuple[str, int, int]]]:
     """Replace the children of a hierarchy parent by the parent where they occur together.
 
     ``baskets(items array<string>, n)`` are merged records, ``parents`` the bounded hierarchy.
-    Each round scores all parents in one aggregate: co-occurrence x (children - 1).
+    Each round scores all parents in one aggregate: co-occurrence x (children - 1).  A round
+    uses up a parent, so there are at most as many rounds as parents.
     """
     state = cut_lineage(baskets)
     vocabulary = {r["item"] for r in state.select(F.explode("items").alias("item")).distinct().collect()}
     total = state.agg(F.sum("n")).collect()[0][0] or 0
     history: list[tuple[str, int, int]] = []
     done: set[str] = set()
-    for _ in range(max_rounds):
+    while True:
         live = [(p, sorted(set(c) & vocabulary)) for p, c in parents if p not in done]
         live = [(p, c) for p, c in live if c and any(sizes.get(x, 1) < small for x in c)]
         if not live:
@@ -419,14 +436,16 @@ def start_trees(nodes: DataFrame) -> DataFrame:
     )
 
 
-def learn_rulebook(nodes: DataFrame, max_rules: int = 1000) -> list[tuple[str, str, float]]:
-    """Signatures in the order accepted, each with the drop in model length it brings.
+def learn_rulebook(nodes: DataFrame) -> list[tuple[str, str, float]]:
+    """Signatures in the order accepted, each with the change in model length it brings (none raises it).
+
+    Every rule collapses nodes, so the loop ends.
 
     Ties: larger parent key, then smaller key, then smaller children.
     """
     state = cut_lineage(start_trees(nodes))
     book: list[tuple[str, str, float]] = []
-    for _ in range(max_rules):
+    while True:
         counts = cut_lineage(state.where("active").groupBy("key").agg(F.count("*").alias("c")))
         n, v = counts.agg(F.sum("c")).scalar(), counts.agg(F.count("*")).scalar()
         sig = _signatures(state).groupBy("key", "kids").agg(F.count("*").alias("occ"))
@@ -452,7 +471,7 @@ def learn_rulebook(nodes: DataFrame, max_rules: int = 1000) -> list[tuple[str, s
         )
         best = (
             agg.select("key", "kids", F.round(gain, 9).alias("gain"))
-            .where("gain < 0")
+            .where("gain <= 0")
             .orderBy("gain", F.desc(F.length("key")), "key", "kids")
             .limit(1)
             .collect()
@@ -466,10 +485,13 @@ def learn_rulebook(nodes: DataFrame, max_rules: int = 1000) -> list[tuple[str, s
     return book
 
 
-def apply_rulebook(nodes: DataFrame, book: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Collapse nodes whose signature is in the frozen rulebook, level by level, to a fixpoint."""
+def apply_rulebook(nodes: DataFrame, book: DataFrame) -> DataFrame:
+    """Collapse nodes whose signature is in the frozen rulebook, level by level, to a fixpoint.
+
+    A round takes nodes out of the trees, so the loop ends.
+    """
     state = cut_lineage(start_trees(nodes))
-    for _ in range(max_rounds):
+    while True:
         hit = cut_lineage(_signatures(state).join(book.select("key", "kids").distinct(), ["key", "kids"], "left_semi"))
         if hit.isEmpty():
             break

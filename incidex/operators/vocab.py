@@ -516,18 +516,16 @@ def support_floor(containers: DataFrame, pct: float) -> DataFrame:
     )
 
 
-def spread_lookup(elements: DataFrame, direct: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def spread_lookup(elements: DataFrame, direct: DataFrame, edges: DataFrame) -> DataFrame:
     """Fill unmapped elements from mapped neighbours, round by round, to a fixpoint.
 
     ``direct`` maps (container_id, element_id) to item_id; a mapped unknown is final.
-    Each round the smallest neighbour id (by element id) wins.
+    Each round the smallest neighbour id (by element id) wins.  A round maps an element or is the last.
     """
     keys = ["container_id", "element_id"]
     state = cut_lineage(elements.select(*keys).join(direct.select(*keys, "item_id"), keys, "left"))
     open_rows = state.where("item_id IS NULL").count()
-    for _ in range(max_rounds):
-        if open_rows == 0:
-            break
+    while open_rows:
         known = state.where("item_id IS NOT NULL").select(
             "container_id", F.col("element_id").alias("src"), F.col("item_id").alias("from_item")
         )

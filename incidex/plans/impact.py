@@ -242,8 +242,7 @@ def _(t):
            f AS (SELECT container_id, dim, sum(s) AS tot FROM i GROUP BY ALL),
            d AS (SELECT container_id, item_key, 1 - sum(tot * (tot - s)) / nullif(sqrt(sum(tot * tot)) * sqrt(sum((tot - s) * (tot - s))), 0) AS d
              FROM i JOIN f USING (container_id, dim) GROUP BY ALL)
-           SELECT item_key, avg(greatest(d, 0)) AS occlusion, count(*) AS n FROM (SELECT * FROM d WHERE d IS NOT NULL
-             QUALIFY row_number() OVER (PARTITION BY item_key ORDER BY container_id) <= 300) GROUP BY 1""")
+           SELECT item_key, avg(greatest(d, 0)) AS occlusion, count(*) AS n FROM d WHERE d IS NOT NULL GROUP BY 1""")
 def _(t):
     return im.occlusion(_vectors(t))
 

@@ -168,13 +168,13 @@ def _trace(t, trace):
 
 @query("lrn9_bpe_frequency", "step:l a:s b:s c:l", _bpe_sql(" UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(1, ROUNDS + 1))))
 def _(t):
-    _, trace = ln.bpe_frequency(_words(t), 0.001, cap=4, max_merges=ROUNDS)
+    _, trace = ln.bpe_frequency(_words(t), 0.001, cap=4, first=ROUNDS)
     return _trace(t, trace)
 
 
 @query("lrn10_bpe_description", "step:l a:s b:s bits:d")
 def _(t):
-    _, trace = ln.bpe_description(_words(t), max_merges=3)
+    _, trace = ln.bpe_description(_words(t), first=3)
     return t.spark.createDataFrame([(i + 1, *x) for i, x in enumerate(trace)], "step int, a string, b string, bits double")
 
 
@@ -190,7 +190,7 @@ def _(t):
 
 @query("lrn12_bpe_shoulder", "step:l a:s b:s c:l")
 def _(t):
-    _, trace = ln.bpe_shoulder(_words(t), max_merges=8)
+    _, trace = ln.bpe_shoulder(_words(t), first=8)
     return _trace(t, trace)
 
 
@@ -198,7 +198,7 @@ def _(t):
        _bpe_sql(f"SELECT token, sum(w) AS c FROM (SELECT w, unnest(string_split(seq[2:-2], '><')) AS token FROM s{ROUNDS}) GROUP BY token"))
 def _(t):
     words = _words(t)
-    _, trace = ln.bpe_frequency(words, 0.001, cap=4, max_merges=ROUNDS)
+    _, trace = ln.bpe_frequency(words, 0.001, cap=4, first=ROUNDS)
     return ln.token_supports(ln.apply_merges(words, trace)).withColumnRenamed("t", "token")
 
 
@@ -241,9 +241,17 @@ def _trees(t):
     return root.unionByName(mid).unionByName(leaf)
 
 
+def _twigs(t):
+    """Part types of an order, each over the same two leaves: trees in which every type pays as a rule."""
+    li = t.lines.select(F.col("container_id").alias("tree"), "kind").distinct()
+    root = li.select("tree", F.col("kind").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("kind").alias("key"))
+    leaf = li.select("tree", F.explode(F.array(F.concat("kind", F.lit(":price")), F.concat("kind", F.lit(":size")))).alias("node"), F.col("kind").alias("parent"))
+    return root.unionByName(leaf.withColumn("key", F.col("node")))
+
+
 @query("lrn16_learn_rulebook", "step:l key:s kids:s gain:d")
 def _(t):
-    book = ln.learn_rulebook(_trees(t), max_rules=3)
+    book = ln.learn_rulebook(_twigs(t))
     rows = [(i + 1, k, c.replace("␟", ","), g) for i, (k, c, g) in enumerate(book)]
     return t.spark.createDataFrame(rows, "step int, key string, kids string, gain double")
 

@@ -21,9 +21,9 @@ def _(t):
 
 
 @query("rul2_pairwise", "a:s b:s jaccard:d",
-       "SELECT a, b, jaccard FROM cooc JOIN brand_vocab x ON x.item_key = a JOIN brand_vocab y ON y.item_key = b WHERE x.rank <= 10 AND y.rank <= 10")
+       "SELECT a, b, jaccard FROM cooc")
 def _(t):
-    return rl.cooccurrence(t.brand_incidence, t.brand_names[:10])
+    return rl.cooccurrence(t.brand_incidence, t.brand_names)
 
 
 @query("rul3_proxies", "item_key:s proxy:s jaccard:d p:d",
@@ -75,7 +75,7 @@ def _(t):
 
 
 @query("rul7_clauses", "items:s size:l n1:l",
-       """WITH i AS (SELECT container_id, item_key, rank FROM brand_incidence JOIN brand_vocab USING (item_key) WHERE rank <= 10),
+       """WITH i AS (SELECT container_id, item_key, rank FROM brand_incidence JOIN brand_vocab USING (item_key)),
           s AS (SELECT item_key, count(*) AS n FROM i GROUP BY 1)
           SELECT item_key AS items, 1 AS size, n AS n1 FROM s
           UNION ALL SELECT a.item_key || ',' || b.item_key, 2, count(*) FROM i a JOIN i b
@@ -85,7 +85,7 @@ def _(t):
             ON a.container_id = b.container_id AND a.rank < b.rank JOIN i c ON a.container_id = c.container_id AND b.rank < c.rank
             GROUP BY 1""")
 def _(t):
-    return rl.clauses(t.brand_incidence, t.brand_names[:10]).withColumn("items", F.array_join("items", ","))
+    return rl.clauses(t.brand_incidence, t.brand_names).withColumn("items", F.array_join("items", ","))
 
 
 @query("rul8_structural_clauses", "items:s n_match:l and_valid:b",
@@ -98,26 +98,26 @@ def _(t):
 
 
 def _clause_list(t):
-    """Ten single brands and the six pairs of the best four."""
-    top = t.brand_names[:10]
+    """All single brands and the six pairs of the best four."""
+    top = t.brand_names
     return [[x] for x in top] + [[a, b] for a, b in combinations(top[:4], 2)]
 
 
 def _clause_values() -> str:
-    singles = [f"SELECT {i} AS c, rank FROM brand_vocab WHERE rank = {i + 1}" for i in range(10)]
-    pairs = [f"SELECT {10 + k}, rank FROM brand_vocab WHERE rank IN ({a}, {b})" for k, (a, b) in enumerate(combinations(range(1, 5), 2))]
+    singles = [f"SELECT {i} AS c, rank FROM brand_vocab WHERE rank = {i + 1}" for i in range(25)]
+    pairs = [f"SELECT {25 + k}, rank FROM brand_vocab WHERE rank IN ({a}, {b})" for k, (a, b) in enumerate(combinations(range(1, 5), 2))]
     return " UNION ALL ".join(singles + pairs)
 
 
 DNF_RULES = f"""WITH cl AS ({_clause_values()}), need AS (SELECT c, count(*) AS need FROM cl GROUP BY 1),
    hit AS (SELECT container_id, c FROM brand_incidence JOIN brand_vocab USING (item_key) JOIN cl USING (rank) JOIN need USING (c)
      GROUP BY ALL HAVING count(*) = max(need)),
-   sig AS (SELECT s, count(*) AS n FROM (SELECT container_id, bit_or(1 << c) AS s FROM hit GROUP BY 1) GROUP BY 1),
-   c1 AS (SELECT unnest(range(16)) AS a),
-   combos AS (SELECT 1 AS k, a, -1 AS b, -1 AS c, -1 AS d, 1 << a AS m FROM c1
-     UNION ALL SELECT 2, x.a, y.a, -1, -1, (1 << x.a) | (1 << y.a) FROM c1 x JOIN c1 y ON x.a < y.a
-     UNION ALL SELECT 3, x.a, y.a, z.a, -1, (1 << x.a) | (1 << y.a) | (1 << z.a) FROM c1 x JOIN c1 y ON x.a < y.a JOIN c1 z ON y.a < z.a
-     UNION ALL SELECT 4, x.a, y.a, z.a, w.a, (1 << x.a) | (1 << y.a) | (1 << z.a) | (1 << w.a)
+   sig AS (SELECT s, count(*) AS n FROM (SELECT container_id, bit_or(1::BIGINT << c) AS s FROM hit GROUP BY 1) GROUP BY 1),
+   c1 AS (SELECT unnest(range(31)) AS a),
+   combos AS (SELECT 1 AS k, a, -1 AS b, -1 AS c, -1 AS d, 1::BIGINT << a AS m FROM c1
+     UNION ALL SELECT 2, x.a, y.a, -1, -1, (1::BIGINT << x.a) | (1::BIGINT << y.a) FROM c1 x JOIN c1 y ON x.a < y.a
+     UNION ALL SELECT 3, x.a, y.a, z.a, -1, (1::BIGINT << x.a) | (1::BIGINT << y.a) | (1::BIGINT << z.a) FROM c1 x JOIN c1 y ON x.a < y.a JOIN c1 z ON y.a < z.a
+     UNION ALL SELECT 4, x.a, y.a, z.a, w.a, (1::BIGINT << x.a) | (1::BIGINT << y.a) | (1::BIGINT << z.a) | (1::BIGINT << w.a)
        FROM c1 x JOIN c1 y ON x.a < y.a JOIN c1 z ON y.a < z.a JOIN c1 w ON z.a < w.a),
    cov AS (SELECT k, a, b, c, d, sum(CASE WHEN s & m <> 0 THEN n ELSE 0 END) AS n1 FROM combos, sig GROUP BY ALL)
    SELECT k AS n_clauses, concat_ws(',', a, nullif(b, -1), nullif(c, -1), nullif(d, -1)) AS clause_ids, n1,
@@ -221,7 +221,7 @@ def _extend_sql() -> str:
     for k in range(1, 9):
         p = k - 1
         steps.append(f"""w{k} AS (SELECT item_key, count(*) AS gain, {k} AS step FROM brand_incidence JOIN brand_vocab USING (item_key)
-            WHERE rank <= 10 AND item_key NOT IN (SELECT item_key FROM u{p}) AND container_id NOT IN (SELECT container_id FROM s{p})
+            WHERE item_key NOT IN (SELECT item_key FROM u{p}) AND container_id NOT IN (SELECT container_id FROM s{p})
               AND (SELECT abs((SELECT count(*) FROM s{p}) / count(*) * 100 - 50) FROM containers) > 10
             GROUP BY item_key, rank ORDER BY gain DESC, rank LIMIT 1),
             u{k} AS (SELECT * FROM u{p} UNION ALL SELECT item_key FROM w{k}),
@@ -234,7 +234,7 @@ def _extend_sql() -> str:
 def _(t):
     from incidex.session import cut_lineage
 
-    names = t.brand_names[:10]
+    names = t.brand_names
     clause_list = [[x] for x in names]
     baskets = cut_lineage(rl.clause_baskets(t.brand_incidence, clause_list))
     chosen = search.extend(baskets, clause_list, [0], t.containers.count(), {})
@@ -372,13 +372,13 @@ def _(t):
 @query("rul25_tag_families", "top_item:s tag:s item_key:s",
        """SELECT b.item_key AS top_item, k.p_type AS tag, o.p_name || '|' || o.p_brand AS item_key
           FROM brand_vocab b JOIN (SELECT DISTINCT p_brand, p_type FROM part) k ON k.p_brand = b.item_key
-          JOIN (SELECT DISTINCT p_name, p_brand, p_type FROM part) o ON o.p_type = k.p_type WHERE b.rank <= 3""")
+          JOIN (SELECT DISTINCT p_name, p_brand, p_type FROM part) o ON o.p_type = k.p_type""")
 def _(t):
     p = t.raw("part")
     tags = p.select(F.concat_ws("|", "p_name", "p_brand").alias("item_key"), F.col("p_type").alias("tag")).distinct()
-    top = p.where(F.col("p_brand").isin(t.brand_names[:3])).select(F.col("p_brand").alias("item_key"), F.col("p_type").alias("tag"))
+    top = p.where(F.col("p_brand").isin(t.brand_names)).select(F.col("p_brand").alias("item_key"), F.col("p_type").alias("tag"))
     both = tags.unionByName(top.distinct())
-    return rl.tag_families(both, t.brand_names[:3]).where(F.col("item_key").contains("|"))
+    return rl.tag_families(both, t.brand_names).where(F.col("item_key").contains("|"))
 
 
 @query("rul26_shortcut_report", "rule_id:l clause_id:l shortcut_auc:d distractors:s")
