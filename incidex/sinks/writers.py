@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from incidex.functions.expr import not_nan
+from incidex.operators.gates import fail_where
+
 
 def _first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -73,3 +76,92 @@ def update_runs(runs: DataFrame, metrics: DataFrame, keys: Sequence[str], column
     for c in columns:
         j = j.withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
     return j
+
+
+def write_files(df: DataFrame, root: str) -> None:
+    """One file per row of ``(path, content)`` below ``root``, written by the tasks."""
+
+    def write(rows: Iterator[Row]) -> None:
+        from pyarrow import fs
+
+        for r in rows:
+            full = f"{root}/{r['path']}"
+            system, path = (fs.LocalFileSystem(), "/" + full.split(":", 1)[-1].lstrip("/")) if full.startswith(("/", "file:")) else fs.FileSystem.from_uri(full)
+            system.create_dir(path.rsplit("/", 1)[0])
+            with system.open_output_stream(path) as out:
+                out.write(r["content"].encode())
+
+    df.select("path", "content").foreachPartition(write)
+
+
+def write_points(points: DataFrame, root: str) -> None:
+    """Importance and impact tables, one folder per (method, split)."""
+    for value in ("score", "impact"):
+        points.select("method", "split", "item_key", "container_id", value).write.mode("overwrite").partitionBy("method", "split").parquet(f"{root}/{value}")
+
+
+def correlation_rows(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Pearson correlation of score and impact per group, NULL where it does not exist, with the number of points."""
+    return points.groupBy(*by).agg(F.count("*").alias("n"), not_nan(F.corr("score", "impact")).alias("pearson"))
+
+
+def write_instance(points: DataFrame, root: str) -> None:
+    """Correlation rows per container, one folder per split."""
+    correlation_rows(points, ["split", "container_id"]).write.mode("overwrite").partitionBy("split").parquet(root)
+
+
+def write_global(parts: Sequence[DataFrame], path: str) -> None:
+    """All methods and splits in one table."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out.write.mode("overwrite").parquet(path)
+
+
+def log_scalars(df: DataFrame, path: str, header: Sequence[str]) -> None:
+    """Appends telemetry under a fixed header: absent columns are NULL, unknown ones fail."""
+    unknown = sorted(set(df.columns) - set(header))
+    if unknown:
+        raise ValueError(f"columns outside the header: {unknown}")
+    df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast("string" if c == "name" else "double").alias(c) for c in header]).write.mode("append").parquet(path)
+
+
+def write_sheets(df: DataFrame, config: Sequence[str], path: str) -> None:
+    """One folder per (regime, sheet), with a readable config id."""
+    named = F.concat_ws(" | ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in config])
+    df.withColumn("config_id", named).write.mode("overwrite").partitionBy("regime", "sheet").parquet(path)
+
+
+def result_frames(scores: DataFrame, impacts: DataFrame, classes: DataFrame, k: int) -> dict[str, DataFrame]:
+    """Frames of a result: a row per (item, container) with score, impact and the item's discriminativeness, item means,
+    and the k items of highest and lowest mean score.
+
+    ``scores(item_key, container_id, score)``, ``impacts(item_key, container_id, impact)``, ``classes(item_key, share)``.
+    """
+    points = scores.join(impacts, ["item_key", "container_id"]).join(classes, "item_key", "left")
+    items = points.groupBy("item_key").agg(F.avg("score").alias("score"), F.avg("impact").alias("impact"), F.max("share").alias("share"), F.count("*").alias("n"))
+    ends = items.orderBy(F.desc("score"), "item_key").limit(k).withColumn("side", F.lit("top")).unionByName(
+        items.orderBy("score", "item_key").limit(k).withColumn("side", F.lit("bottom"))
+    )
+    return {"points": points, "items": items, "ends": ends}
+
+
+def export_folds(containers: DataFrame, folds: DataFrame, truth: DataFrame, path: str) -> None:
+    """One labelled table per (dataset, fold) with each container's true elements as a mask.
+
+    ``containers(dataset, container_id, label)``, ``folds(fold, container_id, split)``, ``truth(container_id, element_id)``.
+    """
+    mask = truth.groupBy("container_id").agg(F.array_sort(F.collect_set("element_id")).alias("truth"))  # a container's elements
+    rows = containers.join(folds, "container_id").join(mask, "container_id", "left")
+    rows.withColumn("truth", F.coalesce("truth", F.array().cast("array<bigint>"))).write.mode("overwrite").partitionBy("dataset", "fold").parquet(path)
+
+
+def save_splits(splits: DataFrame, seed: str, path: str) -> None:
+    splits.withColumn("seed", F.lit(seed)).write.mode("overwrite").parquet(path)
+
+
+def load_splits(path_rows: DataFrame, strict: bool = False) -> DataFrame:
+    """Saved splits; ``overlaps`` marks ids that legacy files hold in several splits (an error if ``strict``)."""
+    many = F.count("*").over(Window.partitionBy("container_id")) > 1
+    out = path_rows.withColumn("overlaps", many)
+    return fail_where(out, F.col("overlaps"), F.concat(F.lit("id in several splits: "), F.col("container_id").cast("string"))) if strict else out

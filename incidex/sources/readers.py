@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from incidex.functions.expr import not_nan
 from incidex.operators.gates import fail_where, is_blank
+from incidex.session import cut_lineage
 
 
 def read_fold(spark: SparkSession, path: str, label_column: str, schema: str) -> DataFrame:
@@ -46,12 +48,36 @@ def edge_truth(edges: DataFrame, containers: DataFrame) -> DataFrame:
     return true.select("container_id", F.explode(F.array("src", "dst")).alias("element_id")).distinct()
 
 
-def scan_runs(spark: SparkSession, root: str, exclude_prefix: str = "archive", datasets: Sequence[str] | None = None) -> DataFrame:
-    """All JSON summaries below a folder with their path; archived folders are skipped."""
-    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("mode", "PERMISSIVE").json(root)
-    df = df.withColumn("path", F.col("_metadata.file_path")).withColumn("modified", F.col("_metadata.file_modification_time"))
-    df = df.where(~F.exists(F.split("path", "/"), lambda p: p.startswith(exclude_prefix)))
-    return df.where(F.col("dataset").isin(list(datasets))) if datasets else df
+ARCHIVED = ("_archive", "_trash", "_old")
+
+
+def read_summaries(spark: SparkSession, root: str, name: str = "summary.json", schema: str | None = None) -> DataFrame:
+    """One row per summary file below ``root`` (whole files, indented or not): its fields, ``path`` relative to the
+    root, ``modified``, and ``_corrupt_record`` for a file that is no JSON object."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).option("multiLine", "true").option("mode", "PERMISSIVE")
+    if schema:
+        reader = reader.schema(f"{schema}, _corrupt_record string")
+    df = reader.json(root)
+    base = root.split(":", 1)[-1].rstrip("/") + "/"
+    path = F.substring_index(F.col("_metadata.file_path"), "/" + base.lstrip("/"), -1)
+    df = df.select("*", path.alias("path"), F.col("_metadata.file_modification_time").alias("modified"))
+    return df if "_corrupt_record" in df.columns else df.withColumn("_corrupt_record", F.lit(None).cast("string"))
+
+
+def _archived(exclude: Sequence[str]) -> Column:
+    """Some part of the relative path begins with an archive prefix."""
+    hit = lambda part: functools.reduce(lambda a, b: a | b, [part.startswith(e) for e in exclude])
+    return F.exists(F.split("path", "/"), hit) if exclude else F.lit(False)
+
+
+def scan_runs(spark: SparkSession, root: str, exclude: Sequence[str] = ARCHIVED, datasets: Sequence[str] | None = None, schema: str | None = None) -> DataFrame:
+    """Readable summaries outside archived folders; a dataset is named by a path part or by the field."""
+    df = read_summaries(spark, root, schema=schema).where(~_archived(exclude))
+    df = df.where("_corrupt_record IS NULL").drop("_corrupt_record")
+    if datasets:
+        part = F.exists(F.split("path", "/"), lambda x: x.isin(list(datasets)))
+        df = df.where(part | F.coalesce(F.col("dataset").isin(list(datasets)), F.lit(False)) if "dataset" in df.columns else part)
+    return df
 
 
 def flatten_summary(df: DataFrame) -> DataFrame:
@@ -61,13 +87,13 @@ def flatten_summary(df: DataFrame) -> DataFrame:
     return df.select(*scalar, stamp.alias("stamp"))
 
 
-def harvest(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """found = harvested + skipped (rows that are no valid JSON)."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(root)
-    parsed = lines.select(F.from_json("value", schema + ", _corrupt_record string").alias("j"))
-    bad = F.col("j").isNull() | F.col("j._corrupt_record").isNotNull()
-    return parsed.agg(
-        F.count("*").alias("found"), F.sum((~bad).cast("long")).alias("harvested"), F.sum(bad.cast("long")).alias("skipped")
+def harvest(spark: SparkSession, root: str, exclude: Sequence[str] = ARCHIVED, schema: str | None = None) -> DataFrame:
+    """found = harvested + skipped, counted in files; archived folders are not looked into."""
+    df = read_summaries(spark, root, schema=schema).where(~_archived(exclude))
+    # stored first: Spark refuses to read the corrupt column alone
+    bad = F.col("_corrupt_record").isNotNull().cast("long")
+    return cut_lineage(df.withColumn("bad", bad).drop("_corrupt_record")).agg(
+        F.count("*").alias("found"), F.coalesce(F.sum(1 - F.col("bad")), F.lit(0)).alias("harvested"), F.coalesce(F.sum("bad"), F.lit(0)).alias("skipped")
     )
 
 
@@ -103,10 +129,35 @@ def read_impact(raw: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
 
 
 def read_scores(raw: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """method -> container -> array JSON to one row per element."""
-    m = raw.select(*keys, F.explode(F.from_json(text, "map<string,map<string,array<double>>>")).alias("method", "inner"))
-    c = m.select(*keys, "method", F.explode("inner").alias("container", "values"))
-    return c.select(*keys, "method", F.col("container").cast("long").alias("container_id"), F.posexplode("values").alias("element_id", "score"))
+    """split -> method -> container -> array JSON to one row per element."""
+    kind = "map<string,map<string,map<string,array<double>>>>"
+    m = raw.select(*keys, F.explode(F.from_json(text, kind)).alias("split", "methods"))
+    m = m.select(*keys, "split", F.explode("methods").alias("method", "inner"))
+    c = m.select(*keys, "split", "method", F.explode("inner").alias("container", "values"))
+    return c.select(*keys, "split", "method", F.col("container").cast("long").alias("container_id"), F.posexplode("values").alias("element_id", "score"))
+
+
+def read_predictions(raw: DataFrame, keys: Sequence[str], text: str, names: Sequence[str]) -> DataFrame:
+    """split -> metric -> value JSON to one row per split with the named scalars, NULL where absent or NaN."""
+    m = raw.select(*keys, F.explode(F.from_json(text, "map<string,map<string,double>>")).alias("split", "values"))
+    return m.select(*keys, "split", *[not_nan(F.try_element_at("values", F.lit(n))).alias(n) for n in names])
+
+
+def pooled_points(spark: SparkSession, scores: str, impacts: str, schema_key: str = "item_key string") -> DataFrame:
+    """Per-split score files joined to impact files on (split, item); folders ``split=<name>`` hold the CSVs."""
+    read = lambda path, value: spark.read.csv(path, header=True, schema=f"{schema_key}, {value} double, split string")
+    return read(scores, "score").join(read(impacts, "impact"), ["split", "item_key"])
+
+
+def collect_points(points: DataFrame, kind: str, canonical: str, legacy: str) -> DataFrame:
+    """Points of all runs with their identity; a run's legacy file counts only where it has no canonical one.
+
+    ``points(run, file, kind, item_key, container_id, score, impact)``.
+    """
+    rows = points.where(F.col("kind") == kind)
+    good = rows.where(F.col("file") == canonical)
+    old = rows.where(F.col("file") == legacy).join(good.select("run").distinct(), "run", "left_anti")
+    return good.unionByName(old).select("run", *parse_run_path(F.col("run")), "item_key", "container_id", "score", "impact")
 
 
 def read_correlations(spark: SparkSession, path: str) -> DataFrame:
