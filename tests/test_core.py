@@ -1,10 +1,16 @@
 """Known answers and invariants on small fixtures."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
 from incidex import skew
 from incidex.operators import gates, learn, metrics, rules, vocab
+from incidex.sinks import writers
+from incidex.sources import readers
 
 
 def test_auc_perfect_and_reversed(spark):
@@ -84,7 +90,7 @@ def test_greedy_cover_is_a_partition(spark):
 
 def test_merges_lower_counts(spark):
     seq = learn.pack_sequences(spark.createDataFrame([(list("abab"),), (list("abc"),)], "tokens array<string>"))
-    out, trace = learn.bpe_frequency(seq, 0.0, max_merges=1)
+    out, trace = learn.bpe_frequency(seq, 0.0, first=1)
     assert trace == [("a", "b", 3)]
     assert {r["t"]: r["c"] for r in learn.token_supports(out).collect()} == {"ab": 3, "c": 1}
 
@@ -100,3 +106,84 @@ def test_ranks_with_one_frequent_value(spark):
         n = xs.count(0.0)
         assert {r["r"] for r in got if r["g"] == g and r["x"] == 0.0} == {(n + 1) / 2}
         assert {r["r"] for r in got if r["g"] == g and r["x"] == xs[-1]} == {float(len(xs))}
+
+
+def test_more_gates_raise(spark):
+    blank = spark.createDataFrame([(1, "x"), (2, "nan")], "id int, t string")
+    with pytest.raises(Exception, match="empty text in row 2"):
+        gates.assert_text(blank, "t", "id").collect()
+    with pytest.raises(ValueError, match="blank"):
+        gates.require_column(blank, "t")
+    assert gates.require_column(spark.createDataFrame([("none",)], "t string"), "t").count() == 1
+    lookup = spark.createDataFrame([(1, 0, 5), (1, 1, -1)], "container_id int, element_id int, item_id int")
+    sizes = spark.createDataFrame([(1, 2)], "container_id int, n_elements long")
+    with pytest.raises(Exception, match="unknown element"):
+        gates.validate_membership(lookup, sizes, filtered=False).collect()
+    members = spark.createDataFrame([(0, "a"), (1, "a"), (2, "b")], "node long, container_id string")
+    with pytest.raises(Exception, match="edge spans containers"):
+        readers.local_edges(spark.createDataFrame([(1, 2)], "src long, dst long"), members).collect()
+
+
+def test_shoulder_stops_at_single_pairs(spark):
+    """Pairs seen once are not merged, and a curve of two steps is kept whole."""
+    seq = learn.pack_sequences(spark.createDataFrame([(list("abxy"),), (list("abzw"),), (list("abc"),)], "tokens array<string>"))
+    _, trace = learn.bpe_shoulder(seq)
+    assert trace == [("a", "b", 3)]
+    two = spark.createDataFrame([(0, 100), (1, 3)], "step long, c long")
+    assert learn.knee(two).collect()[0]["n_keep"] == 2
+
+
+def test_rulebook_takes_every_rule_that_does_not_cost(spark):
+    rows = [(t, "r", None, "root") for t in range(8)] + [(t, k, "r", k) for t in range(8) for k in ("longname", "othername")]
+    nodes = spark.createDataFrame(rows, "tree long, node string, parent string, key string")
+    book = learn.learn_rulebook(nodes)
+    assert [b[:2] for b in book] == [("root", "longname␟othername")] and book[0][2] <= 0
+    frozen = spark.createDataFrame([b[:2] for b in book], "key string, kids string")
+    assert {r["key"] for r in learn.apply_rulebook(nodes, frozen).collect()} == {"root"}
+
+
+def test_krimp_takes_the_frequent_pair(spark):
+    """Codes that always occur together are taken; the model never grows."""
+    b = spark.createDataFrame([(["a", "b"], 40), (["a", "b", "c"], 20), (["c"], 10)], "items array<string>, n long")
+    codes, curve = learn.krimp(b, [(["a", "b"], 60), (["b", "c"], 20)])
+    assert ["a", "b"] in codes and curve == sorted(curve, reverse=True)
+
+
+def test_harvest_counts_files(spark, tmp_path):
+    """found = harvested + skipped, in files; archived folders do not count; indented JSON is read."""
+    for name, text in (("a", '{\n  "dataset": "d1",\n  "auc": 0.5\n}'), ("b", '{"dataset": "d2"}'), ("c", "{broken"), ("_archive_x/d", '{"dataset": "d1"}')):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "summary.json").write_text(text)
+    (tmp_path / "a" / "other.json").write_text("[]")
+    row = readers.harvest(spark, str(tmp_path), schema="dataset string, auc double").collect()[0]
+    assert (row["found"], row["harvested"], row["skipped"]) == (3, 2, 1)
+    runs = readers.scan_runs(spark, str(tmp_path), schema="dataset string, auc double").collect()
+    assert sorted((r["path"], r["dataset"]) for r in runs) == [("a/summary.json", "d1"), ("b/summary.json", "d2")]
+    assert [r["path"] for r in readers.scan_runs(spark, str(tmp_path), datasets=["a", "d2"], schema="dataset string, auc double").select("path").orderBy("path").collect()] == ["a/summary.json", "b/summary.json"]
+
+
+def test_scalars_keep_their_header(spark, tmp_path):
+    path = str(tmp_path / "log")
+    writers.log_scalars(spark.createDataFrame([(1, 0.5)], "epoch int, loss double"), path, ["epoch", "loss", "auc"])
+    writers.log_scalars(spark.createDataFrame([(1, 0.7)], "epoch int, auc double"), path, ["epoch", "loss", "auc"])
+    assert sorted(map(tuple, spark.read.parquet(path).collect()), key=str) == [(1.0, 0.5, None), (1.0, None, 0.7)]
+    with pytest.raises(ValueError, match="outside"):
+        writers.log_scalars(spark.createDataFrame([(1,)], "other int"), path, ["epoch"])
+
+
+def test_legacy_splits_are_marked(spark):
+    s = spark.createDataFrame([(1, "training"), (1, "test"), (2, "valid")], "container_id int, split string")
+    assert {(r["container_id"], r["overlaps"]) for r in writers.load_splits(s).collect()} == {(1, True), (2, False)}
+    with pytest.raises(Exception, match="several splits"):
+        writers.load_splits(s, strict=True).collect()
+
+
+def test_workers_need_no_package(tmp_path):
+    """A query with worker code runs from another folder, with the package on the driver's path only."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r}); from incidex.session import local_session; from incidex.plans import load_all; "
+        "print('rows', load_all()['rul2_pairwise'].run(local_session('x', 2, 2), '/root/testdata/sf0.001').count())"
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "rows" in out.stdout, out.stderr[-1500:]
