@@ -99,11 +99,9 @@ def passes(pct: Column) -> Column:
 
 
 def with_class_counts(vocab: DataFrame, containers: DataFrame) -> DataFrame:
-    totals = class_counts(train_valid(containers))
-    return vocab.select(
-        "*",
-        *[totals.select(c).scalar().alias(c) for c in ("n", "n0", "n1")],
-    )
+    names = ("n", "n0", "n1")
+    totals = class_counts(train_valid(containers)).select(F.struct(*names).alias("t")).scalar()
+    return vocab.select("*", *[totals.getField(c).alias(c) for c in names])
 
 
 def threshold_items(vocab: DataFrame, containers: DataFrame, pct: float) -> DataFrame:

@@ -114,7 +114,8 @@ class Tables:
 
     @cached_property
     def vocab(self) -> DataFrame:
-        return voc.build_vocab(self.parts, self.containers)
+        """Item supports, stored once: one row per item."""
+        return cut_lineage(voc.build_vocab(self.parts, self.containers))
 
     @cached_property
     def vocab_ids(self) -> DataFrame:
@@ -139,7 +140,8 @@ class Tables:
 
     @cached_property
     def brand_incidence(self) -> DataFrame:
-        return self.lines.select("container_id", F.col("brand").alias("item_key")).distinct()
+        """Stored once: supports, fired clauses and pair counts all read it."""
+        return cut_lineage(self.lines.select("container_id", F.col("brand").alias("item_key")).distinct())
 
     @cached_property
     def brand_vocab(self) -> DataFrame:
