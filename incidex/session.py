@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,9 @@ def local_session(app: str = "incidex", cpus: int | str = 8, shuffle_partitions:
     return spark
 
 
+_fallback: dict[str, str] = {}  # of local sessions without a setting, by application
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
@@ -36,14 +41,20 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    fallback = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    app = spark.sparkContext.applicationId
+    if app not in _fallback:
+        _fallback[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _fallback[app]
+
+
+_made: list[str] = []  # scratch folders of this process, oldest first
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -56,3 +67,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_folders() -> Iterator[list[str]]:
+    """Collects the scratch folders made inside the block."""
+    start, found = len(_made), []
+    try:
+        yield found
+    finally:
+        found.extend(_made[start:])
+
+
+def drop_folders(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes scratch folders that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        if path in _made:
+            _made.remove(path)
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the stored tables that ``cut_lineage`` returned, once their last reader has run."""
+    for df in tables:
+        names = {f.split("/stage-", 1)[1].split("/", 1)[0] for f in df.inputFiles() if "/stage-" in f}
+        drop_folders(df.sparkSession, [p for p in list(_made) if p.rsplit("/stage-", 1)[-1] in names])
