@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from incidex.operators import graph
 from incidex.operators import learn as ln
+from incidex.operators import rules as rl
 from incidex.plans.registry import query
 
 BITS = "log2(20)"
@@ -267,6 +268,18 @@ def _(t):
     return ln.apply_rulebook(_trees(t), book).groupBy("key").agg(F.count("*").alias("n"))
 
 
+@query("lrn18_krimp", "step:l code:s size:l")
+def _(t):
+    """Codes over the part types of an order; candidates are all itemsets that a tenth of the orders hold."""
+    inc = t.lines.select("container_id", F.col("kind").alias("item_key")).distinct()
+    per = inc.groupBy("container_id").agg(F.array_sort(F.collect_set("item_key")).alias("items"))
+    baskets = per.groupBy("items").agg(F.count("*").alias("n"))
+    frequent = rl.itemsets(inc, t.containers.count() // 10).where(F.size("items") > 1).collect()  # of a handful of types
+    codes, _ = ln.krimp(baskets, [(sorted(r["items"]), r["n"]) for r in frequent])
+    rows = [(i + 1, ",".join(c), len(c)) for i, c in enumerate(codes)]
+    return t.spark.createDataFrame(rows, "step int, code string, size int")
+
+
 @query("lrn19_greedy_cover", "code:s size:l c:l",
        """WITH top AS (SELECT item_key, rank FROM brand_vocab WHERE rank <= 4),
           b AS (SELECT container_id, max((rank = 1)::INT) AS r1, max((rank = 2)::INT) AS r2, max((rank = 3)::INT) AS r3, max((rank = 4)::INT) AS r4

@@ -93,4 +93,4 @@ def _shared_prelude(sql: str) -> str:
     visit(sql)
     if not needed:
         return ""
-    return "WITH " + ",\n".join(f"{n} AS ({SHARED_SQL[n]})" for n in needed) + "\n"
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({SHARED_SQL[n]})" for n in needed) + "\n"
