@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidex.session import shared_dir
+from incidex.session import scratch_path
 
 # bytes.split() and bytes.strip() cut at exactly [\x20\x09-\x0D]
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -49,7 +48,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def shared_folder(spark: SparkSession, label: str) -> str:
     """URI of a fresh folder below the shared one, created now."""
-    uri = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    uri = scratch_path(spark, label)
     system, path = file_system(uri)
     system.create_dir(path)
     return uri

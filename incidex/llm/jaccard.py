@@ -7,13 +7,16 @@ fewer).  Two documents link when ``100 * |x & y| >= percent * |x | y|``; the res
 2. Every set sends the first ``n - ceil(t n) + 1`` of its shingles, in one global order, to the columns of the matrix.
    Linked sets share one of these.  Shingles that are frequent somewhere come last in the order (by their count), so
    passages that many documents share are not met again and again; the order never changes the result.
-3. Sets that share columns are put into groups: each goes to the group of the set it shares most columns with
-   (of two of low hash rank).  Groups are cut into chunks of bounded size; the group's head is in all of its chunks.
+3. Sets that share columns are put into groups: each goes to the group of the head (the set of lowest hash rank in a
+   column) it shares most columns with.  Groups are cut into chunks of bounded size; the head is in all chunks.
 4. Inside a chunk, pivots are compared with all members through an inverted list until all members that were
    no pivot are in one class: every pair is decided, and a chunk of n near copies takes few pivots, not n^2 pairs.
 5. Across groups: a matrix row is a chunk's class with the union of its members' shingles.  A set queries the
    rows it shares a column with, if they are in another class.  ``|q & union|`` bounds every overlap inside; only
    rows where the bound reaches ``t |q|`` are opened and compared set by set.
+   For rows of few members the bound is first taken from sketches: a sketch holds the parity of the shingles on each of about
+   n bits, so the bits in which two sketches differ are no more than the shingles in which the sets differ.  Sets are
+   fetched only for what passes.
 6. Links are closed to classes.
 
 All steps are exact; groups, heads and order only steer the work.  Rows that meet in one task are bounded by the chunk
@@ -36,10 +39,11 @@ from pyspark.sql import functions as F
 from incidex.llm.brownlm import Words
 from incidex.llm.common import mix64, record_batches, slices, text_bytes
 from incidex.operators.graph import components
-from incidex.session import cut_lineage
+from incidex.session import cut_lineage, release
 
 CHUNK = 2_000_000  # shingles of the members compared in one task
 QUERIES = 2_000_000  # shingles of the queries sent to one copy of a matrix row
+FEW = 16  # members up to which a row's sketches are looked at one by one
 _FREQUENT = 1e-3  # share of documents from which a shingle goes to the end of the order
 
 
@@ -69,6 +73,22 @@ def set_id(tokens: np.ndarray) -> int:
     return digest - (1 << 64) if digest >> 63 else digest
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parity of the tokens on each of a power of two of bits, as many as tokens at least."""
+    bits = max(64, 1 << (len(tokens) - 1).bit_length())
+    return np.packbits((np.bincount(tokens & (bits - 1), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def may_link(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
+    """False only if the sketches prove that the sets do not link."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    differ = int(np.bitwise_count(x ^ y).sum())
+    return (100 + percent) * ((na + nb - differ) // 2) >= percent * (na + nb)
+
+
 def at_least(percent: int, n: int) -> int:
     """Smallest overlap with a set of n that can link."""
     return -(-percent * n // 100)
@@ -128,12 +148,12 @@ def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
         def frequent() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             some = counts >= max(4, _FREQUENT * n_docs)
-            return record_batches([("id", pa.int64(), pa.nulls(int(some.sum()), pa.int64())), ("n", pa.int64(), pa.array(-counts[some])), ("sid", pa.int64(), pa.array(tokens[some]))])
+            return record_batches([("id", pa.int64(), pa.nulls(int(some.sum()), pa.int64())), ("n", pa.int64(), pa.array(-counts[some])), ("sid", pa.int64(), pa.array(tokens[some])), ("sketch", pa.binary(), pa.nulls(int(some.sum()), pa.binary()))])
 
         for whole in batches:
             for b in slices(whole, 1024):
                 sets = list(shingle_sets(words, text_bytes(b, "text"), k))
-                yield record_batches([("id", pa.int64(), b.column("id")), ("n", pa.int64(), [len(s) for s in sets]), ("sid", pa.int64(), [set_id(s) for s in sets])])
+                yield record_batches([("id", pa.int64(), b.column("id")), ("n", pa.int64(), [len(s) for s in sets]), ("sid", pa.int64(), [set_id(s) for s in sets]), ("sketch", pa.binary(), [sketch(s) for s in sets])])
                 held += sets
                 size, n_docs = size + sum(map(len, sets)), n_docs + len(sets)
                 if size > 6_000_000:
@@ -142,7 +162,7 @@ def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
         if held:
             yield frequent()
 
-    scanned = cut_lineage(src.mapInArrow(scan, "id bigint, n bigint, sid bigint"))
+    scanned = cut_lineage(src.mapInArrow(scan, "id bigint, n bigint, sid bigint, sketch binary"))
     listed = scanned.where("n >= 0")
     n_docs = listed.count()
     # at most 2 * (mean set size) / _FREQUENT shingles can reach this sum
@@ -181,13 +201,35 @@ def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
     sent = cut_lineage(src.mapInArrow(columns, "token bigint, sid bigint, n bigint"))
     shared = sent.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("token")
     matrix = cut_lineage(sent.join(shared, "token").distinct())
-
-    rank = F.struct(F.xxhash64("sid").alias("r"), F.col("sid").alias("head"))
-    heads = matrix.groupBy("token").agg(F.min(rank).alias("x")).select("token", "x.head")
-    votes = matrix.join(heads, "token").groupBy("sid", "n", "head").count()
-    group = votes.groupBy("sid", "n").agg(F.max_by("head", F.struct(F.col("count"), -F.xxhash64("head"))).alias("grp"))
-    chunks = group.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(CHUNK)).alias("chunks"))
-    group = cut_lineage(group.join(chunks, "grp").select("sid", "n", "grp", F.pmod(F.xxhash64(F.lit(3), "sid"), "chunks").alias("chunk")))
+    release(sent)
+
+    sketches = listed.where("n > 0").groupBy("sid").agg(F.first("sketch").alias("sketch")).join(matrix.select("sid").distinct(), "sid")
+    sketches = cut_lineage(sketches)
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("sketch", "to_sketch", "n", "to_n")]
+            good = [may_link(x, y, n, m, percent) for x, y, n, m in zip(*cols)]
+            yield b.drop_columns(["sketch", "to_sketch"]).filter(pa.array(good, pa.bool_()))
+
+    def sifted(pairs: DataFrame) -> DataFrame:
+        """The pairs ``(sid, n, to_sid, to_n, ...)`` that their sketches do not rule out."""
+        fits = pairs.where(F.lit(100) * F.least("n", "to_n") >= F.lit(percent) * F.greatest("n", "to_n"))
+        both = fits.join(sketches, "sid").join(sketches.select(F.col("sid").alias("to_sid"), F.col("sketch").alias("to_sketch")), "to_sid")
+        kinds = ", ".join(f"{c} {t}" for c, t in both.drop("sketch", "to_sketch").dtypes)
+        return both.mapInArrow(sieve, kinds)
+
+    rank = F.struct(F.xxhash64("sid").alias("r"), F.col("sid").alias("to_sid"), F.col("n").alias("to_n"))
+    heads = matrix.groupBy("token").agg(F.min(rank).alias("x")).select("token", "x.to_sid", "x.to_n")
+    votes = matrix.join(heads, "token").where("sid <> to_sid").groupBy("sid", "n", "to_sid", "to_n").count()
+    group = sifted(votes).groupBy("sid", "n").agg(F.max_by("to_sid", F.struct(F.col("count"), -F.xxhash64("to_sid"))).alias("grp"))
+    everyone = matrix.select("sid", "n").distinct()
+    group = everyone.join(group.drop("n"), "sid", "left").withColumn("grp", F.coalesce("grp", "sid"))
+    loose = group = cut_lineage(group)
+    chunks = group.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(CHUNK)).alias("chunks"), (F.count("*") > F.max((F.col("sid") == F.col("grp")).cast("int"))).alias("shared"))
+    group = cut_lineage(group.join(chunks, "grp").select("sid", "n", "grp", "shared", F.pmod(F.xxhash64(F.lit(3), "sid"), "chunks").alias("chunk")))
+    chunks = cut_lineage(chunks)
+    release(loose)
 
     involved = group.select("sid")
     first = listed.where("id is not null and n > 0").groupBy("sid").agg(F.min("id").alias("id"))
@@ -202,8 +244,10 @@ def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
                 flat = np.concatenate([sets[j] for j in good]) if good else np.empty(0, np.int64)
                 yield record_batches([("sid", pa.int64(), b.column("sid").take(pa.array(good, pa.int64()))), ("tokens", pa.list_(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))])
 
-    wanted = first.join(involved, "sid")
-    stored = cut_lineage(src.join(wanted, "id").select("sid", "text").mapInArrow(tokens, "sid bigint, tokens array<bigint>"))
+    def fetch(sids: DataFrame) -> DataFrame:
+        """The sets of the listed ids, from the texts."""
+        wanted = first.join(sids.distinct(), "sid")
+        return cut_lineage(src.join(wanted, "id").select("sid", "text").mapInArrow(tokens, "sid bigint, tokens array<bigint>"))
 
     def inside(_: tuple, part: pa.Table) -> pa.Table:
         ids = part.column("sid").to_numpy()
@@ -213,9 +257,11 @@ def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
         a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    everywhere = chunks.select(F.col("grp").alias("sid"), "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    seats = group.select("sid", "grp", "chunk").unionByName(everywhere)
-    near = cut_lineage(seats.join(stored, "sid").groupBy("grp", "chunk").applyInArrow(inside, "a bigint, b bigint"))
+    everywhere = chunks.where("shared").select(F.col("grp").alias("sid"), "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    seats = cut_lineage(group.where("shared").select("sid", "grp", "chunk").unionByName(everywhere))
+    members = fetch(seats.select("sid"))
+    near = cut_lineage(seats.join(members, "sid").groupBy("grp", "chunk").applyInArrow(inside, "a bigint, b bigint"))
+    release(members, seats)
     classes = close(involved, near)
 
     homes = cut_lineage(group.join(classes, "sid").select("sid", "n", "cls", F.xxhash64("grp", "chunk", "cls").alias("cell")))
@@ -223,10 +269,17 @@ def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
     seated = matrix.drop("n").join(homes, "sid").join(sizes, "cls").select("token", "sid", "n", "cls", "cell", "size")
     mixed = seated.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token")
     seated = cut_lineage(seated.join(mixed, "token"))
-    rows = seated.select("token", F.col("cell").alias("to"), F.col("cls").alias("to_cls"), F.col("size").alias("to_size")).distinct()
+    alone = F.col("size") <= FEW  # asked member by member, larger ones as a whole
+    rows = seated.select(
+        "token", F.col("cell").alias("to"), F.col("cls").alias("to_cls"), F.col("size").alias("to_size"),
+        F.when(alone, F.col("sid")).alias("to_sid"), F.when(alone, F.col("n")).alias("to_n"),
+    ).distinct()
     larger = (F.col("to_size") > F.col("size")) | ((F.col("to_size") == F.col("size")) & (F.col("to_cls") < F.col("cls")))
-    asks = seated.join(rows, "token").where((F.col("cls") != F.col("to_cls")) & larger).select("sid", "n", F.col("to").alias("cell")).distinct()
-    asks = cut_lineage(asks)
+    met = seated.join(rows, "token").where((F.col("cls") != F.col("to_cls")) & larger)
+    met = met.where(F.col("to_sid").isNull() | (F.lit(100) * F.least("n", "to_n") >= F.lit(percent) * F.greatest("n", "to_n")))
+    met = cut_lineage(met.select("sid", "n", "to", "to_sid", "to_n").distinct())
+    asks = met.where("to_sid is null").select("sid", "n", F.col("to").alias("cell"))
+    asks = cut_lineage(asks.unionByName(sifted(met.where("to_sid is not null")).select("sid", "n", F.col("to").alias("cell")).distinct()))
     copies = asks.groupBy("cell").agg(F.ceil(F.sum("n") / F.lit(QUERIES)).alias("copies"))
 
     def across(_: tuple, queries: pa.Table, members: pa.Table) -> pa.Table:
@@ -249,12 +302,14 @@ def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
                     b.append(int(ids[hit[0]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    stored = fetch(asks.select("sid").unionByName(homes.join(copies, "cell").select("sid")))
     asked = asks.join(copies, "cell").select("sid", "cell", F.pmod(F.xxhash64(F.lit(5), "sid"), "copies").alias("copy")).join(stored, "sid")
     opened = homes.join(copies, "cell").select("sid", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")).join(stored, "sid")
     opened = opened.select(*[F.col(c).alias(f"m_{c}") for c in ("sid", "cell", "copy", "tokens")])
     far = asked.groupBy("cell", "copy").cogroup(opened.groupBy("m_cell", "m_copy")).applyInArrow(across, "a bigint, b bigint")
     of = lambda end: classes.select(F.col("sid").alias(end), F.col("cls").alias(f"{end}_cls"))
     bridges = cut_lineage(far.join(of("a"), "a").join(of("b"), "b").select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct())
+    release(stored, asks, met, seated, homes)
     if not bridges.isEmpty():
         merged = close(classes.select(F.col("cls").alias("sid")).distinct(), bridges)
         classes = classes.join(merged.select(F.col("sid").alias("cls"), F.col("cls").alias("top")), "cls").select("sid", F.col("top").alias("cls"))
