@@ -14,7 +14,7 @@ fewer).  Two documents link when ``100 * |x & y| >= percent * |x | y|``; the res
 5. Across groups: a matrix row is a chunk's class with the union of its members' shingles.  A set queries the
    rows it shares a column with, if they are in another class.  ``|q & union|`` bounds every overlap inside; only
    rows where the bound reaches ``t |q|`` are opened and compared set by set.
-   For rows of few members the bound is first taken from sketches: a sketch holds the parity of the shingles on each of about
+   For rows of few members the bound is first taken from sizes and shared columns, then from sketches: a sketch holds the parity of the shingles on each of about
    n bits, so the bits in which two sketches differ are no more than the shingles in which the sets differ.  Sets are
    fetched only for what passes.
 6. Links are closed to classes.
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidex.llm.brownlm import Words
@@ -200,8 +200,21 @@ def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
 
     sent = cut_lineage(src.mapInArrow(columns, "token bigint, sid bigint, n bigint"))
     shared = sent.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("token")
-    matrix = cut_lineage(sent.join(shared, "token").distinct())
+    common = cut_lineage(sent.join(shared, "token").distinct())
     release(sent)
+    # s: how many of a set's columns are anybody else's
+    matrix = cut_lineage(common.join(common.groupBy("sid").agg(F.count("*").alias("s")), "sid"))
+    release(common)
+
+    need = lambda n: F.floor((F.lit(percent) * F.col(n) + 99) / 100)
+
+    def can_link() -> Column:
+        """Sizes fit, and so do the columns: of two sets, the one whose last column comes first meets the other in
+        columns only up to there, so the overlap is at most the columns in common and what either has behind its own."""
+        sizes = F.lit(100) * F.least("n", "to_n") >= F.lit(percent) * F.greatest("n", "to_n")
+        most = F.least("s", "to_s") + F.greatest(need("n"), need("to_n")) - 1
+        return sizes & (F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n") + F.col("to_n")))
+
 
     sketches = listed.where("n > 0").groupBy("sid").agg(F.first("sketch").alias("sketch")).join(matrix.select("sid").distinct(), "sid")
     sketches = cut_lineage(sketches)
@@ -214,14 +227,13 @@ def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
 
     def sifted(pairs: DataFrame) -> DataFrame:
         """The pairs ``(sid, n, to_sid, to_n, ...)`` that their sketches do not rule out."""
-        fits = pairs.where(F.lit(100) * F.least("n", "to_n") >= F.lit(percent) * F.greatest("n", "to_n"))
-        both = fits.join(sketches, "sid").join(sketches.select(F.col("sid").alias("to_sid"), F.col("sketch").alias("to_sketch")), "to_sid")
+        both = pairs.join(sketches, "sid").join(sketches.select(F.col("sid").alias("to_sid"), F.col("sketch").alias("to_sketch")), "to_sid")
         kinds = ", ".join(f"{c} {t}" for c, t in both.drop("sketch", "to_sketch").dtypes)
         return both.mapInArrow(sieve, kinds)
 
-    rank = F.struct(F.xxhash64("sid").alias("r"), F.col("sid").alias("to_sid"), F.col("n").alias("to_n"))
-    heads = matrix.groupBy("token").agg(F.min(rank).alias("x")).select("token", "x.to_sid", "x.to_n")
-    votes = matrix.join(heads, "token").where("sid <> to_sid").groupBy("sid", "n", "to_sid", "to_n").count()
+    rank = F.struct(F.xxhash64("sid").alias("r"), F.col("sid").alias("to_sid"), F.col("n").alias("to_n"), F.col("s").alias("to_s"))
+    heads = matrix.groupBy("token").agg(F.min(rank).alias("x")).select("token", "x.to_sid", "x.to_n", "x.to_s")
+    votes = matrix.join(heads, "token").where((F.col("sid") != F.col("to_sid")) & can_link()).groupBy("sid", "n", "to_sid", "to_n").count()
     group = sifted(votes).groupBy("sid", "n").agg(F.max_by("to_sid", F.struct(F.col("count"), -F.xxhash64("to_sid"))).alias("grp"))
     everyone = matrix.select("sid", "n").distinct()
     group = everyone.join(group.drop("n"), "sid", "left").withColumn("grp", F.coalesce("grp", "sid"))
@@ -266,17 +278,16 @@ def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
 
     homes = cut_lineage(group.join(classes, "sid").select("sid", "n", "cls", F.xxhash64("grp", "chunk", "cls").alias("cell")))
     sizes = homes.groupBy("cls").agg(F.count("*").alias("size"))
-    seated = matrix.drop("n").join(homes, "sid").join(sizes, "cls").select("token", "sid", "n", "cls", "cell", "size")
+    seated = matrix.drop("n").join(homes, "sid").join(sizes, "cls").select("token", "sid", "n", "s", "cls", "cell", "size")
     mixed = seated.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token")
     seated = cut_lineage(seated.join(mixed, "token"))
     alone = F.col("size") <= FEW  # asked member by member, larger ones as a whole
     rows = seated.select(
         "token", F.col("cell").alias("to"), F.col("cls").alias("to_cls"), F.col("size").alias("to_size"),
-        F.when(alone, F.col("sid")).alias("to_sid"), F.when(alone, F.col("n")).alias("to_n"),
+        F.when(alone, F.col("sid")).alias("to_sid"), F.when(alone, F.col("n")).alias("to_n"), F.when(alone, F.col("s")).alias("to_s"),
     ).distinct()
     larger = (F.col("to_size") > F.col("size")) | ((F.col("to_size") == F.col("size")) & (F.col("to_cls") < F.col("cls")))
-    met = seated.join(rows, "token").where((F.col("cls") != F.col("to_cls")) & larger)
-    met = met.where(F.col("to_sid").isNull() | (F.lit(100) * F.least("n", "to_n") >= F.lit(percent) * F.greatest("n", "to_n")))
+    met = seated.join(rows, "token").where((F.col("cls") != F.col("to_cls")) & larger & (F.col("to_sid").isNull() | can_link()))
     met = cut_lineage(met.select("sid", "n", "to", "to_sid", "to_n").distinct())
     asks = met.where("to_sid is null").select("sid", "n", F.col("to").alias("cell"))
     asks = cut_lineage(asks.unionByName(sifted(met.where("to_sid is not null")).select("sid", "n", F.col("to").alias("cell")).distinct()))
