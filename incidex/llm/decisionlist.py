@@ -4,8 +4,8 @@ Every text gets a few counts and ratios (``text_features``).  On the labelled ro
 its quantiles; from then on the learner sees only a table of counts by cut numbers.  Sequential covering:
 a rule is a conjunction of thresholds for the reject class, grown on two thirds of the rows by the gain
 p·(log2(p/(p+n)) − log2(p0/(p0+n0))), pruned from its end on the other third by (p−n)/(p+n), kept while its
-precision there is high enough; the rows it covers leave, and the next rule is grown.  The result is one
-ordered CASE expression.  A query per growth step returns at most features x cuts rows of counts.
+precision there is high enough; the rows it covers leave, and the next rule is grown.  Thresholds are then moved half
+way towards the rejected rows.  The result is one ordered CASE expression.  A query per growth step returns at most features x cuts rows of counts.
 
 Defined results: NULL text has no words; labels that are NULL or belong to no row are not used, a document
 with several labels counts once per label; with no usable labels the list is empty and only the base rule
@@ -200,10 +200,18 @@ def learn(
             break
         tests = tests[:-size]
         left = left & ~holds(tests)
-        found.append(Rule(tuple((name, above, float(points[name][k])) for name, above, k in tests)))
+        found.append(tightened(rows, Rule(tuple((name, above, float(points[name][k])) for name, above, k in tests))))
     return found
 
 
+def tightened(rows: DataFrame, rule: Rule) -> Rule:
+    """Each threshold moved half way to the nearest rejected row the rule has seen: what lies between is kept."""
+    values = {name: F.col(name) for name, _, _ in rule.tests}
+    ends = [(F.min(name) if above else F.max(name)).alias(f"e{i}") for i, (name, above, _) in enumerate(rule.tests)]
+    seen = rows.where((F.col("bad") == 1) & rule.column(values)).agg(*ends).first()
+    return Rule(tuple((name, above, limit if seen[i] is None else (limit + seen[i]) / 2) for i, (name, above, limit) in enumerate(rule.tests)))
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", carry: bool = False, **options) -> tuple[DataFrame, list[Rule]]:
     """Features, ``base_failed`` and ``kept`` for every row (names prefixed with ``q_``), and the learned rules.
 
