@@ -6,8 +6,8 @@ some passage.  A segment's BM25 score for a passage is divided by its score for
 there.  All segments at or above ``floor`` are retrieved.
 
 Search is block-max WAND over lists ordered by segment, with a maximum for each block of ``BLOCK`` segments.  The block
-maxima are first added up for all passages of a batch at once: (passage, block) pairs that cannot reach
-the floor are dropped exactly, and only passages with pairs left are searched list by list.
+maxima are first added up for all passages of a batch at once: (passage, block) pairs whose sum is below the
+floor hold no hit, and only passages with pairs left are searched list by list.
 
 A hit is verified on the words around the passage: of the item's question (all but its last sentence) the share ``overlap``
 of its 5-word shingles must be there, and of its answer (the last sentence, if there are two or more) the same share
@@ -90,12 +90,16 @@ class Shard:
                 top[s // BLOCK] = max(top.get(s // BLOCK, 0.0), x)
             blocks.append(top)
         self.block_best = blocks
-        # terms in many blocks are bounded as a whole at first, the others block by block
+        # block maxima: terms in many blocks as rows of a matrix, the others as lists
         self.wide = np.array([len(b) > max(4, self.n_blocks // 4) for b in blocks] or [False])
         self.block_ptr = np.cumsum([0, *(0 if w else len(b) for w, b in zip(self.wide, blocks))])
         narrow = [b for w, b in zip(self.wide, blocks) if not w]
         self.block_of = np.array([k for b in narrow for k in b], np.int64)
         self.block_max = np.array([x for b in narrow for x in b.values()], float)
+        self.wide_row = np.cumsum(self.wide) - 1
+        self.wide_max = np.zeros((int(self.wide.sum()), max(self.n_blocks, 1)), np.float32)
+        for row, b in enumerate(b for w, b in zip(self.wide, blocks) if w):
+            self.wide_max[row, list(b)] = list(b.values())
 
     def candidates(self, chunk: np.ndarray, term: np.ndarray, first: np.ndarray, last: np.ndarray, floor: float) -> dict[int, set[int]]:
         """Passage -> blocks that may hold a segment at the floor.
@@ -103,22 +107,20 @@ class Shard:
         ``chunk`` and ``term`` are the distinct terms of each chunk; passage p is chunks p and p + 1, or the only chunk
         of a document.  ``first`` and ``last`` tell whether a chunk is its document's first or last.
         """
-        n = len(first)
-        wide = np.bincount(chunk, np.where(self.wide[term], self.best[term], 0.0), n)
+        n, blocks = len(first), self.n_blocks
         size = self.block_ptr[term + 1] - self.block_ptr[term]
         at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.block_ptr[term], size)
-        owner, block, worth = np.repeat(chunk, size), self.block_of[at], self.block_max[at]
-        opens = ~last | first  # a passage begins at every chunk but the last; at the only one too
-        here, back = opens[owner], ~first[owner]
-        codes = np.concatenate([owner[here] * self.n_blocks + block[here], (owner[back] - 1) * self.n_blocks + block[back]])
-        code, where = np.unique(codes, return_inverse=True)
-        sums = np.bincount(where, np.concatenate([worth[here], worth[back]]), len(code)) if len(code) else np.empty(0)
-        both = wide + np.where(last, 0.0, np.r_[wide[1:], 0.0])
+        codes = np.repeat(chunk, size) * blocks + self.block_of[at]
+        bound = np.bincount(codes, self.block_max[at], n * blocks).astype(np.float32).reshape(n, blocks)
+        wide = self.wide[term]
+        has = np.zeros((n, len(self.wide_max)), np.float32)
+        has[chunk[wide], self.wide_row[term[wide]]] = 1
+        bound += has @ self.wide_max
+        bound[:-1] += np.where(last[:-1, None], np.float32(0), bound[1:])
+        bound[last & ~first] = 0  # a passage begins at every chunk but the last; at the only one too
         left: dict[int, set[int]] = {}
-        for c in code[sums + both[code // self.n_blocks] >= floor].tolist():
-            left.setdefault(c // self.n_blocks, set()).add(c % self.n_blocks)
-        for p in np.flatnonzero(opens & (both >= floor)).tolist():
-            left[p] = set(range(self.n_blocks))
+        for p, b in np.argwhere(bound >= floor - 1e-5).tolist():
+            left.setdefault(p, set()).add(b)
         return left
 
     def search(self, terms: list[int], allowed: set[int], floor: float) -> list[tuple[int, float]]:
