@@ -38,7 +38,7 @@ MAGIC = b"TIDSHRD2"
 GAMMA = 2
 _NULL_KEY = -(1 << 63)
 _MARKS = ".,;:!?%$#*&"
-_MEMO = 400_000  # words kept per task; a full memo is emptied, results do not change
+_MEMO = 1_400_000  # pieces kept per task; a full memo is emptied, results do not change
 
 
 class WordEncoder:
@@ -186,8 +186,8 @@ class Shard:
         return raw if self.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", order: list | None = None) -> DataFrame:
-    """Encodes and writes every row; returns the list of shards ``(path, shard, n_docs, n_tokens)``.
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", order: list | None = None, shard_bytes: int = 64 << 20) -> DataFrame:
+    """Encodes and writes every row, about ``shard_bytes`` of text to a shard; returns the list of shards ``(path, shard, n_docs, n_tokens)``.
 
     The stream is ordered by ``order`` (columns; the key alone by default), then by key.
     """
@@ -216,7 +216,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_i
             out.close()
             yield record_batches([("path", pa.string(), [uri]), ("shard", pa.int64(), [task.partitionId()]), ("n_docs", pa.int64(), [len(lengths)]), ("n_tokens", pa.int64(), [sum(lengths)])])
 
-    ranged = src.repartitionByRange(*by).sortWithinPartitions(*by).select("key", "text")
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranged = src.repartitionByRange(max(1, -(-size // shard_bytes)), *by).sortWithinPartitions(*by).select("key", "text")
     return cut_lineage(ranged.mapInArrow(write, "path string, shard bigint, n_docs bigint, n_tokens bigint"))
 
 
