@@ -5,6 +5,8 @@ Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,29 +14,51 @@ from pyspark.sql.utils import AnalysisException
 
 from incidex.llm import bm25, decisionlist, jaccard, pfair, tokenfile
 from incidex.llm.common import table
-from incidex.session import cut_lineage
+from incidex.session import cut_lineage, drop_folders, scratch_folders
+
+
+_left: list[str] = []  # scratch folders of the stage before
+
+
+def _stage(function):
+    """A stage that first deletes what the one before it has left: that one's result is written by now."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_folders(spark, _left)
+        with scratch_folders() as made:
+            out = function(spark, docs, sf_dir)
+        _left[:] = made
+        return out
+
+    return run_stage
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the learned decision list rejects go."""
     return decisionlist.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays: five-word shingles, similarity 0.8 or more."""
     return jaccard.one_of_each(docs, k=5, percent=80)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return bm25.without_leaks(docs, bm25.Index(table(spark, sf_dir, "benchmark")))
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mix: sources in proportion to the square root of their size."""
     return pfair.in_mixed_order(docs, cut_lineage(pfair.tempered(docs)))
 
 
+@_stage
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of all documents, in the order of the files read (the mix), and what the shards' index gives for each key."""
     try:
@@ -59,7 +83,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+        out = stage(spark, docs, sf_dir)
+        with scratch_folders() as written:
+            docs = cut_lineage(out)
+        drop_folders(spark, before)
+        before = written
     return docs
