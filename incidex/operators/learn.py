@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -209,27 +210,58 @@ def merge_pair(packed: DataFrame, a: str, b: str) -> DataFrame:
     return packed.withColumn("seq", F.replace("seq", F.lit(old), F.lit(new)))
 
 
+PASS_PAIRS = 1000  # pairs looked at in one pass over the sequences
+
+
+def independent(listed: Sequence[tuple[str, str, int, int, bool]]) -> list[tuple[str, str, int]]:
+    """The first merges of ``(a, b, c, follow, known)``, best pair first, that one-at-a-time merging makes in this order.
+
+    ``follow`` is the largest support of a pair that begins with ``b``; ``known`` tells whether ``ab`` is a token already.
+    A later pair keeps its support while none of its ends is used up on the other side.  A new pair (x, ab) or (ab, y)
+    has at most the support of (x, a) or (b, y): where that pair came before, the list ends there; where it comes later with
+    the same support, only (ab, y) with ``ab`` before the later pair's first token can overtake.
+    """
+    taken: list[tuple[str, str, int]] = []
+    lefts, rights, made, tied = set(), set(), set(), []
+    for a, b, c, follow, known in listed:
+        if a in rights or b in lefts or any(f >= c and z <= a for z, f in tied) or a + b in made:
+            break
+        taken.append((a, b, c))
+        if a == b or known:
+            break
+        lefts.add(a)
+        rights.add(b)
+        made.add(a + b)
+        tied.append((a + b, follow))
+    return taken
+
+
 def bpe_frequency(
     packed: DataFrame, floor: float, cap: int | None = None, first: int | None = None, least: int = 1
 ) -> tuple[DataFrame, list[tuple[str, str, int]]]:
     """Merge the most frequent pair until it falls below ``floor`` (share of the total weight) or ``least``.
 
+    A pass makes as many merges as are sure to come next in this order (``independent``).
     ``first`` asks for the first so many merges only; without it the loop runs to its end.
     """
     state = cut_lineage(packed)
     limit = max(least, floor * (state.agg(F.sum("w")).collect()[0][0] or 0))
     trace: list[tuple[str, str, int]] = []
-    for step in itertools.count() if first is None else range(first):
-        pairs = pair_supports(state).where(F.col("c") >= limit)
+    while first is None or len(trace) < first:
+        every = pair_supports(state)
+        pairs = every.where(F.col("c") >= limit)
         if cap is not None:
             pairs = pairs.where(F.length(F.concat("a", "b")) <= cap)
-        best = pairs.orderBy(F.desc("c"), "a", "b").limit(1).collect()
-        if not best:
+        tokens = token_supports(state).select(F.col("t").alias("z"), F.lit(True).alias("known"))
+        follow = every.groupBy(F.col("a").alias("b")).agg(F.max("c").alias("follow"))
+        top = pairs.orderBy(F.desc("c"), "a", "b").limit(PASS_PAIRS).withColumn("z", F.concat("a", "b"))
+        listed = top.join(follow, "b", "left").join(tokens, "z", "left").select("a", "b", "c", F.coalesce("follow", F.lit(0)).alias("follow"), F.coalesce("known", F.lit(False)).alias("known"))
+        merges = independent(sorted((tuple(r) for r in listed.collect()), key=lambda r: (-r[2], r[0], r[1])))
+        if not merges:
             break
-        trace.append((best[0]["a"], best[0]["b"], best[0]["c"]))
-        state = merge_pair(state, best[0]["a"], best[0]["b"])
-        if (step + 1) % CUT_EVERY == 0:
-            state = cut_lineage(state)
+        merges = merges if first is None else merges[: first - len(trace)]
+        trace += merges
+        state = cut_lineage(apply_merges(state, merges))
     return state, trace
 
 
@@ -327,10 +359,20 @@ def bpe_shoulder(packed: DataFrame, first: int | None = None) -> tuple[DataFrame
 
 def apply_merges(packed: DataFrame, trace: Sequence[tuple]) -> DataFrame:
     """Replay learned merges in order on any sequences."""
-    out = packed
-    for a, b, *_ in trace:
-        out = merge_pair(out, a, b)
-    return out
+    if not trace:
+        return packed
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = [(OPEN + a + CLOSE + OPEN + b + CLOSE, OPEN + a + b + CLOSE) for a, b, *_ in trace]
+        for batch in batches:
+            seqs = []
+            for seq in batch.column("seq").to_pylist():
+                for old, new in rules:
+                    seq = seq.replace(old, new)
+                seqs.append(seq)
+            yield batch.set_column(batch.schema.get_field_index("seq"), "seq", pa.array(seqs, pa.string()))
+
+    return packed.mapInArrow(replay, packed.schema)
 
 
 # ---- hierarchy --------------------------------------------------------------------------------------

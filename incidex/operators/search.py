@@ -20,6 +20,7 @@ from incidex.operators import graph, itemcounts as ic, rules as rl
 from incidex.session import cut_lineage
 
 TARGET, TOLERANCE, RELATED_J = 50.0, 10.0, 0.10
+TRIES = 1000  # of the first pass of sample_rules
 
 
 def _coverage(baskets: DataFrame, width: int, combos: Sequence[tuple[int, ...]]) -> list[int]:
@@ -177,8 +178,8 @@ def sample_rules(
 ) -> DataFrame:
     """Random disjunctions of frequent itemsets that pass the coverage band and the new-positives gate.
 
-    A try draws its size and its clauses from md5(seed|try|...); all tries are counted
-    in one Spark pass and accepted in order.
+    A try draws its size and its clauses from md5(seed|try|...); tries are counted in Spark passes of
+    ``TRIES``, then twice as many each time, and accepted in order until there are ``n_rules``.
     """
     spark = inc.sparkSession
     pool = [tuple(p) for p in pool]
@@ -188,29 +189,33 @@ def sample_rules(
         k = 1 + int(digest("k")[:8], 16) % k_max
         return tuple(sorted(range(len(pool)), key=lambda i: digest(i))[:k]) if len(pool) >= k else ()
 
-    tries, seen = [], set()
-    for t in range(max_tries):
-        picks = tuple(sorted(draw(t)))
-        if picks and picks not in seen:
-            seen.add(picks)
-            tries.append(picks)
-    need = sorted({s for c in tries for k in range(1, len(c) + 1) for s in combinations(c, k)})
-    at = {c: i for i, c in enumerate(need)}
-    cover = _coverage(rl.clause_baskets(inc, pool), len(pool), need) if need else []
-    rows, per_k = [], {}
-    for picks in tries:
-        if len(rows) == n_rules:
-            break
-        total = cover[at[picks]]
-        rest = [cover[at[tuple(p for p in picks if p != x)]] if len(picks) > 1 else 0 for x in picks]
-        fewest = min(total - r for r in rest)
-        if not cov_lo <= total / n_containers <= cov_hi or fewest < min_new:
-            continue
-        k = len(picks)
-        per_k[k] = per_k.get(k, 0) + 1
-        rule = " | ".join("(" + " & ".join(pool[p]) + ")" for p in picks)
-        least = min(cover[at[(p,)]] for p in picks)
-        rows.append((f"dnf_k{k}_r{per_k[k]}", k, rule, total, total / n_containers, fewest, least))
+    baskets = cut_lineage(rl.clause_baskets(inc, pool))
+    cover: dict[tuple[int, ...], int] = {}
+    rows, per_k, seen = [], {}, set()
+    done, step = 0, TRIES
+    while done < max_tries and len(rows) < n_rules:
+        tries = []
+        for t in range(done, min(done + step, max_tries)):
+            picks = tuple(sorted(draw(t)))
+            if picks and picks not in seen:
+                seen.add(picks)
+                tries.append(picks)
+        done, step = done + step, 2 * step
+        need = sorted({s for c in tries for k in range(1, len(c) + 1) for s in combinations(c, k)} - cover.keys())
+        cover |= zip(need, _coverage(baskets, len(pool), need))
+        for picks in tries:
+            if len(rows) == n_rules:
+                break
+            total = cover[picks]
+            rest = [cover[tuple(p for p in picks if p != x)] if len(picks) > 1 else 0 for x in picks]
+            fewest = min(total - r for r in rest)
+            if not cov_lo <= total / n_containers <= cov_hi or fewest < min_new:
+                continue
+            k = len(picks)
+            per_k[k] = per_k.get(k, 0) + 1
+            rule = " | ".join("(" + " & ".join(pool[p]) + ")" for p in picks)
+            least = min(cover[(p,)] for p in picks)
+            rows.append((f"dnf_k{k}_r{per_k[k]}", k, rule, total, total / n_containers, fewest, least))
     return spark.createDataFrame(
         rows, "rule_key string, k int, rule string, n_pos long, cov double, min_new_pos long, min_clause_support long"
     )

@@ -175,7 +175,7 @@ def _(t):
 
 @query("lrn10_bpe_description", "step:l a:s b:s bits:d")
 def _(t):
-    _, trace = ln.bpe_description(_words(t), first=3)
+    _, trace = ln.bpe_description(_words(t))
     return t.spark.createDataFrame([(i + 1, *x) for i, x in enumerate(trace)], "step int, a string, b string, bits double")
 
 
@@ -191,7 +191,7 @@ def _(t):
 
 @query("lrn12_bpe_shoulder", "step:l a:s b:s c:l")
 def _(t):
-    _, trace = ln.bpe_shoulder(_words(t), first=8)
+    _, trace = ln.bpe_shoulder(_words(t))
     return _trace(t, trace)
 
 

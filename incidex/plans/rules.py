@@ -134,7 +134,7 @@ def _(t):
 
 @query("rul10_best_rule", "rank:l rule:s n_clauses:l n_match:l pct_match:d balance:d spurious:d separation:d score:d and_valid:b")
 def _(t):
-    return search.best_rule(t.containers, t.brand_incidence, t.brand_names, t.containers.count(), top_k=10, max_clauses=3)
+    return search.best_rule(t.containers, t.brand_incidence, t.brand_names, t.containers.count(), top_k=30, max_clauses=4)
 
 
 @query("rul11_apply_rules", "rule_id:l container_id:l label:l synth:l", "SELECT * FROM labelled")
@@ -286,7 +286,7 @@ def _(t):
 def _(t):
     f, n = _itemsets(t)
     pool = [r["items"] for r in f.orderBy(F.desc("n"), "items").collect()]  # frequent itemsets over a bounded item list
-    return search.sample_rules(t.brand_incidence, pool, n, _min_count(n), n_rules=20, cov_lo=0.2, cov_hi=0.6, max_tries=300)
+    return search.sample_rules(t.brand_incidence, pool, n, _min_count(n), n_rules=20, cov_lo=0.2, cov_hi=0.6, max_tries=200_000)
 
 
 CORRS = """SELECT rule_id, item_key, supp, nf AS n_fired, nf - n11 AS sep,

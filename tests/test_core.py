@@ -187,3 +187,36 @@ def test_workers_need_no_package(tmp_path):
     )
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert "rows" in out.stdout, out.stderr[-1500:]
+
+
+def test_merge_queries_run_to_their_end(spark, tmp_path):
+    """Several merges of a pass are those of one-at-a-time merging, and the queries ask for all of them."""
+    import collections
+    import random
+
+    from incidex.plans import load_all
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 7))) for _ in range(40)]
+    spark.createDataFrame([(0, " ".join(words))], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    seqs, want = [list(w) for w in words], []
+    while True:
+        pairs = collections.Counter(p for s in seqs for p in zip(s, s[1:]))
+        c, (a, b) = min(((-n, p) for p, n in pairs.items()), default=(0, ("", "")))
+        if -c < 2:
+            break
+        want.append((a, b, -c))
+        for i, s in enumerate(seqs):
+            out, free = [], False
+            for x in s:
+                if free and (out[-1], x) == (a, b):
+                    out[-1], free = a + b, False  # what was just made takes no part in this merge
+                else:
+                    out.append(x)
+                    free = True
+            seqs[i] = out
+    packed = learn.pack_sequences(spark.createDataFrame([(list(w),) for w in words], "tokens array<string>"))
+    assert learn.bpe_frequency(packed, 0.0, least=2)[1] == want
+    knee = learn.knee(spark.createDataFrame([(i, c) for i, (*_, c) in enumerate(want)], "step long, c long")).collect()[0]["n_keep"]
+    got = load_all()["lrn12_bpe_shoulder"].run(spark, str(tmp_path)).orderBy("step").collect()
+    assert [(r["a"], r["b"], r["c"]) for r in got] == want[:knee]
