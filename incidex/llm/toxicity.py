@@ -2,12 +2,12 @@
 
 Terms of a text are its distinct words (A-Z lower-cased, marks at the ends taken off) and, for longer words,
 their first five bytes; each is hashed into ``BUCKETS``.  Over all labelled training rows the classes' document
-counts of every bucket are added up; the ``features`` buckets that tell the classes apart best (by ``least_gap`` standard errors at least) carry the model
+counts of every bucket are added up; all buckets that tell the classes apart (by ``least_gap`` standard errors at least) carry the model
 
     z = b + sum_i w_i + sum_{i<j} <v_i, v_j>,   score = 1 / (1 + exp(-z)),
 
 where the pair term scores combinations (an insult next to a group's name) that no sum of weights can.  The
-model is fitted with Adam on a bounded sample of labelled rows (``sample`` rows by hash order of the id; the bound is
+model is fitted with Adam on a bounded sample of labelled rows (``sample`` rows by hash order of the id, taken after the counts; the bound is
 what is ever gathered on the driver), and scoring is one pass over the documents.
 
 Defined results: NULL and empty texts have no terms and get the model's base rate; NULL ids are scored, never
@@ -114,10 +114,9 @@ def fit(buckets: np.ndarray, y: np.ndarray, rows: list[np.ndarray], k: int = 6,
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 200_000, features: int = 4096, min_docs: int = 3, least_gap: float = 2.5) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 200_000, min_docs: int = 3, least_gap: float = 2.5) -> FactorizationMachine:
     """Fits on rows of ``labels(doc_id, toxic)`` that satisfy ``usable`` (a condition on ``doc_id``)."""
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & usable).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y"))
-    marks = marks.orderBy(F.xxhash64("id"), "id", "y").limit(sample)  # at most ``sample`` rows: small enough to send everywhere
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = TermHasher()
@@ -127,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 200_
                 yield record_batches([("id", pa.int64(), b.column("id")), ("y", pa.int32(), b.column("y")), ("terms", pa.list_(pa.int32()), got)])
 
     rows = cut_lineage(
-        docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(marks), "id").select("id", "y", "text").mapInArrow(hashed, "id bigint, y int, terms array<int>")
+        docs.select(F.col("doc_id").alias("id"), "text").join(marks, "id").select("id", "y", "text").mapInArrow(hashed, "id bigint, y int, terms array<int>")
     )
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 200_
     # distance of the log shares in standard errors
     gap = F.abs(F.log((pos + 0.5) / F.lit(n_pos + 1.0)) - F.log((neg + 0.5) / F.lit(n_neg + 1.0))) / F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
     totals = rows.mapInArrow(counted, "bucket int, neg bigint, pos bigint").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    best = totals.where((pos + neg >= min_docs) & (gap >= least_gap)).orderBy(gap.desc(), "bucket").limit(features).select("bucket").toPandas()
+    best = totals.where((pos + neg >= min_docs) & (gap >= least_gap)).select("bucket").toPandas()  # at most BUCKETS
     buckets = np.sort(best["bucket"].to_numpy(np.int64))
     if not n_pos or not n_neg:
         buckets = buckets[:0]
@@ -158,11 +157,15 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 200_
             got = [[number[t] for t in terms if t in number] for terms in b.column("terms").to_pylist()]
             yield record_batches([("id", pa.int64(), b.column("id")), ("y", pa.int32(), b.column("y")), ("x", pa.list_(pa.int32()), got)])
 
-    design = rows.mapInArrow(reduced, "id bigint, y int, x array<int>").toArrow()
+    some = rows if n_pos + n_neg <= sample else rows.orderBy(F.xxhash64("id"), "id", "y").limit(sample)
+    design = some.mapInArrow(reduced, "id bigint, y int, x array<int>").toArrow()
     order = np.argsort(mix_order(design.column("id").to_numpy()), kind="stable")
     y = design.column("y").to_numpy().astype(float)[order]
-    x = design.column("x").to_pylist()
-    return fit(buckets, y, [np.array(sorted(x[i]), np.int64) for i in order])
+    lists = design.column("x").combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    return fit(buckets, y, [np.sort(values[starts[i] : ends[i]]) for i in order])
 
 
 def mix_order(ids: np.ndarray) -> np.ndarray:

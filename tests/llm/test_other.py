@@ -44,6 +44,18 @@ def test_toxicity_learns_pairs(spark, docs, empty):
     assert all(math.isclose(r["score"], 1e-4) for r in toxicity.score(df.limit(5), none).collect())
 
 
+def test_toxicity_counts_all_labelled_rows(spark):
+    """Buckets are chosen from all labelled rows and without a cap; only the fit takes a sample."""
+    rows = [(i, f"word{i % 7} " + " ".join(f"bad{i}x{k % 90}" if i < 2 else f"vile{k}" for k in range(90)) if i % 2 else f"word{i % 7} good") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    few, all_rows = (toxicity.train(df, marks, F.lit(True), sample=n) for n in (20, 400))
+    assert len(few.buckets) > 80 and list(few.buckets) == list(all_rows.buckets)
+    many = [(i, " ".join(f"t{k}" for k in range(6000)) if i % 2 else "fine") for i in range(60)]
+    model = toxicity.train(spark.createDataFrame(many, df.schema), marks, F.lit(True))
+    assert len(model.buckets) > 5000
+
+
 def test_url_lists(spark):
     day = lambda n: datetime.date(2024, 1, n)
     log = [
