@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from incidex.operators import rules as rl
 from incidex.operators import search
 from incidex.plans.registry import query
+from incidex.session import cut_lineage
 
 SAMPLE = 60
 PROXY = 0.15  # items are drawn evenly here, so the usual 0.70 would select nothing
@@ -383,22 +384,24 @@ def _(t):
 
 @query("rul26_shortcut_report", "rule_id:l clause_id:l shortcut_auc:d distractors:s")
 def _(t):
-    two = t.rules.where("rule_id <= 2")
-    return search.shortcut_report(t.brand_incidence, t.containers, two, t.brand_names, t.n_containers, threshold=0.005)
+    return search.shortcut_report(t.brand_incidence, t.containers, t.rules, t.brand_names, t.n_containers, threshold=0.005)
 
 
 @query("rul27_cross_validated_auc", "rule_id:l auc:d")
 def _(t):
-    fired = rl.fired_containers(t.brand_incidence, t.rules.where("rule_id = 1"))
-    ex = search.merged_examples(t.brand_incidence, t.containers, fired, t.brand_names, 3, "0")
-    return t.spark.createDataFrame([(1, search.cross_validated_auc(ex, len(t.brand_names), 3))], "rule_id int, auc double")
+    fired = cut_lineage(rl.fired_containers(t.brand_incidence, t.rules))
+    rows = []
+    for r in t.rules.select("rule_id").distinct().orderBy("rule_id").collect():  # the rule list is bounded
+        ex = search.merged_examples(t.brand_incidence, t.containers, fired.where(F.col("rule_id") == r["rule_id"]), t.brand_names, 3, "0")
+        rows.append((r["rule_id"], search.cross_validated_auc(ex, len(t.brand_names), 3)))
+    return t.spark.createDataFrame(rows, "rule_id int, auc double")
 
 
 @query("rul28_grade_rules", "rule_id:l shortcut_auc:d composition_auc:d")
 def _(t):
     kinds = t.lines.select("container_id", F.col("kind").alias("item_key")).distinct()
     names = [r["item_key"] for r in kinds.select("item_key").distinct().orderBy("item_key").collect()]  # part types
-    return search.grade_rules(t.brand_incidence, t.containers, t.rules.where("rule_id <= 2"), t.brand_names, kinds, names)
+    return search.grade_rules(t.brand_incidence, t.containers, t.rules, t.brand_names, kinds, names)
 
 
 KINDS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]

@@ -220,3 +220,13 @@ def test_merge_queries_run_to_their_end(spark, tmp_path):
     knee = learn.knee(spark.createDataFrame([(i, c) for i, (*_, c) in enumerate(want)], "step long, c long")).collect()[0]["n_keep"]
     got = load_all()["lrn12_bpe_shoulder"].run(spark, str(tmp_path)).orderBy("step").collect()
     assert [(r["a"], r["b"], r["c"]) for r in got] == want[:knee]
+
+
+def test_graded_rules_are_all_rules(spark, monkeypatch):
+    from incidex.operators import search
+    from incidex.plans import load_all
+
+    monkeypatch.setattr(search, "cross_validated_auc", lambda examples, width, folds: 0.5)
+    for name in ("rul26_shortcut_report", "rul27_cross_validated_auc", "rul28_grade_rules"):
+        got = load_all()[name].run(spark, "/root/testdata/sf0.001").collect()
+        assert {r["rule_id"] for r in got} == {1, 2, 3, 4, 5, 6}, name
