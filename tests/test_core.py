@@ -230,3 +230,19 @@ def test_graded_rules_are_all_rules(spark, monkeypatch):
     for name in ("rul26_shortcut_report", "rul27_cross_validated_auc", "rul28_grade_rules"):
         got = load_all()[name].run(spark, "/root/testdata/sf0.001").collect()
         assert {r["rule_id"] for r in got} == {1, 2, 3, 4, 5, 6}, name
+
+
+def test_rule_search_takes_the_whole_lists(spark, monkeypatch):
+    from unittest.mock import MagicMock
+
+    from incidex.operators import search
+    from incidex.plans import load_all, rules as plans
+
+    asked = {}
+    monkeypatch.setattr(search, "best_rule", lambda *_, **options: asked.update(options))
+    monkeypatch.setattr(search, "sample_rules", lambda *_, **options: asked.update(options))
+    monkeypatch.setattr(plans, "_itemsets", lambda t: (MagicMock(), 100))
+    monkeypatch.setattr(plans, "_min_count", lambda n: 1)
+    for name in ("rul10_best_rule", "rul19_sample_rules"):
+        load_all()[name].build(MagicMock())
+    assert (asked["top_k"], asked["max_clauses"], asked["max_tries"]) == (30, 4, 200_000)
