@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidex.llm import bm25, brownlm, pfair, urllists
+from incidex.llm import bm25, brownlm, pfair, turns, urllists
 from incidex.llm.common import id_crc, table
 from incidex.llm.decisionlist import COUNTS, judge
 from incidex.llm.jaccard import similar_classes
@@ -107,8 +107,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity_fm, op2_url_lists, op3_benchmark_bm25, op4_line_dedup, op5_brown_lm, op6_token_group_join, op7_token_shards, op8_decision_list, op9_pfair_mix, op10_warc)
+    for f in (op1_toxicity_fm, op2_url_lists, op3_benchmark_bm25, op4_line_dedup, op5_brown_lm, op6_token_group_join, op7_token_shards, op8_decision_list, op9_pfair_mix, op10_warc, op11_conversation_repair)
 }
 ORACLES = {"op2_url_lists": OP2_SQL}
