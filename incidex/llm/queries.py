@@ -13,6 +13,7 @@ from incidex.llm.jaccard import similar_classes
 from incidex.llm.linededup import line_dedup
 from incidex.llm.tokenfile import read_shards, write_shards
 from incidex.llm.toxicity import score, train
+from incidex.llm.variants import spelling_forms, word_counts
 from incidex.llm.warc import read_archives, write_archives
 from incidex.session import cut_lineage
 
@@ -111,8 +112,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair(turns.damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
 
 
+def op13_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = word_counts(table(spark, sf_dir, "documents"), min_chars=7, slip=31)
+    return spelling_forms(counts.where("n >= 2"), factor=10)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity_fm, op2_url_lists, op3_benchmark_bm25, op4_line_dedup, op5_brown_lm, op6_token_group_join, op7_token_shards, op8_decision_list, op9_pfair_mix, op10_warc, op11_conversation_repair)
+    for f in (op1_toxicity_fm, op2_url_lists, op3_benchmark_bm25, op4_line_dedup, op5_brown_lm, op6_token_group_join, op7_token_shards, op8_decision_list, op9_pfair_mix, op10_warc, op11_conversation_repair, op13_spelling_forms)
 }
 ORACLES = {"op2_url_lists": OP2_SQL}
