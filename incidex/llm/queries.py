@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidex.llm import bm25, brownlm, pfair, turns, urllists
+from incidex.llm import bm25, brownlm, fastsketch, pfair, turns, urllists
 from incidex.llm.common import id_crc, table
 from incidex.llm.decisionlist import COUNTS, judge
 from incidex.llm.jaccard import similar_classes
@@ -112,6 +112,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair(turns.damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
 
 
+def op12_fast_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fastsketch.similar_classes(table(spark, sf_dir, "documents"), k=4, percent=80)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op13_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = word_counts(table(spark, sf_dir, "documents"), min_chars=7, slip=31)
     return spelling_forms(counts.where("n >= 2"), factor=10)
@@ -119,6 +124,6 @@ def op13_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity_fm, op2_url_lists, op3_benchmark_bm25, op4_line_dedup, op5_brown_lm, op6_token_group_join, op7_token_shards, op8_decision_list, op9_pfair_mix, op10_warc, op11_conversation_repair, op13_spelling_forms)
+    for f in (op1_toxicity_fm, op2_url_lists, op3_benchmark_bm25, op4_line_dedup, op5_brown_lm, op6_token_group_join, op7_token_shards, op8_decision_list, op9_pfair_mix, op10_warc, op11_conversation_repair, op12_fast_sketch_dedup, op13_spelling_forms)
 }
 ORACLES = {"op2_url_lists": OP2_SQL}
