@@ -16,6 +16,8 @@ Two documents link when ``100 * |x & y| >= percent * |x | y|``; the result is ea
 5. A family of more than ``chunk`` shingles is dealt to chunks, each with the family's first set; then its members outside its largest class
    query all its chunks.
 
+Joins on sets and ids are merge joins at every size, so small inputs run the plan that large ones need.
+
 Hashes stand for words, shingles and sets and are not checked for collisions.
 
 Defined results: NULL, empty or white-space text has no set and is its own class; a NULL id links with nothing, gets a NULL class and is kept;
@@ -258,7 +260,7 @@ def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
     edges = cut_lineage(pairs.distinct())
     ends = edges.select(F.col("a").alias("sid")).unionByName(edges.select(F.col("b").alias("sid"))).distinct()
     families = close(ends, edges).withColumnRenamed("cls", "family")
-    members = cut_lineage(families.join(first.select("sid", "n", "id"), "sid"))
+    members = cut_lineage(families.join(first.select("sid", "n", "id").hint("merge"), "sid"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -273,7 +275,7 @@ def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
                     [("sid", pa.int64(), b.column("sid").take(took)), ("family", pa.int64(), b.column("family").take(took)), ("tokens", None, pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat)))]
                 )
 
-    fetched = src.join(members.select("id", "sid", "family"), "id").select("sid", "family", "text").mapInArrow(tokens, "sid bigint, family bigint, tokens array<bigint>")
+    fetched = src.join(members.select("id", "sid", "family").hint("merge"), "id").select("sid", "family", "text").mapInArrow(tokens, "sid bigint, family bigint, tokens array<bigint>")
     sizes = members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(chunk)).alias("chunks"))
     large = cut_lineage(sizes.where("chunks > 1"))
     whole = cut_lineage(fetched)
@@ -304,9 +306,9 @@ def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
         classes = close(members.select("sid"), links.unionByName(more))
     release(whole)
 
-    of_set = first.select("sid", "id").join(classes, "sid", "left").select("sid", "id", F.coalesce("cls", "sid").alias("cls"))
+    of_set = first.select("sid", "id").join(classes.hint("merge"), "sid", "left").select("sid", "id", F.coalesce("cls", "sid").alias("cls"))
     least = of_set.groupBy("cls").agg(F.min("id").alias("least"))
-    of_set = of_set.join(least, "cls").select("sid", "least")
+    of_set = of_set.join(least.hint("merge"), "cls").select("sid", "least")
     own = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("least")).otherwise(F.col("id"))
-    listed = scanned.select("id", "n", "sid").join(of_set, "sid", "left").select("id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    listed = scanned.select("id", "n", "sid").join(of_set.hint("merge"), "sid", "left").select("id", F.col("n").alias("n_shingles"), own.alias("component_id"))
     return listed.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
