@@ -6,11 +6,9 @@ sees one winner (or a bounded list) per round.
 
 from __future__ import annotations
 
-import itertools
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,151 +175,7 @@ def model_length(counts: DataFrame) -> DataFrame:
     return counts.where("c > 0").agg((model + data).alias("bits"), v.alias("n_types"))
 
 
-# ---- pair merging ------------------------------------------------------------------------------
-
-OPEN, CLOSE = "⟨", "⟩"  # brackets around every token of a packed sequence
-
-
-def pack_sequences(sequences: DataFrame) -> DataFrame:
-    """Equal sequences merged: ``seq string, w``; input ``tokens array<string>`` (and optional ``w``)."""
-    w = F.col("w") if "w" in sequences.columns else F.lit(1)
-    wrapped = F.concat(F.lit(OPEN), F.array_join("tokens", CLOSE + OPEN), F.lit(CLOSE))
-    return sequences.where(F.size("tokens") > 0).select(wrapped.alias("seq"), w.alias("w")).groupBy("seq").agg(F.sum("w").alias("w"))
-
-
-def _tokens(seq: str = "seq") -> Column:
-    return F.split(F.expr(f"substring({seq}, 2, length({seq}) - 2)"), CLOSE + OPEN)
-
-
-def pair_supports(packed: DataFrame) -> DataFrame:
-    """Weighted count of every adjacent pair: ``a, b, c``."""
-    t = packed.select(_tokens().alias("t"), "w").where(F.size("t") > 1)
-    pairs = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(F.get("t", i - 1).alias("a"), F.get("t", i).alias("b")))
-    return t.select(F.explode(pairs).alias("p"), "w").groupBy("p.a", "p.b").agg(F.sum("w").alias("c"))
-
-
-def token_supports(packed: DataFrame) -> DataFrame:
-    return packed.select(F.explode(_tokens()).alias("t"), "w").groupBy("t").agg(F.sum("w").alias("c"))
-
-
-def merge_pair(packed: DataFrame, a: str, b: str) -> DataFrame:
-    """Left-to-right merge of one pair in every sequence, as a plain text replacement."""
-    old, new = OPEN + a + CLOSE + OPEN + b + CLOSE, OPEN + a + b + CLOSE
-    return packed.withColumn("seq", F.replace("seq", F.lit(old), F.lit(new)))
-
-
-PASS_PAIRS = 1000  # pairs looked at in one pass over the sequences
-
-
-def independent(listed: Sequence[tuple[str, str, int, int, bool]]) -> list[tuple[str, str, int]]:
-    """The first merges of ``(a, b, c, follow, known)``, best pair first, that one-at-a-time merging makes in this order.
-
-    ``follow`` is the largest support of a pair that begins with ``b``; ``known`` tells whether ``ab`` is a token already.
-    A later pair keeps its support while none of its ends is used up on the other side.  A new pair (x, ab) or (ab, y)
-    has at most the support of (x, a) or (b, y): where that pair came before, the list ends there; where it comes later with
-    the same support, only (ab, y) with ``ab`` before the later pair's first token can overtake.
-    """
-    taken: list[tuple[str, str, int]] = []
-    lefts, rights, made, tied = set(), set(), set(), []
-    for a, b, c, follow, known in listed:
-        if a in rights or b in lefts or any(f >= c and z <= a for z, f in tied) or a + b in made:
-            break
-        taken.append((a, b, c))
-        if a == b or known:
-            break
-        lefts.add(a)
-        rights.add(b)
-        made.add(a + b)
-        tied.append((a + b, follow))
-    return taken
-
-
-def bpe_frequency(
-    packed: DataFrame, floor: float, cap: int | None = None, first: int | None = None, least: int = 1
-) -> tuple[DataFrame, list[tuple[str, str, int]]]:
-    """Merge the most frequent pair until it falls below ``floor`` (share of the total weight) or ``least``.
-
-    A pass makes as many merges as are sure to come next in this order (``independent``).
-    ``first`` asks for the first so many merges only; without it the loop runs to its end.
-    """
-    state = cut_lineage(packed)
-    limit = max(least, floor * (state.agg(F.sum("w")).collect()[0][0] or 0))
-    trace: list[tuple[str, str, int]] = []
-    while first is None or len(trace) < first:
-        every = pair_supports(state)
-        pairs = every.where(F.col("c") >= limit)
-        if cap is not None:
-            pairs = pairs.where(F.length(F.concat("a", "b")) <= cap)
-        tokens = token_supports(state).select(F.col("t").alias("z"), F.lit(True).alias("known"))
-        follow = every.groupBy(F.col("a").alias("b")).agg(F.max("c").alias("follow"))
-        top = pairs.orderBy(F.desc("c"), "a", "b").limit(PASS_PAIRS).withColumn("z", F.concat("a", "b"))
-        listed = top.join(follow, "b", "left").join(tokens, "z", "left").select("a", "b", "c", F.coalesce("follow", F.lit(0)).alias("follow"), F.coalesce("known", F.lit(False)).alias("known"))
-        merges = independent(sorted((tuple(r) for r in listed.collect()), key=lambda r: (-r[2], r[0], r[1])))
-        if not merges:
-            break
-        merges = merges if first is None else merges[: first - len(trace)]
-        trace += merges
-        state = cut_lineage(apply_merges(state, merges))
-    return state, trace
-
-
-def _f(c: Column) -> Column:
-    """c log2 c, 0 at 0."""
-    return F.when(c > 0, c * F.log2(c)).otherwise(0.0)
-
-
-def bpe_description(packed: DataFrame, first: int | None = None) -> tuple[DataFrame, list[tuple[str, str, float]]]:
-    """Merge the pair with the best estimated drop in description length while the exact length drops.
-
-    ``first`` asks for the first so many merges only.
-    """
-    state = cut_lineage(packed)
-
-    def length(df: DataFrame) -> float:
-        t = token_supports(df).withColumn("size", F.length("t"))
-        return description_length(t.select("size", "c")).collect()[0]["bits"]
-
-    now, trace = length(state), []
-    for _ in itertools.count() if first is None else range(first):
-        types = token_supports(state)
-        n, k = types.agg(F.sum("c")).scalar(), F.col("k")
-        p = pair_supports(state).select("a", "b", F.col("c").alias("k"))
-        j = (
-            p.join(types.select(F.col("t").alias("a"), F.col("c").alias("ca")), "a")
-            .join(types.select(F.col("t").alias("b"), F.col("c").alias("cb")), "b")
-            .withColumn("z", F.concat("a", "b"))
-            .join(types.select(F.col("t").alias("z"), F.col("c").alias("cz")), "z", "left")
-            .withColumn("cz", F.coalesce("cz", F.lit(0)))
-            .withColumn("n", n)
-        )
-        same = F.col("a") == F.col("b")
-        na = F.col("ca") - F.when(same, 2 * k).otherwise(k)
-        nb = F.when(same, 0).otherwise(F.col("cb") - k)
-        size = lambda c: F.length(c) * BITS
-        dictionary = (
-            F.when(F.col("cz") == 0, size("z")).otherwise(0.0)
-            - F.when(na <= 0, size("a")).otherwise(0.0)
-            - F.when(~same & (nb <= 0), size("b")).otherwise(0.0)
-        )
-        before = _f(F.col("ca")) + F.when(same, 0.0).otherwise(_f(F.col("cb"))) + _f(F.col("cz"))
-        after = _f(na) + _f(nb) + _f(F.col("cz") + k)
-        corpus = _f(F.col("n") - k) - _f(F.col("n")) + before - after
-        best = (
-            j.select("a", "b", (dictionary + corpus).alias("gain"))
-            .where(F.col("gain") < -1e-9)
-            .orderBy("gain", "a", "b")
-            .limit(1)
-            .collect()
-        )
-        if not best:
-            break
-        trial = cut_lineage(merge_pair(state, best[0]["a"], best[0]["b"]))
-        then = length(trial)
-        if then >= now:
-            break
-        state, now = trial, then
-        trace.append((best[0]["a"], best[0]["b"], then))
-    return state, trace
+# ---- knee ------------------------------------------------------------------------------------------
 
 
 def knee(counts: DataFrame) -> DataFrame:
@@ -343,38 +197,6 @@ def knee(counts: DataFrame) -> DataFrame:
     return d.agg(F.when(F.count("*") <= 2, F.count("*")).otherwise(at).alias("n_keep"), F.max("d").alias("distance"))
 
 
-def bpe_shoulder(packed: DataFrame, first: int | None = None) -> tuple[DataFrame, list[tuple[str, str, int]]]:
-    """Merge to exhaustion (no pair occurs twice), then keep only the merges up to the knee of their supports.
-
-    ``first`` looks for the knee among the first so many merges.
-    """
-    spark = packed.sparkSession
-    _, trace = bpe_frequency(packed, 0.0, first=first, least=2)
-    if not trace:
-        return packed, []
-    curve = spark.createDataFrame([(i, c) for i, (_, _, c) in enumerate(trace)], "step long, c long")
-    keep = trace[: knee(curve).collect()[0]["n_keep"]]
-    return apply_merges(packed, keep), keep
-
-
-def apply_merges(packed: DataFrame, trace: Sequence[tuple]) -> DataFrame:
-    """Replay learned merges in order on any sequences."""
-    if not trace:
-        return packed
-
-    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = [(OPEN + a + CLOSE + OPEN + b + CLOSE, OPEN + a + b + CLOSE) for a, b, *_ in trace]
-        for batch in batches:
-            seqs = []
-            for seq in batch.column("seq").to_pylist():
-                for old, new in rules:
-                    seq = seq.replace(old, new)
-                seqs.append(seq)
-            yield batch.set_column(batch.schema.get_field_index("seq"), "seq", pa.array(seqs, pa.string()))
-
-    return packed.mapInArrow(replay, packed.schema)
-
-
 # ---- hierarchy --------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from incidex.operators import graph
 from incidex.operators import learn as ln
+from incidex.operators import merges as mg
 from incidex.operators import rules as rl
 from incidex.plans.registry import query
 
@@ -145,37 +146,33 @@ def _(t):
 def _words(t):
     """Distinct words as letter sequences, weighted by their count in the corpus."""
     w = t.tokens.groupBy("token").agg(F.count("*").alias("w"))
-    return ln.pack_sequences(w.select(F.split("token", "").alias("tokens"), "w"))
+    return mg.pack_sequences(w.select(F.split("token", "").alias("tokens"), "w"))
 
 
-ROUNDS = 4
-
-
-def _bpe_sql(final: str) -> str:
-    """The first merges as a chain: pair counts, winner, replacement."""
-    steps = ["""s0 AS (SELECT '<' || array_to_string(string_split(token, ''), '><') || '>' AS seq, count(*) AS w FROM tokens GROUP BY token)"""]
-    for k in range(1, ROUNDS + 1):
-        p = f"s{k - 1}"
-        steps.append(f"""p{k} AS (SELECT a, b, sum(w) AS c FROM (SELECT w, unnest(t[:-2]) AS a, unnest(t[2:]) AS b FROM
-              (SELECT w, string_split(seq[2:-2], '><') AS t FROM {p}) WHERE len(t) > 1) GROUP BY ALL),
-            b{k} AS (SELECT {k} AS step, a, b, c FROM p{k} WHERE length(a || b) <= 4 ORDER BY c DESC, a, b LIMIT 1),
-            s{k} AS (SELECT replace(seq, '<' || a || '><' || b || '>', '<' || a || b || '>') AS seq, w FROM {p}, b{k})""")
-    return f"WITH {', '.join(steps)} {final}"
+# One merge a step; a row without weight carries the tokens made so far, whose place is their age.
+MERGED = """(WITH RECURSIVE s AS (
+   SELECT 0 AS step, '<' || array_to_string(string_split(token, ''), '><') || '>' AS seq, count(*)::BIGINT AS w, '' AS a, '' AS b, 0::BIGINT AS c, NULL::VARCHAR[] AS made FROM tokens GROUP BY token
+   UNION ALL SELECT 0, '', 0, '', '', 0, []
+   UNION ALL
+   SELECT step + 1, replace(seq, '<' || m.a || '><' || m.b || '>', '<' || m.a || m.b || '>'), w, m.a, m.b, m.c, list_append(s.made, m.a || m.b) FROM s,
+     (SELECT p.* FROM (SELECT a, b, sum(w)::BIGINT AS c FROM (SELECT w, unnest(t[:-2]) AS a, unnest(t[2:]) AS b FROM (SELECT w, string_split(seq[2:-2], '><') AS t FROM s WHERE w > 0) WHERE len(t) > 1)
+        WHERE length(a || b) <= 4 GROUP BY ALL HAVING sum(w) >= 0.001 * (SELECT count(*) FROM tokens)) p, (SELECT made FROM s WHERE w = 0) o
+      ORDER BY c DESC, greatest(coalesce(list_position(made, a), 0), coalesce(list_position(made, b), 0)), a, b LIMIT 1) m)
+  SELECT * FROM s)"""
 
 
 def _trace(t, trace):
     return t.spark.createDataFrame([(i + 1, a, b, c) for i, (a, b, c) in enumerate(trace)], "step int, a string, b string, c long")
 
 
-@query("lrn9_bpe_frequency", "step:l a:s b:s c:l", _bpe_sql(" UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(1, ROUNDS + 1))))
+@query("lrn9_bpe_frequency", "step:l a:s b:s c:l", f"SELECT step, a, b, c FROM {MERGED} WHERE w = 0 AND step > 0")
 def _(t):
-    _, trace = ln.bpe_frequency(_words(t), 0.001, cap=4, first=ROUNDS)
-    return _trace(t, trace)
+    return _trace(t, mg.merge_by_support(_words(t), 0.001, cap=4))
 
 
 @query("lrn10_bpe_description", "step:l a:s b:s bits:d")
 def _(t):
-    _, trace = ln.bpe_description(_words(t))
+    trace = mg.merge_by_length(_words(t))
     return t.spark.createDataFrame([(i + 1, *x) for i, x in enumerate(trace)], "step int, a string, b string, bits double")
 
 
@@ -191,16 +188,16 @@ def _(t):
 
 @query("lrn12_bpe_shoulder", "step:l a:s b:s c:l")
 def _(t):
-    _, trace = ln.bpe_shoulder(_words(t))
-    return _trace(t, trace)
+    return _trace(t, mg.merge_to_knee(_words(t)))
 
 
 @query("lrn13_apply_merges", "token:s c:l",
-       _bpe_sql(f"SELECT token, sum(w) AS c FROM (SELECT w, unnest(string_split(seq[2:-2], '><')) AS token FROM s{ROUNDS}) GROUP BY token"))
+       f"""WITH s AS MATERIALIZED (SELECT step, seq, w FROM {MERGED})
+           SELECT token, sum(w) AS c FROM (SELECT w, unnest(string_split(seq[2:-2], '><')) AS token FROM s WHERE w > 0 AND step = (SELECT max(step) FROM s)) GROUP BY token""")
 def _(t):
     words = _words(t)
-    _, trace = ln.bpe_frequency(words, 0.001, cap=4, first=ROUNDS)
-    return ln.token_supports(ln.apply_merges(words, trace)).withColumnRenamed("t", "token")
+    trace = mg.merge_by_support(words, 0.001, cap=4)
+    return mg.token_supports(mg.apply_merges(words, trace)).withColumnRenamed("t", "token")
 
 
 def _baskets(t):

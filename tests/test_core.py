@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from incidex import skew
-from incidex.operators import gates, learn, metrics, rules, vocab
+from incidex.operators import gates, learn, merges, metrics, rules, vocab
 from incidex.sinks import writers
 from incidex.sources import readers
 
@@ -88,13 +88,6 @@ def test_greedy_cover_is_a_partition(spark):
         assert flat == sorted(r["items"])
 
 
-def test_merges_lower_counts(spark):
-    seq = learn.pack_sequences(spark.createDataFrame([(list("abab"),), (list("abc"),)], "tokens array<string>"))
-    out, trace = learn.bpe_frequency(seq, 0.0, first=1)
-    assert trace == [("a", "b", 3)]
-    assert {r["t"]: r["c"] for r in learn.token_supports(out).collect()} == {"ab": 3, "c": 1}
-
-
 def test_ranks_with_one_frequent_value(spark):
     """One value on nine rows of ten, in every group."""
     values = [0.0 if i % 10 else float(i) for i in range(4000)]
@@ -126,9 +119,8 @@ def test_more_gates_raise(spark):
 
 def test_shoulder_stops_at_single_pairs(spark):
     """Pairs seen once are not merged, and a curve of two steps is kept whole."""
-    seq = learn.pack_sequences(spark.createDataFrame([(list("abxy"),), (list("abzw"),), (list("abc"),)], "tokens array<string>"))
-    _, trace = learn.bpe_shoulder(seq)
-    assert trace == [("a", "b", 3)]
+    seq = merges.pack_sequences(spark.createDataFrame([(list("abxy"),), (list("abzw"),), (list("abc"),)], "tokens array<string>"))
+    assert merges.merge_to_knee(seq) == [("a", "b", 3)]
     two = spark.createDataFrame([(0, 100), (1, 3)], "step long, c long")
     assert learn.knee(two).collect()[0]["n_keep"] == 2
 
@@ -189,39 +181,6 @@ def test_workers_need_no_package(tmp_path):
     assert "rows" in out.stdout, out.stderr[-1500:]
 
 
-def test_merge_queries_run_to_their_end(spark, tmp_path):
-    """Several merges of a pass are those of one-at-a-time merging, and the queries ask for all of them."""
-    import collections
-    import random
-
-    from incidex.plans import load_all
-
-    rng = random.Random(3)
-    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 7))) for _ in range(40)]
-    spark.createDataFrame([(0, " ".join(words))], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    seqs, want = [list(w) for w in words], []
-    while True:
-        pairs = collections.Counter(p for s in seqs for p in zip(s, s[1:]))
-        c, (a, b) = min(((-n, p) for p, n in pairs.items()), default=(0, ("", "")))
-        if -c < 2:
-            break
-        want.append((a, b, -c))
-        for i, s in enumerate(seqs):
-            out, free = [], False
-            for x in s:
-                if free and (out[-1], x) == (a, b):
-                    out[-1], free = a + b, False  # what was just made takes no part in this merge
-                else:
-                    out.append(x)
-                    free = True
-            seqs[i] = out
-    packed = learn.pack_sequences(spark.createDataFrame([(list(w),) for w in words], "tokens array<string>"))
-    assert learn.bpe_frequency(packed, 0.0, least=2)[1] == want
-    knee = learn.knee(spark.createDataFrame([(i, c) for i, (*_, c) in enumerate(want)], "step long, c long")).collect()[0]["n_keep"]
-    got = load_all()["lrn12_bpe_shoulder"].run(spark, str(tmp_path)).orderBy("step").collect()
-    assert [(r["a"], r["b"], r["c"]) for r in got] == want[:knee]
-
-
 def test_graded_rules_are_all_rules(spark, monkeypatch):
     from incidex.operators import search
     from incidex.plans import load_all
