@@ -123,11 +123,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 200_
         for whole in batches:
             for b in slices(whole, 1024):
                 got = [list(terms(t)) for t in text_bytes(b, "text")]
-                yield record_batches([("id", pa.int64(), b.column("id")), ("y", pa.int32(), b.column("y")), ("terms", pa.list_(pa.int32()), got)])
+                yield record_batches([("id", pa.int64(), b.column("id")), ("terms", pa.list_(pa.int32()), got)])
 
-    rows = cut_lineage(
-        docs.select(F.col("doc_id").alias("id"), "text").join(marks, "id").select("id", "y", "text").mapInArrow(hashed, "id bigint, y int, terms array<int>")
-    )
+    # hashed terms meet their labels, so no text is shuffled; a merge join at every size
+    terms = docs.where(F.col("doc_id").isNotNull() & usable).select(F.col("doc_id").alias("id"), "text").mapInArrow(hashed, "id bigint, terms array<int>")
+    rows = cut_lineage(terms.join(marks.hint("merge"), "id").select("id", "y", "terms"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((2, BUCKETS), np.int64)
