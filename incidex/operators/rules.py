@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from incidex import skew
 from incidex.functions.expr import jaccard, ratio
 from incidex.operators import itemcounts as ic
+from incidex.operators import unions
 from incidex.operators.vocab import signal_to_noise
+from incidex.session import cut_lineage
 
 J_HIGH = 0.70
 P_PROXY = 0.70
@@ -154,16 +156,15 @@ def structural_clauses(
 
 def clause_baskets(inc: DataFrame, clause_list: Sequence[Sequence[str]]) -> DataFrame:
     """Baskets of fired clause indexes (a clause fires when all its items are present)."""
-    spark = inc.sparkSession
-    long = spark.createDataFrame(
-        [(i, k, len(set(c))) for i, c in enumerate(clause_list) for k in set(c)], "c int, item_key string, need int"
-    )
-    fired = (
-        inc.join(F.broadcast(long), "item_key")  # the clause list is a bounded parameter
-        .groupBy("container_id", "c", "need")
-        .agg(F.count("*").alias("got"))
-        .where("got = need")
-    )
+    long = inc.sparkSession.createDataFrame([(i, k) for i, c in enumerate(clause_list) for k in c], "c int, item_key string")
+    return fired_baskets(inc, long)
+
+
+def fired_baskets(inc: DataFrame, clause_items: DataFrame) -> DataFrame:
+    """The same for clauses in rows ``(c int, item_key)``."""
+    spec = clause_items.distinct()
+    spec = spec.join(spec.groupBy("c").agg(F.count("*").alias("need")), "c")
+    fired = inc.join(spec, "item_key").groupBy("container_id", "c", "need").agg(F.count("*").alias("got")).where("got = need")
     return ic.basket_counts(fired, ["container_id"], "c")
 
 
@@ -178,21 +179,20 @@ def dnf_rules(
     """Every OR of up to ``max_clauses`` clauses with enough coverage, best 50 per size.
 
     Coverage of a part of a rule never exceeds the rule's own, so dropping parts of
-    failed rules changes nothing: all combinations are counted in one pass instead.
+    failed rules changes nothing: the sizes of all unions are read off the intersections instead.
     """
-    spark = inc.sparkSession
-    n = len(clause_list)
-    combos = [c for k in range(1, max_clauses + 1) for c in combinations(range(n), k)]
-    counted = ic.combination_counts(clause_baskets(inc, clause_list), n, combos, "any")
-    text = ["(" + " & ".join(clause_list[i]) + ")" for i in range(n)]
-    meta = spark.createDataFrame(
-        [(i, len(c), list(c), " | ".join(text[x] for x in c)) for i, c in enumerate(combos)],
-        "combo long, n_clauses int, clause_ids array<int>, rule string",
-    )
-    pct = F.col("n") / n_containers * 100
-    kept = meta.join(counted, "combo").withColumn("pct1", pct).where((F.col("n") > 0) & (F.round("pct1", 1) >= min_cov))
-    top = skew.top_rows(kept, ["n_clauses"], [F.desc("n"), F.col("combo")], per_size)
-    return top.select("combo", "n_clauses", "clause_ids", "rule", F.col("n").alias("n1"), "pct1", "rank")
+    inter = cut_lineage(unions.intersections(clause_baskets(inc, clause_list), max_clauses))
+    sets = unions.combinations(inc.sparkSession, len(clause_list), max_clauses)
+    counted = sets.withColumn("key", unions.key_of(F.col("ids"))).join(unions.union_sizes(sets, inter), "key")
+    kept = counted.withColumn("pct1", F.col("n") / n_containers * 100).where((F.col("n") > 0) & (F.round("pct1", 1) >= min_cov))
+    top = skew.top_rows(kept, ["size"], [F.desc("n"), F.col("key")], per_size)
+    return top.select(F.col("size").alias("n_clauses"), F.col("ids").alias("clause_ids"), text_of("ids", clause_list), F.col("n").alias("n1"), "pct1", "rank")
+
+
+def text_of(ids: str, clause_list: Sequence[Sequence[str]], name: str = "rule") -> Column:
+    """The rule that an array of clause numbers stands for."""
+    texts = F.array(*[F.lit("(" + " & ".join(c) + ")") for c in clause_list])
+    return F.array_join(F.transform(ids, lambda i: F.get(texts, i)), " | ").alias(name)
 
 
 def fired_clauses(inc: DataFrame, rules: DataFrame) -> DataFrame:
@@ -262,11 +262,19 @@ def separation(containers: DataFrame, sets: DataFrame, fired: DataFrame, rule_id
     """1 - mean Jaccard over a sampled match x non-match grid of n by n containers.
 
     ``sets`` has ``container_id, items``; containers without items are drawn but not compared.
+    Both sides are drawn from the first containers in hash order: ever more of them, until each rule has its n on both sides.
     """
-    base = containers.select("container_id", F.explode(rule_ids).alias("rule_id"))
-    side = fired.select("rule_id", "container_id", F.lit(True).alias("hit"))
-    tagged = base.join(side, ["rule_id", "container_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     order = [hash_order(F.col("container_id"), seed), F.col("container_id")]
+    size = 16 * n
+    while True:
+        head = cut_lineage(containers.select("container_id").orderBy(*order).limit(size))
+        side = fired.join(head, "container_id", "left_semi").select("rule_id", "container_id", F.lit(True).alias("hit"))
+        tagged = head.select("container_id", F.explode(rule_ids).alias("rule_id")).join(side, ["rule_id", "container_id"], "left")
+        tagged = cut_lineage(tagged.withColumn("hit", F.coalesce("hit", F.lit(False))))
+        sides = tagged.groupBy("rule_id").agg(F.count_if("hit").alias("yes"), F.count_if(~F.col("hit")).alias("no"))
+        if head.count() < size or sides.where(F.least("yes", "no") < n).isEmpty():
+            break
+        size *= 8
     drawn = skew.top_rows(tagged, ["rule_id", "hit"], order, n).join(sets, "container_id")
     grouped = drawn.groupBy("rule_id").agg(  # at most n sets a side
         F.collect_list(F.when(F.col("hit"), F.col("items"))).alias("match"),

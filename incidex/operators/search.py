@@ -6,21 +6,19 @@ comes from a Spark pass over merged baskets.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 from itertools import combinations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from incidex import skew
-from incidex.operators import graph, itemcounts as ic, rules as rl
+from incidex.operators import graph, itemcounts as ic, rules as rl, unions
 from incidex.session import cut_lineage
 
 TARGET, TOLERANCE, RELATED_J = 50.0, 10.0, 0.10
-TRIES = 1000  # of the first pass of sample_rules
 
 
 def _coverage(baskets: DataFrame, width: int, combos: Sequence[tuple[int, ...]]) -> list[int]:
@@ -109,64 +107,85 @@ def best_rule(
     sample: int = 60,
     seed: str = "42",
 ) -> DataFrame:
-    """All scored rules (best 25 and the winner); score = balance x separation x (1 - redundancy)."""
+    """All scored rules (best 25 and the winner); score = balance x separation x (1 - redundancy).
+
+    Combinations are scored as rows; the driver sees the ``top_k`` clauses and the rules that are listed.
+    """
     spark = inc.sparkSession
-    names = list(names)
-    pair_j = _pair_jaccard(rl.cooccurrence(inc, names))
-    found = rl.structural_clauses(inc, names, F.lit(n_containers)).collect()
-    found.sort(key=lambda r: (-r["n_match"] * (1.2 if r["and_valid"] else 1.0), r["items"]))
-    clause_list = [list(r["items"]) for r in found[:top_k]]
-    valid = [r["and_valid"] for r in found[:top_k]]
-    baskets = cut_lineage(rl.clause_baskets(inc, clause_list))
-    combos = [c for k in range(1, max_clauses + 1) for c in combinations(range(len(clause_list)), k)]
-    cands, seen = [], set()
-    for combo, n in zip(combos, _coverage(baskets, len(clause_list), combos)):
-        pct = n / n_containers * 100
-        items = tuple(sorted({i for c in combo for i in clause_list[c]}))
-        if pct < 5 or pct > 95 or items in seen:
-            continue
-        seen.add(items)
-        bal = 1 - abs(pct - 50) / 50
-        red = _redundancy(items, pair_j, general)
-        cands.append([bal * (1 - red), combo, items, n, pct, bal, red])
-    cands.sort(key=lambda x: (-x[0], x[1]))
-    head = cands[:snr_top_k]
-    sets = inc.groupBy("container_id").agg(F.collect_set("item_key").alias("items"))
-    seps = {}
-    if head:
-        rules = _as_rules(spark, [(i, [clause_list[c] for c in x[1]]) for i, x in enumerate(head)])
-        seps = _separations(containers, inc, sets, rules, sample, seed)
-    scored = []
-    for i, (_, combo, items, n, pct, bal, red) in enumerate(cands):
-        sep = seps.get(i)
-        score = bal * sep * (1 - red) if sep is not None else 0.0
-        scored.append((score, combo, items, n, pct, bal, red, sep, all(valid[c] for c in combo)))
-    scored.sort(key=lambda x: (-x[0], x[1]))
-    if scored and scored[0][5] < 0.8:
-        grown = extend(baskets, clause_list, scored[0][1], n_containers, pair_j, general)
+    profile = cut_lineage(rl.cooccurrence(inc, list(names)))
+    weight = F.col("n_match") * F.when(F.col("and_valid"), 1.2).otherwise(1.0)
+    found = rl.structural_clauses(inc, names, F.lit(n_containers)).orderBy(-weight, "items").limit(top_k).collect()
+    clause_list, valid = [list(r["items"]) for r in found], [r["and_valid"] for r in found]
+    if not clause_list:
+        return spark.createDataFrame([], _BEST)
+    broader = spark.createDataFrame(sorted(general), "item_key string, variant string")
+
+    inter = cut_lineage(unions.intersections(rl.clause_baskets(inc, clause_list), max_clauses))
+    sets = unions.combinations(spark, len(clause_list), max_clauses)
+    sized = sets.withColumn("key", unions.key_of(F.col("ids"))).join(unions.union_sizes(sets, inter), "key")
+    sized = sized.withColumn("pct", F.col("n") / n_containers * 100).where("pct >= 5 AND pct <= 95")
+    members = F.array(*[F.array(*map(F.lit, c)) for c in clause_list])
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("ids", lambda i: F.get(members, i)))))
+    first = sized.groupBy(items.alias("items")).agg(F.min(F.struct("size", "key", "ids", "n", "pct")).alias("s"))
+    cands = cut_lineage(first.select("items", "s.key", "s.ids", "s.n", "s.pct"))
+    spurious = rl.redundancy(cands.select(F.col("key").alias("rule_id"), F.explode("items").alias("item_key")), profile, broader)
+    balance = 1 - F.abs(F.col("pct") - 50) / 50
+    cands = cands.join(spurious.withColumnRenamed("rule_id", "key"), "key").withColumn("balance", balance)
+    cands = cut_lineage(cands.withColumn("first_score", F.col("balance") * (1 - F.col("spurious"))))
+
+    head = cut_lineage(cands.orderBy(F.desc("first_score"), "ids").limit(snr_top_k).select(F.col("key").alias("rule_id"), "ids"))
+    clause_items = spark.createDataFrame([(c, k) for c, clause in enumerate(clause_list) for k in clause], "clause_id int, item_key string")
+    rules = head.select("rule_id", F.explode("ids").alias("clause_id")).join(clause_items, "clause_id")
+    item_sets = inc.groupBy("container_id").agg(F.collect_set("item_key").alias("items"))
+    fired = rl.fired_containers(inc, rules)
+    seps = rl.separation(containers, item_sets, fired, head.agg(F.collect_set("rule_id")).scalar(), sample, seed)
+    score = F.coalesce(F.col("balance") * F.col("separation") * (1 - F.col("spurious")), F.lit(0.0)).alias("score")
+    scored = cands.join(seps.withColumnRenamed("rule_id", "key"), "key", "left").select("ids", "n", "pct", "balance", "spurious", "separation", score)
+    listed = [tuple(r) for r in scored.orderBy(F.desc("score"), "ids").limit(25).collect()]
+    if listed and listed[0][3] < 0.8:
+        pair_j = _pair_jaccard(profile)
+        baskets = cut_lineage(rl.clause_baskets(inc, clause_list))
+        grown = extend(baskets, clause_list, listed[0][0], n_containers, pair_j, general)
         n = _coverage(baskets, len(clause_list), [tuple(grown)])[0]
         pct = n / n_containers * 100
-        items = tuple(sorted({i for c in grown for i in clause_list[c]}))
-        rules = _as_rules(spark, [(0, [clause_list[c] for c in grown])])
-        sep = _separations(containers, inc, sets, rules, sample, seed).get(0, 0.0)
-        bal, red = 1 - abs(pct - 50) / 50, _redundancy(items, pair_j, general)
-        score = bal * sep * (1 - red)
-        if score > scored[0][0]:
-            scored.insert(0, (score, tuple(grown), items, n, pct, bal, red, sep, scored[0][8]))
+        of_all = tuple(sorted({i for c in grown for i in clause_list[c]}))
+        sep = _separations(containers, inc, item_sets, _as_rules(spark, [(0, [clause_list[c] for c in grown])]), sample, seed).get(0, 0.0)
+        bal, red = 1 - abs(pct - 50) / 50, _redundancy(of_all, pair_j, general)
+        if bal * sep * (1 - red) > listed[0][-1]:
+            listed.insert(0, (grown, n, pct, bal, red, sep, bal * sep * (1 - red)))
     rows = [
-        (r + 1, " | ".join("(" + " & ".join(clause_list[c]) + ")" for c in x[1]), len(x[1]), x[3], x[4], x[5], x[6], x[7], x[0], x[8])
-        for r, x in enumerate(scored[:25])
+        (r + 1, " | ".join("(" + " & ".join(clause_list[c]) + ")" for c in ids), len(ids), n, *rest, all(valid[c] for c in ids))
+        for r, (ids, n, *rest) in enumerate(listed[:25])
     ]
-    return spark.createDataFrame(
-        rows,
-        "rank int, rule string, n_clauses int, n_match long, pct_match double, balance double, "
-        "spurious double, separation double, score double, and_valid boolean",
-    )
+    return spark.createDataFrame(rows, _BEST)
+
+
+_BEST = (
+    "rank int, rule string, n_clauses int, n_match long, pct_match double, balance double, "
+    "spurious double, separation double, score double, and_valid boolean"
+)
+
+
+def draws(spark: SparkSession, n_tries: int, width: int, k_max: int, seed: str) -> DataFrame:
+    """``(t, ids)``: try t takes 1 to ``k_max`` of ``width`` numbers, without repetition, by md5(seed|t|...).
+
+    The j-th number counts places that are still free.
+    """
+    number = lambda j: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "t", j)), 1, 8), 16, 10).cast("long")
+    k = (1 + number(F.lit("k")) % k_max).cast("int")
+
+    def take(taken: Column, j: Column) -> Column:
+        place = (number(j.cast("string")) % (width - j + 1)).cast("int")
+        place = F.aggregate(taken, place, lambda at, other: at + F.when(at >= other, 1).otherwise(0))
+        return F.array_sort(F.concat(taken, F.array(place)))
+
+    tries = spark.range(n_tries).withColumnRenamed("id", "t").withColumn("k", k).where(F.col("k") <= width)
+    return tries.select("t", F.aggregate(F.sequence(F.lit(1), F.col("k")), F.array().cast("array<int>"), take).alias("ids"))
 
 
 def sample_rules(
     inc: DataFrame,
-    pool: Sequence[Sequence[str]],
+    pool: DataFrame,
     n_containers: int,
     min_new: int,
     n_rules: int = 50,
@@ -178,47 +197,37 @@ def sample_rules(
 ) -> DataFrame:
     """Random disjunctions of frequent itemsets that pass the coverage band and the new-positives gate.
 
-    A try draws its size and its clauses from md5(seed|try|...); tries are counted in Spark passes of
-    ``TRIES``, then twice as many each time, and accepted in order until there are ``n_rules``.
+    ``pool(items, n)`` is numbered by falling support.  All tries are drawn and judged as rows; the first
+    ``n_rules`` that pass are taken, a set that is drawn again counts once.
     """
     spark = inc.sparkSession
-    pool = [tuple(p) for p in pool]
-
-    def draw(t: int) -> tuple[int, ...]:
-        digest = lambda s: hashlib.md5(f"{seed}|{t}|{s}".encode()).hexdigest()
-        k = 1 + int(digest("k")[:8], 16) % k_max
-        return tuple(sorted(range(len(pool)), key=lambda i: digest(i))[:k]) if len(pool) >= k else ()
-
-    baskets = cut_lineage(rl.clause_baskets(inc, pool))
-    cover: dict[tuple[int, ...], int] = {}
-    rows, per_k, seen = [], {}, set()
-    done, step = 0, TRIES
-    while done < max_tries and len(rows) < n_rules:
-        tries = []
-        for t in range(done, min(done + step, max_tries)):
-            picks = tuple(sorted(draw(t)))
-            if picks and picks not in seen:
-                seen.add(picks)
-                tries.append(picks)
-        done, step = done + step, 2 * step
-        need = sorted({s for c in tries for k in range(1, len(c) + 1) for s in combinations(c, k)} - cover.keys())
-        cover |= zip(need, _coverage(baskets, len(pool), need))
-        for picks in tries:
-            if len(rows) == n_rules:
-                break
-            total = cover[picks]
-            rest = [cover[tuple(p for p in picks if p != x)] if len(picks) > 1 else 0 for x in picks]
-            fewest = min(total - r for r in rest)
-            if not cov_lo <= total / n_containers <= cov_hi or fewest < min_new:
-                continue
-            k = len(picks)
-            per_k[k] = per_k.get(k, 0) + 1
-            rule = " | ".join("(" + " & ".join(pool[p]) + ")" for p in picks)
-            least = min(cover[(p,)] for p in picks)
-            rows.append((f"dnf_k{k}_r{per_k[k]}", k, rule, total, total / n_containers, fewest, least))
-    return spark.createDataFrame(
-        rows, "rule_key string, k int, rule string, n_pos long, cov double, min_new_pos long, min_clause_support long"
+    pool = cut_lineage(skew.number_rows(pool.select("items", "n"), [], [F.desc("n"), F.col("items")], "c", first=0))
+    width = pool.count()
+    if width > unions.MAX_CLAUSES:
+        raise ValueError(f"{width} itemsets have no key")
+    clause_items = pool.select(F.col("c").cast("int").alias("c"), F.explode("items").alias("item_key"))
+    inter = cut_lineage(unions.intersections(rl.fired_baskets(inc, clause_items), k_max))
+    tries = cut_lineage(draws(spark, max_tries, width, k_max, seed).groupBy("ids").agg(F.min("t").alias("t")))
+    # the whole, and what is left without each of its clauses
+    without = F.explode(F.sequence(F.lit(-1), F.size("ids") - 1)).alias("i")
+    parts = tries.select("t", F.size("ids").alias("k"), "ids", without).select(
+        "t", "k", "i", F.filter("ids", lambda _, at: at != F.col("i")).alias("ids")
+    ).withColumn("key", unions.key_of(F.col("ids")))
+    sizes = unions.union_sizes(parts.where(F.size("ids") > 0), inter)
+    judged = parts.join(sizes, "key", "left").groupBy("t", "k").agg(
+        F.max(F.when(F.col("i") < 0, F.col("n"))).alias("n_pos"),
+        F.max(F.when(F.col("i") >= 0, F.coalesce("n", F.lit(0)))).alias("most_rest"),
     )
+    judged = judged.withColumn("cov", F.col("n_pos") / n_containers).withColumn("min_new_pos", F.col("n_pos") - F.col("most_rest"))
+    good = judged.where((F.col("cov") >= cov_lo) & (F.col("cov") <= cov_hi) & (F.col("min_new_pos") >= min_new))
+    taken = cut_lineage(good.orderBy("t").limit(n_rules))
+    order = F.row_number().over(Window.partitionBy("k").orderBy("t"))  # of at most n_rules rows
+    numbered = taken.withColumn("rule_key", F.concat(F.lit("dnf_k"), "k", F.lit("_r"), order))
+    clauses = numbered.select("t").join(tries, "t").select("t", F.posexplode("ids").alias("place", "c")).join(pool, "c")
+    text = F.concat(F.lit("("), F.array_join("items", " & "), F.lit(")"))
+    rule = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("text")))), lambda s: s["text"]), " | ")
+    said = clauses.groupBy("t").agg(rule.alias("rule"), F.min("n").alias("min_clause_support"))
+    return numbered.join(said, "t").select("rule_key", "k", "rule", "n_pos", "cov", "min_new_pos", "min_clause_support")
 
 
 def connectivity(elements: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:

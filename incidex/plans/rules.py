@@ -286,8 +286,7 @@ def _(t):
 @query("rul19_sample_rules", "rule_key:s k:l rule:s n_pos:l cov:d min_new_pos:l min_clause_support:l")
 def _(t):
     f, n = _itemsets(t)
-    pool = [r["items"] for r in f.orderBy(F.desc("n"), "items").collect()]  # frequent itemsets over a bounded item list
-    return search.sample_rules(t.brand_incidence, pool, n, _min_count(n), n_rules=20, cov_lo=0.2, cov_hi=0.6, max_tries=200_000)
+    return search.sample_rules(t.brand_incidence, f, n, _min_count(n), n_rules=20, cov_lo=0.2, cov_hi=0.6, max_tries=200_000)
 
 
 CORRS = """SELECT rule_id, item_key, supp, nf AS n_fired, nf - n11 AS sep,

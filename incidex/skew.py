@@ -34,7 +34,7 @@ def in_ranges(df: DataFrame, order: Sequence[Column]) -> DataFrame:
 def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str, first: int = 1) -> DataFrame:
     """``row_number`` per group over a total order.  Keys in ``by`` must not be NULL."""
     by = list(by)
-    tagged = in_ranges(df, [*order, *[F.col(c) for c in by]])
+    tagged = in_ranges(df, [*[F.col(c) for c in by], *order])
     totals = tagged.groupBy(*by, _RANGE).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, _RANGE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -56,7 +56,7 @@ def ladder(df: DataFrame, by: Sequence[str], x: str, measures: dict[str, Column]
     measures = {"n": F.count("*"), **(measures or {})}
     names = list(measures)
     added = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(*[e.alias(m) for m, e in measures.items()])
-    steps = in_ranges(added, [F.col(c) for c in (x, *by)])
+    steps = in_ranges(added, [F.col(c) for c in (*by, x)])
     chunk = steps.groupBy(*by, _RANGE).agg(*[F.sum(m).alias(m) for m in names])
     prior = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)

@@ -101,6 +101,17 @@ def test_ranks_with_one_frequent_value(spark):
         assert {r["r"] for r in got if r["g"] == g and r["x"] == xs[-1]} == {float(len(xs))}
 
 
+def test_ranges_cut_few_groups(spark):
+    """Groups stay together but for the ends of ranges, and a large group is spread over several."""
+    df = spark.range(20_000).select((F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 2000)).alias("g"), F.hash("id").alias("x"))
+    parts = skew.in_ranges(df, [F.col("g"), F.col("x")])
+    per = parts.groupBy("g", skew._RANGE).count()
+    assert per.count() <= df.select("g").distinct().count() + 4
+    assert per.where("g = 7").count() > 1
+    got = skew.number_rows(df, ["g"], [F.col("x")], "r").groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("r").alias("d"), F.max("r").alias("m"))
+    assert got.where("n <> d OR n <> m").count() == 0
+
+
 def test_more_gates_raise(spark):
     blank = spark.createDataFrame([(1, "x"), (2, "nan")], "id int, t string")
     with pytest.raises(Exception, match="empty text in row 2"):
