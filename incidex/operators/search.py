@@ -9,13 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from incidex import skew
-from incidex.operators import graph, itemcounts as ic, rules as rl, unions
+from incidex.operators import graph, itemcounts as ic, logit, rules as rl, unions
 from incidex.session import cut_lineage
 
 TARGET, TOLERANCE, RELATED_J = 50.0, 10.0, 0.10
@@ -248,100 +246,52 @@ def connectivity(elements: DataFrame, edges: DataFrame, rules: DataFrame) -> Dat
 # ---- shortcut grading with logistic regression -------------------------------------------
 
 
-def _weighted_auc(scored: DataFrame) -> float | None:
-    row = skew.roc_auc(scored.withColumn("_all", F.lit(1)), ["_all"], "y", "p", weight="n").collect()
-    return row[0]["auc"] if row else None
+def _rule_items(rules: DataFrame) -> dict[int, set[str]]:
+    """Items of every rule of a bounded list, by rule id."""
+    spec: dict[int, set[str]] = {}
+    for r in rules.select("rule_id", "item_key").distinct().orderBy("rule_id").collect():
+        spec.setdefault(r["rule_id"], set()).add(r["item_key"])
+    return spec
 
 
-def _features(names: Sequence[str], index: str = "basket") -> Column:
-    cells = [F.array_contains(index, i).cast("double") for i in range(len(names))]
-    return array_to_vector(F.array(*cells))
+def _targets(spark: SparkSession, keys: Sequence[tuple], names: str) -> DataFrame:
+    return spark.createDataFrame([(*k, t) for t, k in enumerate(keys)], f"{names}, target int")
 
 
-def merged_examples(inc: DataFrame, containers: DataFrame, labels: DataFrame, names: Sequence[str], folds: int, seed: str) -> DataFrame:
-    """Equal (basket, label, fold) rows merged with a weight: ``basket, y, fold, n``.
+def rule_aucs(inc: DataFrame, containers: DataFrame, rules: DataFrame, names: Sequence[str], folds: int = 3, own_items: bool = True) -> dict[int, float]:
+    """Cross-validated AUC of predicting each rule from the items of ``names`` (without its own, if asked), all rules at once."""
+    spec = _rule_items(rules)
+    hits = rl.fired_containers(inc, rules).join(_targets(inc.sparkSession, [(r,) for r in spec], "rule_id int"), "rule_id")
+    return _aucs(inc, containers, hits, spec, names, folds, own_items)
 
-    ``labels(container_id)`` lists the positives.
-    """
-    rows = inc.select("container_id", ic.index_column(names).alias("i")).where("i IS NOT NULL")
-    per = rows.groupBy("container_id").agg(F.array_sort(F.collect_set("i")).alias("basket"))
-    digit = F.conv(F.substring(rl.hash_order(F.col("container_id"), seed), 1, 6), 16, 10).cast("long") % folds
-    base = (
-        containers.select("container_id", digit.alias("fold"))
-        .join(per, "container_id", "left")
-        .join(labels.select("container_id", F.lit(1).alias("y")).distinct(), "container_id", "left")
-    )
-    return base.groupBy(
-        F.coalesce("basket", F.array().cast("array<int>")).alias("basket"), F.coalesce("y", F.lit(0)).alias("y"), "fold"
-    ).agg(F.count("*").alias("n"))
-
-
-def cross_validated_auc(examples: DataFrame, width: int, folds: int) -> float:
-    """Mean held-out AUC of a logistic regression; 0.5 when nothing can be learnt."""
-    if width == 0:
-        return 0.5
-    data = cut_lineage(examples.withColumn("x", _features(range(width))).withColumn("w", F.col("n").cast("double")))
-    both = data.groupBy("fold", "y").agg(F.sum("n").alias("n")).collect()  # folds x 2 numbers
-    held, rest = {}, {}
-    for r in both:
-        held.setdefault(r["fold"], {})[r["y"]] = r["n"]
-        for f in range(folds):
-            if f != r["fold"]:
-                rest.setdefault(f, {})[r["y"]] = 1
-    aucs = []
-    for f in range(folds):
-        if len(held.get(f, {})) < 2 or len(rest.get(f, {})) < 2:
-            continue
-        lr = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=50, regParam=1e-4)
-        model = lr.fit(data.where(F.col("fold") != f))
-        scored = model.transform(data.where(F.col("fold") == f))
-        auc = _weighted_auc(scored.select("y", "n", vector_to_array("probability")[1].alias("p")))
-        if auc is not None:
-            aucs.append(auc)
-    return sum(aucs) / len(aucs) if aucs else 0.5
+
+def _aucs(inc: DataFrame, containers: DataFrame, hits: DataFrame, spec: dict[int, set[str]], names: Sequence[str], folds: int, own_items: bool) -> dict[int, float]:
+    rows = logit.examples(inc, containers, hits, names, folds, "0")
+    allowed = [frozenset(i for i, x in enumerate(names) if own_items or x not in own) for own in spec.values()]
+    return dict(zip(spec, logit.cross_validated(rows, allowed, len(names), folds)))
 
 
 def grade_rules(inc: DataFrame, containers: DataFrame, rules: DataFrame, names: Sequence[str], kinds: DataFrame, kind_names: Sequence[str], folds: int = 3) -> DataFrame:
     """Per rule: AUC from non-rule items (shortcut) and from element types (composition)."""
-    spark = inc.sparkSession
-    fired = rl.fired_containers(inc, rules)
-    spec = {}
-    for r in rules.select("rule_id", "item_key").distinct().collect():  # the rule list is bounded
-        spec.setdefault(r["rule_id"], set()).add(r["item_key"])
-    rows = []
-    for rid in sorted(spec):
-        positives = fired.where(F.col("rule_id") == rid)
-        others = [n for n in names if n not in spec[rid]]
-        shortcut = cross_validated_auc(merged_examples(inc, containers, positives, others, folds, "0"), len(others), folds)
-        comp = cross_validated_auc(
-            merged_examples(kinds, containers, positives, list(kind_names), folds, "0"), len(kind_names), folds
-        )
-        rows.append((rid, shortcut, comp))
-    return spark.createDataFrame(rows, "rule_id int, shortcut_auc double, composition_auc double")
+    spark, spec = inc.sparkSession, _rule_items(rules)
+    hits = cut_lineage(rl.fired_containers(inc, rules).join(_targets(spark, [(r,) for r in spec], "rule_id int"), "rule_id"))
+    shortcut = _aucs(inc, containers, hits, spec, names, folds, own_items=False)
+    composition = _aucs(kinds, containers, hits, spec, kind_names, folds, own_items=True)
+    return spark.createDataFrame([(r, shortcut[r], composition[r]) for r in spec], "rule_id int, shortcut_auc double, composition_auc double")
 
 
 def shortcut_report(inc: DataFrame, containers: DataFrame, rules: DataFrame, names: Sequence[str], n: Column, threshold: float = 0.15) -> DataFrame:
     """Per clause: held-out AUC (70/30) from non-rule items, and the five strongest distractors."""
     spark = inc.sparkSession
-    fired = rl.fired_clauses(inc, rules)
-    spec: dict[int, set[str]] = {}
-    parts: dict[tuple[int, int], set[str]] = {}
-    for r in rules.select("rule_id", "clause_id", "item_key").collect():
-        spec.setdefault(r["rule_id"], set()).add(r["item_key"])
-        parts.setdefault((r["rule_id"], r["clause_id"]), set()).add(r["item_key"])
-    rows = []
-    for rid, cid in sorted(parts):
-        positives = fired.where((F.col("rule_id") == rid) & (F.col("clause_id") == cid))
-        others = [x for x in names if x not in spec[rid]]
-        ex = merged_examples(inc, containers, positives, others, 10, "0")
-        split = cut_lineage(ex.withColumn("x", _features(range(len(others)))).withColumn("w", F.col("n").cast("double")))
-        tr, te = split.where("fold < 7"), split.where("fold >= 7")
-        auc = 0.5
-        if others and tr.select("y").distinct().count() == 2 and te.select("y").distinct().count() == 2:
-            lr = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=50, regParam=1e-4)
-            scored = lr.fit(tr).transform(te)
-            auc = _weighted_auc(scored.select("y", "n", vector_to_array("probability")[1].alias("p"))) or 0.5
-        rows.append((rid, cid, auc))
+    fired = cut_lineage(rl.fired_clauses(inc, rules))
+    spec = _rule_items(rules)
+    parts = sorted({(r["rule_id"], r["clause_id"]) for r in rules.select("rule_id", "clause_id").distinct().collect()})
+    hits = fired.join(_targets(spark, parts, "rule_id int, clause_id int"), ["rule_id", "clause_id"])
+    examples = cut_lineage(logit.examples(inc, containers, hits, names, 10, "0"))
+    train, test = frozenset(range(7)), frozenset(range(7, 10))
+    models = [logit.Model(t, train, test, frozenset(i for i, x in enumerate(names) if x not in spec[rid])) for t, (rid, _) in enumerate(parts)]
+    found = logit.held_out_auc(examples, models, logit.fit(examples, models, len(names), len(parts)), len(names))
+    rows = [(*part, 0.5 if found.get(t) is None else found[t]) for t, part in enumerate(parts)]
     aucs = spark.createDataFrame(rows, "rule_id int, clause_id int, shortcut_auc double")
     as_rule = rules.select(F.struct("rule_id", "clause_id").alias("rule_id"), "item_key")
     hits = fired.select(F.struct("rule_id", "clause_id").alias("rule_id"), "container_id")

@@ -388,12 +388,8 @@ def _(t):
 
 @query("rul27_cross_validated_auc", "rule_id:l auc:d")
 def _(t):
-    fired = cut_lineage(rl.fired_containers(t.brand_incidence, t.rules))
-    rows = []
-    for r in t.rules.select("rule_id").distinct().orderBy("rule_id").collect():  # the rule list is bounded
-        ex = search.merged_examples(t.brand_incidence, t.containers, fired.where(F.col("rule_id") == r["rule_id"]), t.brand_names, 3, "0")
-        rows.append((r["rule_id"], search.cross_validated_auc(ex, len(t.brand_names), 3)))
-    return t.spark.createDataFrame(rows, "rule_id int, auc double")
+    aucs = search.rule_aucs(t.brand_incidence, t.containers, t.rules, t.brand_names)
+    return t.spark.createDataFrame(sorted(aucs.items()), "rule_id int, auc double")
 
 
 @query("rul28_grade_rules", "rule_id:l shortcut_auc:d composition_auc:d")

@@ -192,11 +192,9 @@ def test_workers_need_no_package(tmp_path):
     assert "rows" in out.stdout, out.stderr[-1500:]
 
 
-def test_graded_rules_are_all_rules(spark, monkeypatch):
-    from incidex.operators import search
+def test_graded_rules_are_all_rules(spark):
     from incidex.plans import load_all
 
-    monkeypatch.setattr(search, "cross_validated_auc", lambda examples, width, folds: 0.5)
     for name in ("rul26_shortcut_report", "rul27_cross_validated_auc", "rul28_grade_rules"):
         got = load_all()[name].run(spark, "/root/testdata/sf0.001").collect()
         assert {r["rule_id"] for r in got} == {1, 2, 3, 4, 5, 6}, name
