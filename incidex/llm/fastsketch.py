@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from incidex.llm.brownlm import Words
 from incidex.llm.common import mix64, record_batches, slices, text_bytes
-from incidex.llm.jaccard import chunk_links, close, overlaps, set_id, shingle_sets
+from incidex.llm.jaccard import close, set_id, shingle_sets
 from incidex.session import cut_lineage, release
 
 BINS = 256
@@ -124,6 +124,42 @@ def forest(n: np.ndarray, bits: np.ndarray, label: np.ndarray, percent: int) ->
     return links
 
 
+def overlaps(tokens: np.ndarray, sorted_tokens: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """Size of the intersection of ``tokens`` with each of n sets, given as one inverted list."""
+    lo, hi = np.searchsorted(sorted_tokens, tokens, "left"), np.searchsorted(sorted_tokens, tokens, "right")
+    size = hi - lo
+    total = int(size.sum())
+    if not total:
+        return np.zeros(n, np.int64)
+    at = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+    return np.bincount(owners[at], minlength=n)
+
+
+def chunk_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join all linked members of a chunk; every pair is decided."""
+    n = len(ids)
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    tokens, owners = flat[order], np.repeat(np.arange(n), sizes)[order]
+    label, pending, links = np.arange(n), np.ones(n, bool), []
+    while pending.any():
+        classes, counts = np.unique(label[pending], return_counts=True)
+        if len(classes) == 1:
+            break
+        rare = classes[np.argmin(counts)]
+        x = int(np.flatnonzero(pending & (label == rare))[0])
+        pending[x] = False
+        both = overlaps(sets[x], tokens, owners, n)
+        hit = 100 * both >= percent * (sizes[x] + sizes - both)
+        for other in np.unique(label[hit]):
+            if other != label[x]:
+                y = int(np.flatnonzero(hit & (label == other))[0])
+                links.append((int(ids[x]), int(ids[y])))
+                label[label == other] = label[x]
+    return links
+
+
 def _bucket_links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # bucket, sid, n and bits of the bucket that may go on

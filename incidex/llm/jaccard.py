@@ -7,20 +7,18 @@ fewer).  Two documents link when ``100 * |x & y| >= percent * |x | y|``; the res
 2. Every set sends the first ``n - ceil(t n) + 1`` of its shingles, in one global order, to the columns of the matrix.
    Linked sets share one of these.  Shingles that are frequent somewhere come last in the order (by their count), so
    passages that many documents share are not met again and again; the order never changes the result.
-3. Sets that share columns are put into groups: each goes to the group of the head (the set of lowest hash rank in a
-   column) it shares most columns with.  Groups are cut into chunks of bounded size; the head is in all chunks.
-4. Inside a chunk, pivots are compared with all members through an inverted list until all members that were
-   no pivot are in one class: every pair is decided, and a chunk of n near copies takes few pivots, not n^2 pairs.
-5. Across groups: a matrix row is a chunk's class with the union of its members' shingles.  A set queries the
-   rows it shares a column with, if they are in another class.  ``|q & union|`` bounds every overlap inside; only
-   rows where the bound reaches ``t |q|`` are opened and compared set by set.
-   For rows of few members the bound is first taken from sizes and shared columns, then from sketches: a sketch holds the parity of the shingles on each of about
-   n bits, so the bits in which two sketches differ are no more than the shingles in which the sets differ.  Sets are
-   fetched only for what passes.
-6. Links are closed to classes.
-
-All steps are exact; groups, heads and order only steer the work.  Rows that meet in one task are bounded by the chunk
-size; queries of a much-asked row are dealt over copies of it.
+3. One sorted stream over the columns partitions similar sets into families.  A column's sets are compared by sizes and sketches: a sketch holds
+   the parity of the shingles on each of about n bits, so the bits in which two sketches differ are no more than the shingles in which the
+   sets differ, and sets that link always pass.  A column sends a spanning forest of what passes, found with pivots, never its pairs; beyond
+   ``TESTS`` comparisons it links the rest to its first set untested, which only makes families larger.
+4. Sets that link lie in one family.  A family's full sets are fetched once and go through a token-group matrix: each group of linked sets
+   stores the union of its shingles.  A set queries the matrix with its shingles; the count of a group bounds every overlap inside, and only groups
+   where it reaches ``t |q|`` are opened and compared set by set.  Groups that a set links with become one.
+5. A family of more than ``CHUNK`` shingles is dealt to chunks, each with the family's first set; then its sets outside its largest class
+   query the unions of all its chunks.
+
+All steps are exact.  Rows that meet in one task are bounded by the chunk size; queries are dealt over copies of a chunk.
+Joins on sets and ids are merge joins at every size.
 
 Defined results: NULL, empty or white-space text has no set and is its own class; a NULL id links with nothing and
 gets a NULL class; repeated rows and ids join the same class; an empty table gives no rows; further columns are not read.
@@ -28,12 +26,13 @@ gets a NULL class; repeated rows and ids join the same class; an empty table giv
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidex.llm.brownlm import Words
@@ -42,8 +41,9 @@ from incidex.operators.graph import components
 from incidex.session import cut_lineage, release
 
 CHUNK = 2_000_000  # shingles of the members compared in one task
-QUERIES = 2_000_000  # shingles of the queries sent to one copy of a matrix row
-FEW = 16  # members up to which a row's sketches are looked at one by one
+QUERIES = 2_000_000  # shingles of the queries sent to one copy of a chunk
+TESTS = 100_000_000  # comparisons of sketches in one column
+HELD = 64_000_000  # bytes of one column held in a task
 _FREQUENT = 1e-3  # share of documents from which a shingle goes to the end of the order
 
 
@@ -94,52 +94,206 @@ def at_least(percent: int, n: int) -> int:
     return -(-percent * n // 100)
 
 
-def overlaps(tokens: np.ndarray, sorted_tokens: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
-    """Size of the intersection of ``tokens`` with each of n sets, given as one inverted list."""
-    lo, hi = np.searchsorted(sorted_tokens, tokens, "left"), np.searchsorted(sorted_tokens, tokens, "right")
-    size = hi - lo
-    total = int(size.sum())
-    if not total:
-        return np.zeros(n, np.int64)
-    at = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-    return np.bincount(owners[at], minlength=n)
-
-
-def chunk_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join all linked members of a chunk; every pair is decided."""
-    n = len(ids)
-    sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
-    tokens, owners = flat[order], np.repeat(np.arange(n), sizes)[order]
-    label, pending, links = np.arange(n), np.ones(n, bool), []
-    while pending.any():
-        classes, counts = np.unique(label[pending], return_counts=True)
-        if len(classes) == 1:
-            break
-        rare = classes[np.argmin(counts)]
-        x = int(np.flatnonzero(pending & (label == rare))[0])
-        pending[x] = False
-        both = overlaps(sets[x], tokens, owners, n)
-        hit = 100 * both >= percent * (sizes[x] + sizes - both)
-        for other in np.unique(label[hit]):
-            if other != label[x]:
-                y = int(np.flatnonzero(hit & (label == other))[0])
-                links.append((int(ids[x]), int(ids[y])))
-                label[label == other] = label[x]
-    return links
-
-
-def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
-    whole = column.combine_chunks()
-    flat = whole.flatten().to_numpy(zero_copy_only=False)
-    cuts = np.cumsum(whole.value_lengths().to_numpy(zero_copy_only=False))[:-1]
-    return np.split(flat, cuts)
+class TokenGroups:
+    """Token-group matrix of a chunk: groups of linked sets and the union of each group's shingles."""
+
+    def __init__(self, percent: int):
+        self._percent = percent
+        self._ids: list[list[int]] = []  # members of each group
+        self._sets: list[list[np.ndarray]] = []
+        self._groups_of: dict[int, list[int]] = defaultdict(list)  # the matrix, by token
+        self._unions: list[set[int]] = []
+        self._now: list[int] = []  # group that a group has become part of
+
+    def _current(self, g: int) -> int:
+        while self._now[g] != g:
+            self._now[g] = g = self._now[self._now[g]]
+        return g
+
+    def linked(self, tokens: np.ndarray) -> list[tuple[int, int]]:
+        """Groups with a set that links with ``tokens``, and that set's id."""
+        bounds: Counter[int] = Counter()
+        for t in tokens.tolist():
+            bounds.update(self._groups_of.get(t, ()))
+        most: dict[int, int] = defaultdict(int)
+        for g, n in bounds.items():
+            most[self._current(g)] += n  # parts of a group may both hold a token: still a bound
+        n, out = len(tokens), []
+        for g, bound in most.items():
+            if bound < at_least(self._percent, n):
+                continue
+            for i, other in zip(self._ids[g], self._sets[g]):
+                m = len(other)
+                if 100 * min(n, m) >= self._percent * max(n, m):
+                    both = len(np.intersect1d(tokens, other, assume_unique=True))
+                    if 100 * both >= self._percent * (n + m - both):
+                        out.append((g, i))
+                        break
+        return out
+
+    def add(self, sid: int, tokens: np.ndarray) -> list[int]:
+        """Puts a set into the matrix; one id of each group it links with."""
+        found = self.linked(tokens)
+        if found:
+            g = found[0][0]
+        else:
+            g = len(self._ids)
+            self._ids.append([])
+            self._sets.append([])
+            self._unions.append(set())
+            self._now.append(g)
+        for other, _ in found[1:]:
+            self._now[other] = g
+            self._ids[g] += self._ids[other]
+            self._sets[g] += self._sets[other]
+            self._unions[g] |= self._unions[other]
+            self._ids[other], self._sets[other], self._unions[other] = [], [], set()
+        for t in tokens.tolist():
+            if t not in self._unions[g]:
+                self._unions[g].add(t)
+                self._groups_of[t].append(g)
+        self._ids[g].append(sid)
+        self._sets[g].append(tokens)
+        return [i for _, i in found]
+
+
+class Column:
+    """Sets of one column and which of them may link."""
+
+    def __init__(self, sids: list[int], sizes: list[int], sketches: list[bytes], percent: int, known: dict[tuple[int, int], bool]):
+        self._sids, self._n, self._percent, self._known = sids, np.array(sizes), percent, known
+        self._sketches, self._tables = sketches, {}
+
+    def _table(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows whose sketch, folded where it is longer, has this many bytes."""
+        if size not in self._tables:
+            rows, folded = [], []
+            for i, s in enumerate(self._sketches):
+                if len(s) in (size, 2 * size):
+                    x = np.frombuffer(s, np.uint8)
+                    rows.append(i)
+                    folded.append(x if len(s) == size else x[:size] ^ x[size:])
+            self._tables[size] = np.array(rows, np.int64), np.array(folded, np.uint8).reshape(len(rows), size)
+        return self._tables[size]
+
+    def hits(self, x: int) -> np.ndarray:
+        """Rows that may link with row x."""
+        out = np.zeros(len(self._n), bool)
+        out[x] = True
+        if len(self._n) <= 8:
+            for y in range(len(self._n)):
+                if y != x:
+                    pair = (self._sids[x], self._sids[y]) if self._sids[x] < self._sids[y] else (self._sids[y], self._sids[x])
+                    good = self._known.get(pair)
+                    if good is None:
+                        n, m = int(self._n[x]), int(self._n[y])
+                        fits = 100 * min(n, m) >= self._percent * max(n, m)
+                        good = self._known[pair] = fits and may_link(self._sketches[x], self._sketches[y], n, m, self._percent)
+                    out[y] = good
+            return out
+        own, n = np.frombuffer(self._sketches[x], np.uint8), int(self._n[x])
+        for size in {len(own), len(own) // 2} - {4}:
+            rows, table = self._table(size)
+            if len(rows):
+                mine = own if size == len(own) else own[:size] ^ own[size:]
+                differ = np.bitwise_count(table ^ mine).sum(1, dtype=np.int64)
+                m = self._n[rows]
+                out[rows] |= ((100 + self._percent) * ((n + m - differ) // 2) >= self._percent * (n + m)) & (100 * np.minimum(n, m) >= self._percent * np.maximum(n, m))
+        return out
+
+    def forest(self) -> Iterator[tuple[int, int]]:
+        """Links that join all sets that may link."""
+        count = len(self._n)
+        label, pending = np.arange(count), np.ones(count, bool)
+        for _ in range(1 + TESTS // count):
+            classes, counts = np.unique(label[pending], return_counts=True)
+            if len(classes) < 2:
+                return
+            x = int(np.flatnonzero(pending & (label == classes[np.argmin(counts)]))[0])
+            pending[x] = False
+            hit = self.hits(x)
+            for other in np.unique(label[hit]):
+                if other != label[x]:
+                    yield self._sids[x], self._sids[int(np.flatnonzero(hit & (label == other))[0])]
+                    label[label == other] = label[x]
+        for other in np.unique(label):
+            if other != label[0]:
+                yield self._sids[0], self._sids[int(np.flatnonzero(label == other)[0])]
+
+
+def _column_links(percent: int):
+    """Rows sorted by column: links of every column's forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, int], bool] = {}
+        links: set[tuple[int, int]] = set()
+        token, rows, held = None, [], 0
+
+        def close_column() -> None:
+            if len(rows) > 1:
+                links.update(Column(*map(list, zip(*rows)), percent, known).forest())
+
+        def sent() -> pa.RecordBatch:
+            a, b = zip(*links) if links else ((), ())
+            return record_batches([("a", pa.int64(), list(a)), ("b", pa.int64(), list(b))])
+
+        for batch in batches:
+            for t, *row in zip(*(batch.column(c).to_pylist() for c in ("token", "sid", "n", "sketch"))):
+                if t != token:
+                    close_column()
+                    token, rows, held = t, [], 0
+                rows.append(row)
+                held += len(row[2]) + 100
+                if held > HELD:  # too large to hold: linked to its first set untested
+                    links.update((rows[0][0], r[0]) for r in rows[1:])
+                    rows, held = rows[:1], 0
+            if len(links) > 50_000:
+                yield sent()
+                links.clear()
+            if len(known) > 500_000:
+                known.clear()
+        close_column()
+        yield sent()
+
+    return run
+
+
+def _decide(percent: int):
+    """Rows sorted by cell, members before queries: links ``(a, b)`` that join all linked sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, seen, matrix = None, set(), TokenGroups(percent)
+        links: list[tuple[int, int]] = []
+        for batch in batches:
+            tokens = batch.column("tokens")
+            flat, at = tokens.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(tokens.value_lengths().to_numpy(zero_copy_only=False))]
+            for j, (c, sid, asks) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("cell", "sid", "asks")))):
+                if c != cell:
+                    cell, seen, matrix = c, set(), TokenGroups(percent)
+                if (sid, asks) in seen:
+                    continue
+                seen.add((sid, asks))
+                own = flat[at[j] : at[j + 1]]
+                found = [i for _, i in matrix.linked(own)] if asks else matrix.add(sid, own)
+                links += [(sid, i) for i in found if i != sid]
+            if len(links) > 50_000:
+                yield record_batches([("a", pa.int64(), [a for a, _ in links]), ("b", pa.int64(), [b for _, b in links])])
+                links = []
+        yield record_batches([("a", pa.int64(), [a for a, _ in links]), ("b", pa.int64(), [b for _, b in links])])
+
+    return run
 
 
 def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return _rows_with_classes(docs, k, percent, id_col, text_col).select("id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _rows_with_classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, th, n, sid, cls, component_id)`` for every row; ``th`` hashes the text, ``cls`` is NULL without a set or an id."""
+    if percent < 50:
+        raise ValueError("sketches are compared with those of half and double their size only: percent from 50")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Size and id of every set, and shingles frequent in what the task has read."""
@@ -148,12 +302,13 @@ def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
         def frequent() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             some = counts >= max(4, _FREQUENT * n_docs)
-            return record_batches([("id", pa.int64(), pa.nulls(int(some.sum()), pa.int64())), ("n", pa.int64(), pa.array(-counts[some])), ("sid", pa.int64(), pa.array(tokens[some])), ("sketch", pa.binary(), pa.nulls(int(some.sum()), pa.binary()))])
+            nothing = pa.nulls(int(some.sum()), pa.int64())
+            return record_batches([("id", pa.int64(), nothing), ("th", pa.int64(), nothing), ("n", pa.int64(), pa.array(-counts[some])), ("sid", pa.int64(), pa.array(tokens[some])), ("sketch", pa.binary(), pa.nulls(int(some.sum()), pa.binary()))])
 
         for whole in batches:
             for b in slices(whole, 1024):
                 sets = list(shingle_sets(words, text_bytes(b, "text"), k))
-                yield record_batches([("id", pa.int64(), b.column("id")), ("n", pa.int64(), [len(s) for s in sets]), ("sid", pa.int64(), [set_id(s) for s in sets]), ("sketch", pa.binary(), [sketch(s) for s in sets])])
+                yield record_batches([("id", pa.int64(), b.column("id")), ("th", pa.int64(), b.column("th")), ("n", pa.int64(), [len(s) for s in sets]), ("sid", pa.int64(), [set_id(s) for s in sets]), ("sketch", pa.binary(), [sketch(s) for s in sets])])
                 held += sets
                 size, n_docs = size + sum(map(len, sets)), n_docs + len(sets)
                 if size > 6_000_000:
@@ -162,7 +317,7 @@ def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
         if held:
             yield frequent()
 
-    scanned = cut_lineage(src.mapInArrow(scan, "id bigint, n bigint, sid bigint, sketch binary"))
+    scanned = cut_lineage(src.mapInArrow(scan, "id bigint, th bigint, n bigint, sid bigint, sketch binary"))
     listed = scanned.where("n >= 0")
     n_docs = listed.count()
     # at most 2 * (mean set size) / _FREQUENT shingles can reach this sum
@@ -176,7 +331,7 @@ def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
         words, (known, rank) = Words(), often_sent.value
         for whole in batches:
             for b in slices(whole, 1024):
-                out, sids, ns, sizes = [], [], [], []
+                out, sids, ns = [], [], []
                 for i, s in zip(b.column("id").to_pylist(), shingle_sets(words, text_bytes(b, "text"), k)):
                     n = len(s)
                     if i is None or not n or (100 * n < percent * (n + 1) and 100 * (n - 1) < percent * n):
@@ -194,57 +349,20 @@ def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
                     out.append(first)
                     sids.append(set_id(s))
                     ns.append(len(first))
-                    sizes.append(n)
                 if out:
-                    yield record_batches([("token", pa.int64(), pa.array(np.concatenate(out))), ("sid", pa.int64(), pa.array(np.repeat(np.array(sids, np.int64), ns))), ("n", pa.int64(), pa.array(np.repeat(np.array(sizes, np.int64), ns)))])
+                    yield record_batches([("token", pa.int64(), pa.array(np.concatenate(out))), ("sid", pa.int64(), pa.array(np.repeat(np.array(sids, np.int64), ns)))])
 
-    sent = cut_lineage(src.mapInArrow(columns, "token bigint, sid bigint, n bigint"))
+    sent = cut_lineage(src.mapInArrow(columns, "token bigint, sid bigint"))
     shared = sent.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("token")
-    common = cut_lineage(sent.join(shared, "token").distinct())
+    common = cut_lineage(sent.join(shared.hint("merge"), "token").distinct())
     release(sent)
-    # s: how many of a set's columns are anybody else's
-    matrix = cut_lineage(common.join(common.groupBy("sid").agg(F.count("*").alias("s")), "sid"))
+    first = cut_lineage(listed.where("id is not null and n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    seats = common.join(first.select("sid", "n", "sketch").hint("merge"), "sid").select("token", "sid", "n", "sketch")
+    edges = cut_lineage(seats.repartition("token").sortWithinPartitions("token").mapInArrow(_column_links(percent), "a bigint, b bigint").distinct())
     release(common)
-
-    need = lambda n: F.floor((F.lit(percent) * F.col(n) + 99) / 100)
-
-    def can_link() -> Column:
-        """Sizes fit, and so do the columns: of two sets, the one whose last column comes first meets the other in
-        columns only up to there, so the overlap is at most the columns in common and what either has behind its own."""
-        sizes = F.lit(100) * F.least("n", "to_n") >= F.lit(percent) * F.greatest("n", "to_n")
-        most = F.least("s", "to_s") + F.greatest(need("n"), need("to_n")) - 1
-        return sizes & (F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n") + F.col("to_n")))
-
-
-    sketches = listed.where("n > 0").groupBy("sid").agg(F.first("sketch").alias("sketch")).join(matrix.select("sid").distinct(), "sid")
-    sketches = cut_lineage(sketches)
-
-    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("sketch", "to_sketch", "n", "to_n")]
-            good = [may_link(x, y, n, m, percent) for x, y, n, m in zip(*cols)]
-            yield b.drop_columns(["sketch", "to_sketch"]).filter(pa.array(good, pa.bool_()))
-
-    def sifted(pairs: DataFrame) -> DataFrame:
-        """The pairs ``(sid, n, to_sid, to_n, ...)`` that their sketches do not rule out."""
-        both = pairs.join(sketches, "sid").join(sketches.select(F.col("sid").alias("to_sid"), F.col("sketch").alias("to_sketch")), "to_sid")
-        kinds = ", ".join(f"{c} {t}" for c, t in both.drop("sketch", "to_sketch").dtypes)
-        return both.mapInArrow(sieve, kinds)
-
-    rank = F.struct(F.xxhash64("sid").alias("r"), F.col("sid").alias("to_sid"), F.col("n").alias("to_n"), F.col("s").alias("to_s"))
-    heads = matrix.groupBy("token").agg(F.min(rank).alias("x")).select("token", "x.to_sid", "x.to_n", "x.to_s")
-    votes = matrix.join(heads, "token").where((F.col("sid") != F.col("to_sid")) & can_link()).groupBy("sid", "n", "to_sid", "to_n").count()
-    group = sifted(votes).groupBy("sid", "n").agg(F.max_by("to_sid", F.struct(F.col("count"), -F.xxhash64("to_sid"))).alias("grp"))
-    everyone = matrix.select("sid", "n").distinct()
-    group = everyone.join(group.drop("n"), "sid", "left").withColumn("grp", F.coalesce("grp", "sid"))
-    loose = group = cut_lineage(group)
-    chunks = group.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(CHUNK)).alias("chunks"), (F.count("*") > F.max((F.col("sid") == F.col("grp")).cast("int"))).alias("shared"))
-    group = cut_lineage(group.join(chunks, "grp").select("sid", "n", "grp", "shared", F.pmod(F.xxhash64(F.lit(3), "sid"), "chunks").alias("chunk")))
-    chunks = cut_lineage(chunks)
-    release(loose)
-
-    involved = group.select("sid")
-    first = listed.where("id is not null and n > 0").groupBy("sid").agg(F.min("id").alias("id"))
+    ends = edges.select(F.col("a").alias("sid")).unionByName(edges.select(F.col("b").alias("sid"))).distinct()
+    families = close(ends, edges).withColumnRenamed("cls", "family")
+    members = cut_lineage(families.join(first.select("sid", "n", "id").hint("merge"), "sid"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -254,82 +372,45 @@ def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
                 good = [j for j, (s, want) in enumerate(zip(sets, b.column("sid").to_pylist())) if set_id(s) == want]
                 offsets = np.r_[0, np.cumsum([len(sets[j]) for j in good])].astype(np.int32)
                 flat = np.concatenate([sets[j] for j in good]) if good else np.empty(0, np.int64)
-                yield record_batches([("sid", pa.int64(), b.column("sid").take(pa.array(good, pa.int64()))), ("tokens", pa.list_(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))])
-
-    def fetch(sids: DataFrame) -> DataFrame:
-        """The sets of the listed ids, from the texts."""
-        wanted = first.join(sids.distinct(), "sid")
-        return cut_lineage(src.join(wanted, "id").select("sid", "text").mapInArrow(tokens, "sid bigint, tokens array<bigint>"))
-
-    def inside(_: tuple, part: pa.Table) -> pa.Table:
-        ids = part.column("sid").to_numpy()
-        keep = np.sort(np.unique(ids, return_index=True)[1])
-        sets = _lists(part.column("tokens"))
-        links = chunk_links(ids[keep], [sets[i] for i in keep], percent)
-        a, b = zip(*links) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    everywhere = chunks.where("shared").select(F.col("grp").alias("sid"), "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    seats = cut_lineage(group.where("shared").select("sid", "grp", "chunk").unionByName(everywhere))
-    members = fetch(seats.select("sid"))
-    near = cut_lineage(seats.join(members, "sid").groupBy("grp", "chunk").applyInArrow(inside, "a bigint, b bigint"))
-    release(members, seats)
-    classes = close(involved, near)
-
-    homes = cut_lineage(group.join(classes, "sid").select("sid", "n", "cls", F.xxhash64("grp", "chunk", "cls").alias("cell")))
-    sizes = homes.groupBy("cls").agg(F.count("*").alias("size"))
-    seated = matrix.drop("n").join(homes, "sid").join(sizes, "cls").select("token", "sid", "n", "s", "cls", "cell", "size")
-    mixed = seated.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token")
-    seated = cut_lineage(seated.join(mixed, "token"))
-    alone = F.col("size") <= FEW  # asked member by member, larger ones as a whole
-    rows = seated.select(
-        "token", F.col("cell").alias("to"), F.col("cls").alias("to_cls"), F.col("size").alias("to_size"),
-        F.when(alone, F.col("sid")).alias("to_sid"), F.when(alone, F.col("n")).alias("to_n"), F.when(alone, F.col("s")).alias("to_s"),
-    ).distinct()
-    larger = (F.col("to_size") > F.col("size")) | ((F.col("to_size") == F.col("size")) & (F.col("to_cls") < F.col("cls")))
-    met = seated.join(rows, "token").where((F.col("cls") != F.col("to_cls")) & larger & (F.col("to_sid").isNull() | can_link()))
-    met = cut_lineage(met.select("sid", "n", "to", "to_sid", "to_n").distinct())
-    asks = met.where("to_sid is null").select("sid", "n", F.col("to").alias("cell"))
-    asks = cut_lineage(asks.unionByName(sifted(met.where("to_sid is not null")).select("sid", "n", F.col("to").alias("cell")).distinct()))
-    copies = asks.groupBy("cell").agg(F.ceil(F.sum("n") / F.lit(QUERIES)).alias("copies"))
-
-    def across(_: tuple, queries: pa.Table, members: pa.Table) -> pa.Table:
-        a, b = [], []
-        if queries.num_rows and members.num_rows:
-            ids, sets = members.column("m_sid").to_numpy(), _lists(members.column("m_tokens"))
-            sizes = np.array([len(s) for s in sets])
-            flat = np.concatenate(sets)
-            order = np.argsort(flat, kind="stable")
-            listed, owners = flat[order], np.repeat(np.arange(len(ids)), sizes)[order]
-            union = np.unique(listed)
-            for sid, q in zip(queries.column("sid").to_pylist(), _lists(queries.column("tokens"))):
-                at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-                if int((union[at] == q).sum()) < at_least(percent, len(q)):
-                    continue  # no member can overlap enough: the row stays closed
-                both = overlaps(q, listed, owners, len(ids))
-                hit = np.flatnonzero(100 * both >= percent * (len(q) + sizes - both))
-                if len(hit):
-                    a.append(sid)
-                    b.append(int(ids[hit[0]]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    stored = fetch(asks.select("sid").unionByName(homes.join(copies, "cell").select("sid")))
-    asked = asks.join(copies, "cell").select("sid", "cell", F.pmod(F.xxhash64(F.lit(5), "sid"), "copies").alias("copy")).join(stored, "sid")
-    opened = homes.join(copies, "cell").select("sid", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")).join(stored, "sid")
-    opened = opened.select(*[F.col(c).alias(f"m_{c}") for c in ("sid", "cell", "copy", "tokens")])
-    far = asked.groupBy("cell", "copy").cogroup(opened.groupBy("m_cell", "m_copy")).applyInArrow(across, "a bigint, b bigint")
-    of = lambda end: classes.select(F.col("sid").alias(end), F.col("cls").alias(f"{end}_cls"))
-    bridges = cut_lineage(far.join(of("a"), "a").join(of("b"), "b").select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct())
-    release(stored, asks, met, seated, homes)
-    if not bridges.isEmpty():
-        merged = close(classes.select(F.col("cls").alias("sid")).distinct(), bridges)
-        classes = classes.join(merged.select(F.col("sid").alias("cls"), F.col("cls").alias("top")), "cls").select("sid", F.col("top").alias("cls"))
-
-    of_set = first.join(classes, "sid", "left").select("sid", "id", F.coalesce("cls", "sid").alias("cls"))
+                yield record_batches([("sid", pa.int64(), b.column("sid").take(pa.array(good, pa.int64()))), ("family", pa.int64(), b.column("family").take(pa.array(good, pa.int64()))), ("tokens", pa.list_(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))])
+
+    wanted = members.select("id", "sid", "family").hint("merge")
+    whole = cut_lineage(src.join(wanted, "id").select("sid", "family", "text").mapInArrow(tokens, "sid bigint, family bigint, tokens array<bigint>"))
+    large = cut_lineage(members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(CHUNK)).alias("chunks")).where("chunks > 1"))
+
+    def decided(rows: DataFrame) -> DataFrame:
+        cells = rows.repartition("cell").sortWithinPartitions("cell", "asks")
+        return cells.select("cell", "asks", "sid", "tokens").mapInArrow(_decide(percent), "a bigint, b bigint")
+
+    cell = lambda *c: F.xxhash64("family", *c).alias("cell")
+    numbers = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    dealt = whole.join(large, "family", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    place = F.when(F.col("sid") == F.col("family"), numbers("chunks")).otherwise(F.array(F.pmod(F.xxhash64(F.lit(3), "sid"), "chunks")))
+    seated = dealt.select("family", "sid", "tokens", F.explode(place).alias("chunk"))
+    links = cut_lineage(decided(seated.select(cell("chunk"), F.lit(False).alias("asks"), "sid", "tokens")))
+    classes = close(members.select("sid"), links)
+
+    if not large.isEmpty():  # what is not in a large family's largest class queries the unions of its chunks
+        homes = classes.join(members.select("sid", "family", "n"), "sid").join(large, "family")
+        counts = homes.groupBy("family", "cls").agg(F.count("*").alias("c"))
+        main = counts.groupBy("family").agg(F.max_by("cls", F.struct("c", "cls")).alias("main"))
+        outside = cut_lineage(homes.join(main, "family").where("cls <> main").select("family", "sid", "n"))
+        copies = outside.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(QUERIES)).alias("copies"))
+        held = seated.where((F.col("sid") != F.col("family")) | (F.col("chunk") == 0)).join(copies, "family")
+        held = held.select("family", "chunk", "sid", "tokens", F.explode(numbers("copies")).alias("copy"), F.lit(False).alias("asks"))
+        asking = whole.join(outside.select("sid"), "sid").join(copies, "family").join(large, "family")
+        own_copy = F.pmod(F.xxhash64(F.lit(5), "sid"), "copies").alias("copy")
+        asking = asking.select("family", F.explode(numbers("chunks")).alias("chunk"), "sid", "tokens", own_copy, F.lit(True).alias("asks"))
+        more = cut_lineage(decided(held.unionByName(asking).select(cell("chunk", "copy"), "asks", "sid", "tokens")))
+        classes = close(members.select("sid"), links.unionByName(more))
+    release(whole)
+
+    of_set = first.select("sid", "id").join(classes.hint("merge"), "sid", "left").select("sid", "id", F.coalesce("cls", "sid").alias("cls"))
     least = of_set.groupBy("cls").agg(F.min("id").alias("least"))
-    of_set = of_set.join(least, "cls").select("sid", "least")
-    own = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("least")).otherwise(F.col("id"))
-    return listed.join(of_set, "sid", "left").select("id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    of_set = of_set.join(least.hint("merge"), "cls").select("sid", "cls", "least")
+    has = F.col("id").isNotNull() & (F.col("n") > 0)
+    rows = listed.select("id", "th", "n", "sid").join(of_set.hint("merge"), "sid", "left")
+    return rows.select("id", "th", "n", "sid", F.when(has, F.col("cls")).alias("cls"), F.when(has, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
 def close(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -339,10 +420,28 @@ def close(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their class; of rows that repeat it, the first by text; NULL ids stay."""
-    found = similar_classes(docs, k, percent, id_col, text_col)
-    keep = found.where("component_id = id").select(F.col("id").alias("_keep")).distinct()
-    key = F.col(id_col)
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    kept = docs.where(key.isNotNull()).join(keep, key == F.col("_keep"), "left_semi").withColumn("_rank", first).where("_rank = 1").drop("_rank")
-    return kept.unionByName(docs.where(key.isNull()))
+    """One row of each class: that of the smallest id (of rows that repeat it, one with a text of the class); NULL ids stay.
+
+    An id that occurs with texts of several classes is kept for each of them; without a set, rows of an id are one class.
+    """
+    found = _rows_with_classes(docs, k, percent, id_col, text_col).where("id is not null")
+    alone = F.when(F.col("cls").isNull(), F.col("id"))
+    keep = found.groupBy("cls", alone.alias("alone")).agg(F.min(F.struct("id", "th")).alias("x")).select("x.id", "x.th").distinct()
+    key, th, rank = unused(docs, 3)
+    keep = keep.select(F.col("id").alias(key), F.col("th").alias(th))
+    with_id = docs.where(F.col(id_col).isNotNull()).withColumn(th, F.xxhash64(text_col)).withColumn(key, F.col(id_col).cast("long"))
+    first = F.row_number().over(Window.partitionBy(key, th).orderBy(key))
+    kept = with_id.join(keep.hint("merge"), [key, th], "left_semi").withColumn(rank, first).where(F.col(rank) == 1)
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def unused(df: DataFrame, n: int) -> list[str]:
+    """Column names that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    while len(out) < n:
+        name = f"_c{len(out)}_{len(taken)}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out

@@ -98,6 +98,49 @@ def test_one_of_each(docs, rows):
     assert ids.count(None) == 2
 
 
+def test_repeated_ids_keep_every_class(spark):
+    """An unrelated text under a repeated id is nobody's copy and stays; names of the operator's own columns may occur."""
+    other = "totally other words that nobody else has written down here today"
+    rows = [(1, "a b c d e f g h"), (1, other), (2, "a b c d e f g h"), (3, ""), (3, None), (4, other + " at all"), (1, other)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: jaccard.F.lit(7) for c in ("_keep", "_rank", "id", "sid", "th", "cls", "key", "_c0_9")})
+    got = jaccard.one_of_each(df, k=5, percent=80)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"], r["text"] or "") for r in got.collect()) == [(1, "a b c d e f g h"), (1, other), (3, "")]
+
+
+def test_columns_send_forests(spark, monkeypatch):
+    """Few comparisons and small columns only make families larger; links stay those of all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sets = []
+    for g in range(4):
+        base = rng.integers(-(2**62), 2**62, 300)
+        sets += [np.unique(np.concatenate([base[: 300 - 12 * j], rng.integers(-(2**62), 2**62, 9 * j)])) for j in range(10)]
+    n = [len(s) for s in sets]
+    true = {(i, j) for i in range(40) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert len(true) > 60
+
+    def classes(links):
+        up = list(range(40))
+        for a, b in links:
+            a, b = up[a], up[b]
+            up = [a if x == b else x for x in up]
+        return up
+
+    sketches = [jaccard.sketch(s) for s in sets]
+    for tests in (10**8, 0):
+        monkeypatch.setattr(jaccard, "TESTS", tests)
+        found = classes(list(jaccard.Column(list(range(40)), n, sketches, 80, {}).forest()))
+        assert all(found[i] == found[j] for i, j in true)
+        assert len(list(jaccard.Column(list(range(40)), n, sketches, 80, {}).forest())) < 40
+    matrix = jaccard.TokenGroups(80)
+    links = [(i, j) for i in rng.permutation(40).tolist() for j in matrix.add(i, sets[i])]
+    assert set(map(lambda p: tuple(sorted(p, reverse=True)), links)) <= true
+    want, got = classes(true), classes(links)
+    assert len({*zip(want, got)}) == len(set(want)) == len(set(got))
+
+
 ITEMS = [
     (1, "Wa xe yi zo wu va ve vi vo vu qa qe qi qo qu. The answer is qaqe qiqo."),
     (2, "ra re ri ro ru rara rere riri roro ruru rare reri riro roru rura"),
