@@ -539,11 +539,26 @@ def rule_text(rules: DataFrame) -> DataFrame:
 
 
 def pattern_truth(elements: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Elements matched by any pattern; patterns are exact token sequences split into tokens.
+    """Elements inside an occurrence of any pattern: ``(container_id, element_id)``.
 
-    ``patterns(tok)`` and ``elements(container_id, element_id, tok)``.
+    ``patterns(words array<string>)`` are token sequences, ``elements(container_id, element_id, tok)`` tokens at consecutive places.
+    The token of a pattern that is rarest in the elements tells where it can begin; the other tokens are then looked up at their places.
     """
-    return elements.join(patterns.select("tok").distinct(), "tok", "left_semi").select("container_id", "element_id")
+    listed = cut_lineage(patterns.select("words").where(F.size("words") > 0).distinct().withColumn("pid", F.monotonically_increasing_id()))
+    parts = listed.select("pid", F.size("words").alias("len"), F.posexplode("words").alias("j", "tok"))
+    counts = elements.groupBy("tok").agg(F.count("*").alias("c"))
+    rarest = F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "j", "tok")).alias("x")
+    anchors = parts.join(counts, "tok", "left").groupBy("pid", "len").agg(rarest).where("x.c > 0").select("pid", "len", "x.j", "x.tok")
+    starts = elements.join(anchors, "tok").select("container_id", (F.col("element_id") - F.col("j")).alias("start"), "pid", "len")
+    long = starts.where("len > 1").join(parts.drop("len"), "pid").withColumn("element_id", F.col("start") + F.col("j"))
+    whole = (
+        long.join(elements, ["container_id", "element_id", "tok"])
+        .groupBy("container_id", "start", "pid", "len")
+        .agg(F.count("*").alias("got"))
+        .where("got = len")
+    )
+    found = whole.select("container_id", "start", "len").unionByName(starts.where("len = 1").select("container_id", "start", "len"))
+    return found.distinct().select("container_id", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("element_id")).distinct()
 
 
 def example_container(inc: DataFrame, rule_items: DataFrame, lo: int = 3, hi: int = 6) -> DataFrame:

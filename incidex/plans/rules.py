@@ -440,25 +440,42 @@ def _(t):
     return rl.dnf_rules(t.brand_incidence, cl, t.containers.count(), max_clauses=3)
 
 
-@query("rul33_pattern_truth", "container_id:l element_id:l",
-       """SELECT doc_id AS container_id, pos AS element_id FROM tokens WHERE token IN
-          (SELECT w FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark) WHERE length(w) >= 9)""")
-def _(t):
-    words = F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("tok")
-    patterns = t.raw("benchmark").select(words).where(F.length("tok") >= 9)
+# Every phrase of the benchmark, of any length: what stands between marks.
+PHRASES = """(WITH ph AS (SELECT DISTINCT list_filter(regexp_split_to_array(lower(f), '[^a-z]+'), lambda x: x <> '') AS w FROM (SELECT unnest(regexp_split_to_array(text, '[.,!?\n]')) AS f FROM benchmark)),
+   pp AS (SELECT row_number() OVER (ORDER BY w) AS pid, w, len(w) AS n FROM ph WHERE len(w) > 0),
+   parts AS (SELECT pid, unnest(w) AS token, unnest(range(n)) AS j FROM pp),
+   two AS (SELECT doc_id, pos, token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS t2 FROM tokens),
+   starts AS (SELECT doc_id, pos, pid, n FROM two JOIN pp ON token = w[1] AND (n = 1 OR t2 = w[2])),
+   found AS (SELECT s.doc_id, s.pos, s.pid, s.n FROM starts s JOIN parts p USING (pid) JOIN tokens t ON t.doc_id = s.doc_id AND t.pos = s.pos + p.j AND t.token = p.token
+     GROUP BY ALL HAVING count(*) = s.n)
+   SELECT DISTINCT doc_id AS container_id, unnest(range(pos, pos + n)) AS pos FROM found)"""
+
+
+def _pattern_hits(t):
+    phrases = t.raw("benchmark").select(F.explode(F.split("text", "[.,!?\n]")).alias("f"))
+    words = F.filter(F.split(F.lower("f"), "[^a-z]+"), lambda w: w != "")
     el = t.tokens.select(F.col("doc_id").alias("container_id"), F.col("pos").alias("element_id"), F.col("token").alias("tok"))
-    return rl.pattern_truth(el, patterns)
+    return rl.pattern_truth(el, phrases.select(words.alias("words")))
+
+
+@query("rul33_pattern_truth", "container_id:l element_id:l", f"SELECT container_id, pos AS element_id FROM {PHRASES}")
+def _(t):
+    return _pattern_hits(t)
+
+
+@query("rul33_pattern_counts", "container_id:l n_true:l",
+       f"SELECT d.doc_id AS container_id, count(p.pos) AS n_true FROM documents d LEFT JOIN {PHRASES} p ON p.container_id = d.doc_id GROUP BY 1")
+def _(t):
+    found = _pattern_hits(t).groupBy("container_id").agg(F.count("*").alias("n_true"))
+    docs = t.raw("documents").select(F.col("doc_id").alias("container_id"))
+    return docs.join(found, "container_id", "left").withColumn("n_true", F.coalesce("n_true", F.lit(0)))
 
 
 @query("rul33_pattern_edges", "container_id:l src:l dst:l",
-       """WITH p AS (SELECT doc_id AS container_id, pos FROM tokens WHERE token IN
-            (SELECT w FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM benchmark) WHERE length(w) >= 6))
+       f"""WITH p AS MATERIALIZED (SELECT * FROM {PHRASES})
           SELECT a.container_id, a.pos AS src, b.pos AS dst FROM p a JOIN p b ON a.container_id = b.container_id AND b.pos = a.pos + 1""")
 def _(t):
-    words = F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("tok")
-    patterns = t.raw("benchmark").select(words).where(F.length("tok") >= 6)
-    el = t.tokens.select(F.col("doc_id").alias("container_id"), F.col("pos").alias("element_id"), F.col("token").alias("tok"))
-    hit = rl.pattern_truth(el, patterns)
+    hit = cut_lineage(_pattern_hits(t))
     src = hit.withColumnRenamed("element_id", "src").withColumn("dst", F.col("src") + 1)
     return src.join(hit.withColumnRenamed("element_id", "dst"), ["container_id", "dst"])
 

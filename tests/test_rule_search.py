@@ -126,3 +126,17 @@ def test_drawn_rules_like_one_at_a_time(spark, held, inc):
     got = search.sample_rules(inc, df, n, 12, n_rules=15, cov_lo=0.3, cov_hi=0.7, max_tries=900, seed="7").collect()
     assert len(want) == 15 and {len(x) for x in seen} == {1, 2, 3}
     assert sorted((r["rule_key"], r["rule"], r["n_pos"], r["min_new_pos"], r["min_clause_support"]) for r in got) == sorted(want)
+
+
+def test_patterns_of_several_tokens(spark):
+    """Overlapping, repeated and partly present phrases; containers without any stay out."""
+    texts = {1: "a b a b a c", 2: "b b b b", 3: "x y z", 4: "c a b", 5: "the a", 6: "d"}
+    phrases = [["a", "b"], ["b", "b", "b"], ["a", "b", "a"], ["y", "q"], ["z"], ["c", "a", "b", "d"], ["never"], [], ["z"]]
+    el = spark.createDataFrame([(c, i, w) for c, t in texts.items() for i, w in enumerate(t.split())], "container_id long, element_id int, tok string")
+    got = {(r["container_id"], r["element_id"]) for r in rules.pattern_truth(el, spark.createDataFrame([(p,) for p in phrases], "words array<string>")).collect()}
+    want = set()
+    for c, t in texts.items():
+        w = t.split()
+        for p in phrases:
+            want |= {(c, i + j) for i in range(len(w)) for j in range(len(p)) if p and w[i : i + len(p)] == p}
+    assert got == want
