@@ -161,22 +161,23 @@ def assert_splits(report: DataFrame) -> DataFrame:
     return fail_where(report, F.col("n") > 0, F.concat(F.lit("split table fails "), F.col("check")))
 
 
-def verify_labels(labelled: DataFrame, marks: DataFrame, expected: DataFrame) -> DataFrame:
-    """Label against rule, and marked elements against the elements the rule explains.
+def verify_labels(labelled: DataFrame, marks: DataFrame, expected: DataFrame, by: Sequence[str] = ("rule_id",)) -> DataFrame:
+    """Label against rule, and marked elements against the elements the rule explains, for every rule.
 
-    ``labelled(container_id, label, synth)``; ``marks`` and ``expected`` hold
-    (container_id, element_id) and are compared as sets per container.
+    ``labelled(*by, container_id, label, synth)``; ``marks`` and ``expected`` hold
+    (*by, container_id, element_id) and are compared as sets per rule and container.
     """
-    keys = ["container_id", "element_id"]
+    by = list(by)
+    keys = [*by, "container_id", "element_id"]
     a = marks.select(*keys).distinct().withColumn("_m", F.lit(1))
     b = expected.select(*keys).distinct().withColumn("_e", F.lit(1))
-    diff = a.join(b, keys, "full_outer").groupBy("container_id").agg(
+    diff = a.join(b, keys, "full_outer").groupBy(*by, "container_id").agg(
         F.count("_m").alias("n_marked"), F.sum((F.col("_m").isNull() | F.col("_e").isNull()).cast("long")).alias("n_diff")
     )
-    j = labelled.join(diff, "container_id", "left")
+    j = labelled.join(diff, [*by, "container_id"], "left")
     y, r = F.col("label") == 1, F.col("synth") == 1
     cnt = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
-    return j.agg(
+    return j.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.avg((y == r).cast("double")).alias("agreement"),
         cnt(y & ~r).alias("false_pos"),
@@ -264,14 +265,17 @@ def assert_task(registry: dict[str, str], dataset: str, source_truth: Sequence[s
         raise ValueError(f"{dataset}: has source truth, synthetic truth refused")
 
 
-def truth_containers(containers: DataFrame, truth: DataFrame, positive: int = 1) -> DataFrame:
-    """Positive test containers that carry truth."""
-    pos = containers.where((F.col("split") == "test") & (F.col("label") == positive))
-    return pos.join(truth.select("container_id").distinct(), "container_id", "left_semi").select("container_id")
+def truth_containers(containers: DataFrame, truth: DataFrame, positive: int = 1, by: Sequence[str] = ("rule_id",)) -> DataFrame:
+    """Positive test containers that carry truth, for every rule."""
+    pos = containers.where((F.col("split") == "test") & (F.col("label") == positive)).select("container_id")
+    return truth.select(*by, "container_id").distinct().join(pos, "container_id").select(*by, "container_id")
 
 
-def has_truth(truth: DataFrame, kind: str) -> bool:
-    return not truth.where(F.col("kind") == kind).isEmpty()
+def has_truth(rules: DataFrame, truth: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """``(rule_id, kind, present)``: whether each rule has truth of each kind, in one pass."""
+    found = truth.where(F.col("kind").isin(list(kinds))).groupBy("rule_id").agg(F.collect_set("kind").alias("kinds"))
+    asked = rules.select("rule_id").distinct().join(found, "rule_id", "left").select("rule_id", "kinds", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+    return asked.select("rule_id", "kind", F.coalesce(F.array_contains("kinds", F.col("kind")), F.lit(False)).alias("present"))
 
 
 # ---- field normalisation ---------------------------------------------------------------

@@ -355,9 +355,9 @@ def label_confusion(labelled: DataFrame) -> DataFrame:
 
 
 def label_snr_by_item(inc: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Each item's class-1 share and signal-to-noise under the original and the rule label."""
-    j = inc.join(labelled.select("container_id", "label", "synth"), "container_id")
-    agg = j.groupBy("item_key").agg(
+    """Each item's class-1 share and signal-to-noise under the original and every rule's label."""
+    j = inc.join(labelled.select("rule_id", "container_id", "label", "synth"), "container_id")
+    agg = j.groupBy("rule_id", "item_key").agg(
         F.count("*").alias("n"),
         F.avg(F.col("label").cast("double")).alias("orig_c1"),
         F.avg(F.col("synth").cast("double")).alias("synth_c1"),

@@ -130,19 +130,18 @@ def _(t):
     return gt.validate_splits(c, s, t.raw("customer").select(F.col("c_custkey").cast("string").alias("text")))
 
 
-@query("flt13_verify_labels", "n:l agreement:d false_pos:l false_neg:l neg_with_marks:l pos_mismatch:l",
-       """WITH e AS (SELECT container_id, element_id FROM truth WHERE rule_id = 2 AND kind = 'node'),
-          m AS (SELECT container_id, element_id FROM truth WHERE rule_id = 2 AND kind = 'clause' AND ordinal <= 1),
-          d AS (SELECT container_id, count(m.container_id) AS nm, count(*) FILTER (m.container_id IS NULL OR e.container_id IS NULL) AS nd
-            FROM (SELECT DISTINCT * FROM m) m FULL JOIN (SELECT DISTINCT * FROM e) e USING (container_id, element_id) GROUP BY 1)
-          SELECT count(*) AS n, avg(CAST(label = synth AS INT)) AS agreement, count(*) FILTER (label = 1 AND synth = 0) AS false_pos,
+@query("flt13_verify_labels", "rule_id:l n:l agreement:d false_pos:l false_neg:l neg_with_marks:l pos_mismatch:l",
+       """WITH e AS (SELECT DISTINCT rule_id, container_id, element_id FROM truth WHERE kind = 'node'),
+          m AS (SELECT DISTINCT rule_id, container_id, element_id FROM truth WHERE kind = 'clause' AND ordinal <= 1),
+          d AS (SELECT rule_id, container_id, count(m.container_id) AS nm, count(*) FILTER (m.container_id IS NULL OR e.container_id IS NULL) AS nd
+            FROM m FULL JOIN e USING (rule_id, container_id, element_id) GROUP BY ALL)
+          SELECT rule_id, count(*) AS n, avg(CAST(label = synth AS INT)) AS agreement, count(*) FILTER (label = 1 AND synth = 0) AS false_pos,
             count(*) FILTER (label = 0 AND synth = 1) AS false_neg, count(*) FILTER (label = 0 AND nm > 0) AS neg_with_marks,
             count(*) FILTER (label = 1 AND nd > 0) AS pos_mismatch
-          FROM labelled LEFT JOIN d USING (container_id) WHERE rule_id = 2""")
+          FROM labelled LEFT JOIN d USING (rule_id, container_id) GROUP BY rule_id""")
 def _(t):
-    lab = rl.apply_rules(t.containers, t.brand_incidence, t.rules.where("rule_id = 2"))
-    mine = t.truth.where("rule_id = 2")
-    return gt.verify_labels(lab, mine.where("kind = 'clause' AND ordinal <= 1"), mine.where("kind = 'node'"))
+    lab = rl.apply_rules(t.containers, t.brand_incidence, t.rules)
+    return gt.verify_labels(lab, t.truth.where("kind = 'clause' AND ordinal <= 1"), t.truth.where("kind = 'node'"))
 
 
 @query("flt14_method_state", "run:s method:s state:s reason:s",
@@ -222,18 +221,17 @@ def _(t):
     return t.containers.where("label IS NOT NULL").agg(F.lit(registry["orders"]).alias("task"), F.count("*").alias("n"))
 
 
-@query("flt21_truth_containers", "container_id:l",
-       "SELECT container_id FROM containers WHERE split = 'test' AND label = 1 AND container_id IN (SELECT container_id FROM truth WHERE rule_id = 1)")
+@query("flt21_truth_containers", "rule_id:l container_id:l",
+       "SELECT DISTINCT rule_id, container_id FROM truth JOIN containers USING (container_id) WHERE split = 'test' AND label = 1")
 def _(t):
-    return gt.truth_containers(t.containers, t.truth.where("rule_id = 1"))
+    return gt.truth_containers(t.containers, t.truth)
 
 
-@query("flt22_has_truth", "kind:s present:b",
-       """SELECT kind, kind IN (SELECT kind FROM truth WHERE rule_id = 1) AS present FROM (SELECT unnest(['node', 'family', 'absent']) AS kind)""")
+@query("flt22_has_truth", "rule_id:l kind:s present:b",
+       """SELECT rule_id, kind, EXISTS (SELECT 1 FROM truth x WHERE x.rule_id = r.rule_id AND x.kind = k.kind) AS present
+          FROM (SELECT DISTINCT rule_id FROM rules) r, (SELECT unnest(['node', 'family', 'absent']) AS kind) k""")
 def _(t):
-    mine = t.truth.where("rule_id = 1")
-    rows = [(k, gt.has_truth(mine, k)) for k in ("node", "family", "absent")]
-    return t.spark.createDataFrame(rows, "kind string, present boolean")
+    return gt.has_truth(t.rules, t.truth, ("node", "family", "absent"))
 
 
 @query("flt23_scope_lists", "dataset:s backbone:s family:s fold:l",

@@ -261,20 +261,20 @@ SN = "greatest({c}, 1 - {c}) / greatest(1 - greatest({c}, 1 - {c}), 1e-6)"
 
 
 @query("rul18_item_comparison",
-       "item_key:s n:l orig_c1:d synth_c1:d orig_snr:d synth_snr:d snr_delta:d separation:d",
+       "rule_id:l item_key:s n:l orig_c1:d synth_c1:d orig_snr:d synth_snr:d snr_delta:d separation:d",
        f"""WITH s AS (SELECT container_id, list(item_key) AS items FROM incidence GROUP BY 1),
            g AS (SELECT v.item_key AS rule_id, c.container_id, CASE WHEN b.item_key IS NULL THEN 0 ELSE 1 END AS synth
              FROM containers c, brand_vocab v LEFT JOIN brand_incidence b ON b.container_id = c.container_id AND b.item_key = v.item_key),
            d AS (SELECT * FROM (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY rule_id, synth
              ORDER BY md5('42|' || container_id), container_id) <= 40) JOIN s USING (container_id)),
            sep AS ({SEPARATION})
-           SELECT item_key, n, orig_c1, synth_c1, {SN.format(c='orig_c1')} AS orig_snr, {SN.format(c='synth_c1')} AS synth_snr,
+           SELECT i.rule_id, item_key, n, orig_c1, synth_c1, {SN.format(c='orig_c1')} AS orig_snr, {SN.format(c='synth_c1')} AS synth_snr,
              {SN.format(c='synth_c1')} - {SN.format(c='orig_c1')} AS snr_delta, separation
-           FROM (SELECT item_key, count(*) AS n, avg(label) AS orig_c1, avg(synth) AS synth_c1
-             FROM brand_incidence JOIN labelled USING (container_id) WHERE rule_id = 1 GROUP BY 1)
+           FROM (SELECT rule_id, item_key, count(*) AS n, avg(label) AS orig_c1, avg(synth) AS synth_c1
+             FROM brand_incidence JOIN labelled USING (container_id) GROUP BY ALL) i
            JOIN sep ON sep.rule_id = item_key""")
 def _(t):
-    lab = rl.apply_rules(t.containers, t.brand_incidence, t.rules.where("rule_id = 1"))
+    lab = rl.apply_rules(t.containers, t.brand_incidence, t.rules)
     table = rl.label_snr_by_item(t.brand_incidence, lab)
     own = t.brand_vocab.select(F.col("item_key").alias("rule_id"), F.lit(0).alias("clause_id"), "item_key")
     sets = t.incidence.groupBy("container_id").agg(F.collect_set("item_key").alias("items"))
