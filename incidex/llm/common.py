@@ -26,6 +26,29 @@ def id_crc(col: str) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """Column names that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    while len(out) < n:
+        name = f"_c{len(out)}_{len(taken)}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def set_aside(df: DataFrame, needed: Iterable[str], made: Iterable[str] = ()) -> tuple[DataFrame, list[Column]]:
+    """``df`` with all columns but ``needed`` under names that clash with nothing, and what selects its own columns again.
+
+    Own columns named as one of ``made`` (the columns an operator adds) are left out of that.
+    """
+    needed, made = set(needed), {m.lower() for m in made}
+    names = {c: c if c in needed else n for c, n in zip(df.columns, unused(df, len(df.columns)))}
+    plain = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return plain, [F.col(n).alias(c) for c, n in names.items() if c.lower() not in made]
+
+
 def lower_words(text: bytes | None) -> list[bytes]:
     """Words of a UTF-8 text with A-Z lower-cased; none for NULL."""
     return text.translate(LOWER).split() if text else []

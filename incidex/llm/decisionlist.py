@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from incidex.llm.common import set_aside
 from incidex.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
@@ -226,7 +227,8 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return feats.withColumns({"q_base_failed": failed, "q_kept": ~failed & verdict(rules, "q_")}), rules
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **names) -> DataFrame:
-    """The rows of ``docs`` the list keeps, with their own columns."""
-    judged, _ = judge(docs, labels, carry=True, **names)
-    return judged.where("q_kept").select(*[judged[c] for c in docs.columns])
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
+    """The rows of ``docs`` the list keeps, with their own columns (which may have any names)."""
+    plain, own = set_aside(docs, (id_col, text_col))
+    judged, _ = judge(plain, labels, id_col, text_col, carry=True, **names)
+    return judged.where("q_kept").select(*own)

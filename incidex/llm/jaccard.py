@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidex.llm.brownlm import Words
-from incidex.llm.common import mix64, record_batches, slices, text_bytes
+from incidex.llm.common import mix64, record_batches, set_aside, slices, text_bytes, unused
 from incidex.operators.graph import components
 from incidex.session import cut_lineage, release
 
@@ -453,21 +453,10 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     found = _rows_with_classes(docs, k, percent, id_col, text_col).where("id is not null")
     alone = F.when(F.col("cls").isNull(), F.col("id"))
     keep = found.groupBy("cls", alone.alias("alone")).agg(F.min(F.struct("id", "th")).alias("x")).select("x.id", "x.th").distinct()
-    key, th, rank = unused(docs, 3)
+    plain, own = set_aside(docs, (id_col, text_col))
+    key, th, rank = unused(plain, 3)
     keep = keep.select(F.col("id").alias(key), F.col("th").alias(th))
-    with_id = docs.where(F.col(id_col).isNotNull()).withColumn(th, F.xxhash64(text_col)).withColumn(key, F.col(id_col).cast("long"))
+    with_id = plain.where(F.col(id_col).isNotNull()).withColumn(th, F.xxhash64(text_col)).withColumn(key, F.col(id_col).cast("long"))
     first = F.row_number().over(Window.partitionBy(key, th).orderBy(key))
     kept = with_id.join(keep.hint("merge"), [key, th], "left_semi").withColumn(rank, first).where(F.col(rank) == 1)
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
-
-
-def unused(df: DataFrame, n: int) -> list[str]:
-    """Column names that ``df`` does not have."""
-    taken, out = {c.lower() for c in df.columns}, []
-    while len(out) < n:
-        name = f"_c{len(out)}_{len(taken)}"
-        while name in taken:
-            name += "_"
-        taken.add(name)
-        out.append(name)
-    return out
+    return kept.select(*own).unionByName(docs.where(F.col(id_col).isNull()))

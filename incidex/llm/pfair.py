@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from incidex.llm.common import set_aside
+
 PREFIX = 3  # hex digits of the md5: 4096 parts
 
 
@@ -69,7 +71,11 @@ def schedule(quotas: DataFrame) -> DataFrame:
 
 
 def interleave(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", source: str = "source", block: int = 32, period: int = 1000, max_sources: int = 10_000) -> DataFrame:
-    """``docs`` with ``mix_block, mix_release, mix_deadline, mix_slot, mix_place``; order by the last two."""
+    """``docs`` with ``mix_block, mix_release, mix_deadline, mix_slot, mix_place``; order by the last two.
+
+    Own columns of ``docs`` with one of these names are left out.
+    """
+    docs, own = set_aside(docs, (id_col, source), ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place"))
     quotas = shares(weights, period)
     if len(quotas.limit(max_sources + 1).select("q").collect()) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -93,12 +99,13 @@ def interleave(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", sour
     placed = placed.join(plan, (F.col("mix_key") == F.col("p_key")) & (F.col("mix_j") == F.col("p_j")))
     k, q, p = F.col("mix_block"), F.col("p_q"), F.col("p_period")
     return placed.select(
-        *[docs[c] for c in docs.columns], k, F.floor(k * p / q).alias("mix_release"), _ceil_div((k + 1) * p, q).alias("mix_deadline"),
+        *own, k, F.floor(k * p / q).alias("mix_release"), _ceil_div((k + 1) * p, q).alias("mix_deadline"),
         (F.floor(k / q) * p + F.col("p_slot")).alias("mix_slot"), "mix_place",
     )
 
 
 def in_mixed_order(docs: DataFrame, weights: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, dealt out and sorted in mixed order, with their own columns."""
-    mixed = interleave(docs, weights, **options)
-    return mixed.repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*docs.columns)
+    plain, own = set_aside(docs, (options.get("id_col", "doc_id"), options.get("source", "source")))
+    mixed = interleave(plain, weights, **options)
+    return mixed.repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*own)

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from incidex.llm.common import set_aside
+
 KINDS = ("path", "host", "domain")
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]*)"
@@ -43,7 +45,11 @@ def intervals(log: DataFrame, ttl: int = 90) -> DataFrame:
 
 
 def judge(captures: DataFrame, log: DataFrame, url: str = "url", day: str = "day", ttl: int = 90) -> DataFrame:
-    """``captures`` with ``host``, ``blocked``, and kind, pattern and first day of the most special valid entry."""
+    """``captures`` with ``host``, ``blocked``, and kind, pattern and first day of the most special valid entry.
+
+    Own columns of ``captures`` with one of these names are left out.
+    """
+    captures, own = set_aside(captures, (url, day), ("host", "blocked", "entry_kind", "entry", "entry_day"))
     keys = patterns(F.col(url))
     rows = captures.withColumns({f"_{k}": c for k, c in keys.items()})
     spans = intervals(log, ttl)
@@ -59,6 +65,6 @@ def judge(captures: DataFrame, log: DataFrame, url: str = "url", day: str = "day
         out = out.join(answers, (F.col(f"_{kind}") == F.col(f"_{kind}_p")) & (F.col(day) == F.col(f"_{kind}_d")), "left")
     pick = lambda of: F.coalesce(*[F.when(F.col(f"_{k}_from").isNotNull(), of(k)) for k in KINDS])
     return out.select(
-        *captures.columns, F.col("_host").alias("host"), F.coalesce(*[F.col(f"_{k}_from") for k in KINDS]).isNotNull().alias("blocked"),
+        *own, F.col("_host").alias("host"), F.coalesce(*[F.col(f"_{k}_from") for k in KINDS]).isNotNull().alias("blocked"),
         pick(lambda k: F.lit(k)).alias("entry_kind"), pick(lambda k: F.col(f"_{k}")).alias("entry"), pick(lambda k: F.col(f"_{k}_from")).alias("entry_day"),
     )
