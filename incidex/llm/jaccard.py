@@ -256,7 +256,15 @@ def _column_links(percent: int):
         token, rows, held = None, [], 0
 
         def close_column() -> None:
-            if len(rows) > 1:
+            if len(rows) == 2:
+                (a, n, x), (b, m, y) = rows
+                pair = (a, b) if a < b else (b, a)
+                good = known.get(pair)
+                if good is None:
+                    good = known[pair] = 100 * min(n, m) >= percent * max(n, m) and may_link(x, y, n, m, percent)
+                if good:
+                    links.add(pair)
+            elif len(rows) > 2:
                 links.update(Column(*map(list, zip(*rows)), percent, known).forest())
 
         def sent() -> pa.RecordBatch:
