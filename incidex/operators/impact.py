@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from incidex import skew
 from incidex.functions.expr import binary_entropy, clamp, logit, not_nan, ratio
+from incidex.session import cut_lineage
 
 UNKNOWN_KEY = "UNK"
 CATEGORY_ORDER = ("HH", "HL", "LH", "LL")
@@ -66,7 +67,15 @@ def _first_per_item(df: DataFrame) -> DataFrame:
 
 
 def local_high(df: DataFrame, mode: str) -> DataFrame:
-    """Adds ``is_local_hi``: global mean, in-container p50/p75, or above the container's unknown mean."""
+    """Adds ``is_local_hi``: global mean, in-container p50/p75, or above the container's unknown mean.
+
+    The rows are stored: a sum of doubles that is made twice may differ in its last bit, and a row must equal its own threshold.
+    """
+    return _local_high(cut_lineage(df), mode)
+
+
+def _local_high(df: DataFrame, mode: str) -> DataFrame:
+    """``local_high`` of stored rows."""
     imp = F.col("impact")
     if mode == "global":
         return df.withColumn("is_local_hi", imp >= df.agg(F.avg("impact")).scalar())
@@ -83,8 +92,13 @@ def local_high(df: DataFrame, mode: str) -> DataFrame:
 
 def hypotheses(df: DataFrame, mode: str, importance_thr: Column | None = None) -> DataFrame:
     """h2: locally high.  h1: not h2, but the container has an important h2 row.  h0: neither."""
+    return _hypotheses(cut_lineage(df), mode, importance_thr)
+
+
+def _hypotheses(df: DataFrame, mode: str, importance_thr: Column | None = None) -> DataFrame:
+    """``hypotheses`` of stored rows."""
     thr = df.agg(F.avg("importance")).scalar() if importance_thr is None else importance_thr
-    marked = local_high(df, mode).withColumnRenamed("is_local_hi", "h2")
+    marked = cut_lineage(_local_high(df, mode).withColumnRenamed("is_local_hi", "h2"))
     anchors = (
         marked.where(F.col("h2") & (F.col("importance") > thr)).select("container_id").distinct().withColumn("_a", F.lit(True))
     )
@@ -111,7 +125,8 @@ def hypothesis_ratios(df: DataFrame, mode: str, min_containers: int = 5) -> Data
     one = _first_per_item(df)
     if mode != "beat_unk":
         one = one.where(F.col("item_key") != UNKNOWN_KEY)
-    flagged = hypotheses(one, mode)
+    one = cut_lineage(one)
+    flagged = _hypotheses(one, mode)
     around = one.groupBy("container_id").agg(F.sum("impact").alias("_sum"), F.count("*").alias("_cnt"))
     j = flagged.join(around, "container_id").withColumn(
         "cooc", (F.col("_sum") - F.col("impact")) / F.greatest(F.col("_cnt") - 1, F.lit(1))
