@@ -25,9 +25,12 @@ def bin_edges(df: DataFrame, by: Sequence[str], x: str, n: int) -> DataFrame:
 
 
 def assign_bin(df: DataFrame, by: Sequence[str], x: str, n: int, out: str = "bin") -> DataFrame:
-    """Bin number; the top edge belongs to the last bin and outliers are clipped."""
+    """Bin number; the top edge belongs to the last bin and outliers are clipped.
+
+    Groups are the panels of a plot, so their bounds are few and go to the rows.
+    """
     b = bin_bounds(df, by, x)
-    joined = df.join(b, list(by)) if by else df.select("*", *[b.select(c).scalar().alias(c) for c in ("lo", "hi")])
+    joined = df.join(F.broadcast(b), list(by)) if by else df.select("*", *[b.select(c).scalar().alias(c) for c in ("lo", "hi")])
     pos = F.floor(F.coalesce(ratio((F.col(x) - F.col("lo")) * n, F.col("hi") - F.col("lo")), F.lit(0.0)))
     return joined.withColumn(out, F.least(F.greatest(pos, F.lit(0)), F.lit(n - 1))).drop("lo", "hi")
 
@@ -50,7 +53,7 @@ def minmax(df: DataFrame, by: Sequence[str], x: str, out: str) -> DataFrame:
     """Scale to [0, 1] inside the group; a constant group becomes 0."""
     b = df.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     scaled = F.coalesce(ratio(F.col(x) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    return df.join(b, list(by)).withColumn(out, scaled).drop("_lo", "_hi")
+    return df.join(F.broadcast(b), list(by)).withColumn(out, scaled).drop("_lo", "_hi")
 
 
 def attach_means(base: DataFrame, others: dict[str, DataFrame], keys: Sequence[str], value: str) -> DataFrame:
