@@ -140,3 +140,20 @@ def test_patterns_of_several_tokens(spark):
         for p in phrases:
             want |= {(c, i + j) for i in range(len(w)) for j in range(len(p)) if p and w[i : i + len(p)] == p}
     assert got == want
+
+
+def test_rules_meet_drawn_containers_only(spark, monkeypatch):
+    n, seed, met = 5, "7", []
+    every = spark.range(4000).select(F.col("id").alias("container_id"))
+    many = every.select("container_id", F.explode(F.array(F.lit("all"), F.concat(F.lit("m"), F.col("container_id") % 2))).alias("item_key"))
+    spec = spark.createDataFrame([(1, 0, "m0"), (2, 0, "m1")], "rule_id int, clause_id int, item_key string")
+    whole = rules.fired_containers
+    monkeypatch.setattr(rules, "fired_containers", lambda i, r: met.append(i.count()) or whole(i, r))
+    got = {r["rule_id"]: r["separation"] for r in rules.separation(every, many, many, spec, n, seed).collect()}
+    assert got == pytest.approx({1: 2 / 3, 2: 2 / 3})
+    assert met and max(met) <= 2 * 16 * n
+
+
+def test_clauses_meet_distinct_baskets(inc):
+    plan = rules.clause_baskets(inc, [["item0"], ["item0", "item3"]])._jdf.queryExecution().optimizedPlan().toString()
+    assert "container_id" not in plan[: plan.index("Join Inner, (item_key")]
