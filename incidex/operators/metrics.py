@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from incidex import skew
 from incidex.functions.expr import not_nan, ratio, weighted_pearson
+from incidex.session import cut_lineage
 
 UNKNOWN = -1
+SMALL = 64  # elements of a container that are compared pair by pair inside its row
 
 
 # ---- predictions ------------------------------------------------------------------
@@ -328,8 +330,72 @@ def _fired_elements(scores: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
-def dnf_auc(scores: DataFrame, truth: DataFrame) -> DataFrame:
-    """Per (rule, container): best fired clause (other clauses left out) and union of fired clauses."""
+def _pair_auc(pos: Column, neg: Column) -> Column:
+    """AUC of two short lists of scores; NULL when one is empty."""
+    beats = lambda p: F.aggregate(
+        neg, F.lit(0.0), lambda n_won, n: n_won + F.when(n < p, 1.0).when(n == p, 0.5).otherwise(0.0)
+    )
+    won = F.aggregate(pos, F.lit(0.0), lambda u, p: u + beats(p))
+    pairs = F.size(pos) * F.size(neg)
+    return F.when(pairs > 0, won / pairs)
+
+
+def _by_size(scores: DataFrame, truth: DataFrame) -> tuple[list[DataFrame], list[DataFrame] | None]:
+    """Scores and truth of the containers that fit in a row, and of the larger ones (None if there are none)."""
+    # 64 marks weigh as much as an element
+    known = scores.select("container_id", F.lit(64).alias("w")).unionByName(truth.select("container_id", F.lit(1).alias("w")))
+    return skew.split_groups(known, ["container_id"], 64 * SMALL, scores, truth, weight="w")
+
+
+def _rows(scores: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row per (rule, container): scores of the cause and of the others (no NULL), and the marks of its clauses and rivals."""
+    els = scores.where("score IS NOT NULL").groupBy("container_id").agg(F.collect_list(F.struct("element_id", "score")).alias("els"))
+    of_kind = lambda kinds, c: F.collect_list(F.when(F.col("kind").isin(*kinds), c))
+    marks = truth.repartition("container_id").groupBy("container_id", "rule_id").agg(
+        of_kind(["node"], F.col("element_id")).alias("node"),
+        of_kind(["clause"], F.struct("ordinal", "element_id")).alias("clause"),
+        of_kind(["family", "spurious"], F.struct("kind", "ordinal", "element_id")).alias("rivals"),
+    )
+    hit = lambda e: F.array_contains("node", e["element_id"])
+    return marks.where(F.size("node") > 0).join(els, "container_id").withColumns(
+        {
+            "cause": F.transform(F.filter("els", hit), lambda e: e["score"]),
+            "other": F.transform(F.filter("els", lambda e: ~hit(e)), lambda e: e["score"]),
+        }
+    )
+
+
+def _marked(marks: str, ordinal: Column) -> Column:
+    """Scores of the elements with this ordinal in ``marks``."""
+    has = lambda e: F.exists(marks, lambda m: (m["ordinal"] == ordinal) & (m["element_id"] == e["element_id"]))
+    return F.transform(F.filter("els", has), lambda e: e["score"])
+
+
+def _row_node_auc(rows: DataFrame) -> DataFrame:
+    return rows.select("rule_id", "container_id", _pair_auc(F.col("cause"), F.col("other")).alias("auc"))
+
+
+def _row_dnf_auc(rows: DataFrame) -> DataFrame:
+    ordinals = F.array_distinct(F.transform("clause", lambda m: m["ordinal"]))
+    fired = rows.where(F.size("clause") > 0).withColumn("pos", F.transform(ordinals, lambda o: _marked("clause", o)))
+    return fired.select(
+        "rule_id",
+        "container_id",
+        _pair_auc(F.col("cause"), F.col("other")).alias("global_auc"),
+        F.array_max(F.transform("pos", lambda p: _pair_auc(p, F.col("other")))).alias("instance_auc"),
+    )
+
+
+def _row_contrast(rows: DataFrame, kind: str) -> DataFrame:
+    rival = F.filter("rivals", lambda m: (m["kind"] == kind) & ~F.array_contains("node", m["element_id"]))
+    each = rows.where(F.size("rivals") > 0).withColumn("rival", rival).withColumn(
+        "ordinal", F.explode(F.array_distinct(F.transform("rival", lambda m: m["ordinal"])))
+    )
+    auc = _pair_auc(_marked("rival", F.col("ordinal")), F.col("cause"))
+    return each.select("rule_id", "ordinal", "container_id", auc.alias("auc"))
+
+
+def _large_dnf_auc(scores: DataFrame, truth: DataFrame) -> DataFrame:
     flagged = _fired_elements(scores, truth)
     whole = skew.roc_auc(flagged, ["rule_id", "container_id"], "cause", "score", "global_auc")
     clause = truth.where("kind = 'clause'").select("rule_id", "container_id", "element_id", F.col("ordinal").alias("clause_id"))
@@ -344,16 +410,29 @@ def dnf_auc(scores: DataFrame, truth: DataFrame) -> DataFrame:
     return whole.select("rule_id", "container_id", "global_auc").join(best, ["rule_id", "container_id"])
 
 
-def dnf_roc(scores: DataFrame, truth: DataFrame) -> DataFrame:
-    return dnf_auc(scores, truth).groupBy("rule_id").agg(
+def dnf_auc(scores: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per (rule, container): best fired clause (other clauses left out) and union of fired clauses.
+
+    Containers of few elements are graded inside one row, larger ones by ranges of their scores.
+    """
+    few, many = _by_size(scores, truth.where("kind IN ('node', 'clause')"))
+    per = _row_dnf_auc(_rows(*few))
+    return per if many is None else per.unionByName(_large_dnf_auc(*many))
+
+
+def _mean_dnf(per: DataFrame) -> DataFrame:
+    return per.groupBy("rule_id").agg(
         F.avg("instance_auc").alias("instance_auc"),
         F.avg("global_auc").alias("global_auc"),
         F.count("instance_auc").alias("n_containers"),
     )
 
 
-def contrast(scores: DataFrame, truth: DataFrame, kind: str) -> DataFrame:
-    """Competitor elements (positives) against the cause (negatives), mean over containers."""
+def dnf_roc(scores: DataFrame, truth: DataFrame) -> DataFrame:
+    return _mean_dnf(dnf_auc(scores, truth))
+
+
+def _large_contrast(scores: DataFrame, truth: DataFrame, kind: str) -> DataFrame:
     keys = ["rule_id", "container_id", "element_id"]
     cause = truth.where("kind = 'node'").select(*keys)
     rival = truth.where(F.col("kind") == kind).select(*keys, "ordinal").join(cause, keys, "left_anti")
@@ -362,18 +441,36 @@ def contrast(scores: DataFrame, truth: DataFrame, kind: str) -> DataFrame:
     rows = rival.select(*keys, "ordinal", F.lit(1).alias("y")).unionByName(neg)
     scored = rows.join(scores.select("container_id", "element_id", "score"), ["container_id", "element_id"])
     per = skew.roc_auc(scored, ["rule_id", "ordinal", "container_id"], "y", "score")
+    return per.select("rule_id", "ordinal", "container_id", "auc")
+
+
+def _mean_contrast(per: DataFrame) -> DataFrame:
     return per.groupBy("rule_id", "ordinal").agg(F.avg("auc").alias("auc_mean"), F.count("auc").alias("n_containers"))
 
 
+def contrast(scores: DataFrame, truth: DataFrame, kind: str) -> DataFrame:
+    """Competitor elements (positives) against the cause (negatives), mean over containers."""
+    few, many = _by_size(scores, truth)
+    per = _row_contrast(_rows(*few), kind)
+    return _mean_contrast(per if many is None else per.unionByName(_large_contrast(*many, kind)))
+
+
 def truth_roc_all(scores: DataFrame, truth: DataFrame) -> DataFrame:
     """Whole set per rule: node, instance, global, family and per-competitor AUC with their maximum."""
-    flagged = _fired_elements(scores, truth)
-    node = mean_auc(skew.roc_auc(flagged, ["rule_id", "container_id"], "cause", "score"), ["rule_id"])
-    fam = contrast(scores, truth, "family").select("rule_id", F.col("auc_mean").alias("family_auc"))
-    spur = contrast(scores, truth, "spurious").groupBy("rule_id").agg(
+    few, many = _by_size(scores, truth)
+    rows = cut_lineage(_rows(*few))
+    nodes, dnf = _row_node_auc(rows), _row_dnf_auc(rows)
+    rivals = {kind: _row_contrast(rows, kind) for kind in ("family", "spurious")}
+    if many is not None:
+        flagged = _fired_elements(*many)
+        nodes = nodes.unionByName(skew.roc_auc(flagged, ["rule_id", "container_id"], "cause", "score").select(nodes.columns))
+        dnf = dnf.unionByName(_large_dnf_auc(*many))
+        rivals = {kind: per.unionByName(_large_contrast(*many, kind)) for kind, per in rivals.items()}
+    node, dnf = mean_auc(nodes, ["rule_id"]), _mean_dnf(dnf)
+    fam = _mean_contrast(rivals["family"]).select("rule_id", F.col("auc_mean").alias("family_auc"))
+    spur = _mean_contrast(rivals["spurious"]).groupBy("rule_id").agg(
         F.max("auc_mean").alias("spurious_auc_max"), F.count("auc_mean").alias("n_spurious")
     )
-    dnf = dnf_roc(scores, truth)
     joined = node.select("rule_id", F.col("auc_mean").alias("node_auc"))
     for part in (dnf.drop("n_containers"), fam, spur):
         joined = joined.join(part, "rule_id", "left")
