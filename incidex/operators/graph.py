@@ -2,23 +2,123 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from incidex import skew
 from incidex.session import cut_lineage
 
+SMALL = 1000  # nodes and edges of a group that are worked inside one row
 
-def components(nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str = "element_id", max_rounds: int = 100) -> DataFrame:
+
+def close_rows(
+    tables: dict[str, DataFrame], by: Sequence[str], schema: str, close: Callable[..., dict[str, np.ndarray]]
+) -> DataFrame:
+    """Each group of ``by`` in one row of lists, and ``close`` over many rows at once.
+
+    ``tables`` are named; all their columns but ``by`` are whole numbers.  ``close`` gets the row number and the columns of
+    each table, in the order given, and returns the column ``row`` and those of ``schema``.
+    """
+    by, tagged = list(by), None
+    width = max(len(x.columns) for x in tables.values()) - len(by)
+    for name, x in tables.items():
+        cols = [F.col(c).cast("long") for c in x.columns if c not in by]
+        cols += [F.lit(None).cast("long")] * (width - len(cols))
+        part = x.select(*by, F.lit(name).alias("_t"), F.struct(*[c.alias(f"_{i}") for i, c in enumerate(cols)]).alias("_v"))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    lists = tagged.repartition(*by).groupBy(*by).agg(*[F.collect_list(F.when(F.col("_t") == n, F.col("_v"))).alias(n) for n in tables])
+    names, n_by = list(tables), len(by)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = []
+            for name in names:
+                column = batch.column(name)
+                sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+                values = column.flatten().flatten()
+                flat.append([np.repeat(np.arange(len(sizes)), sizes), *values])
+            out = close(*flat)
+            row = pa.array(out.pop("row"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i).take(row) for i in range(n_by)] + [v if isinstance(v, pa.Array) else pa.array(v) for v in out.values()],
+                batch.schema.names[:n_by] + list(out),
+            )
+
+    heads = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lists.select(*by).schema)
+    return lists.mapInArrow(work, f"{heads}, {schema}")
+
+
+def number_nodes(row: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, Callable[[np.ndarray, np.ndarray], np.ndarray]]:
+    """Order of the nodes by (row, id), and a lookup of their places in it: -1 for ends that are no nodes."""
+    order = np.lexsort((ids, row))
+    known, codes = np.unique(ids, return_inverse=True)
+    key = row * (len(known) + 1) + codes
+    key = key[order]
+
+    def place(r: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if not len(key):
+            return np.full(len(r), -1)
+        c = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        want = r * (len(known) + 1) + c
+        at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+        return np.where((known[c] == x) & (key[at] == want), at, -1)
+
+    return order, place
+
+
+def _labels(nodes: list, edges: list, cuts: list | None = None) -> dict[str, np.ndarray]:
+    row, ids = nodes[0], nodes[1].to_numpy(zero_copy_only=False)
+    order, place = number_nodes(row, ids)
+    src, dst = (place(edges[0], e.to_numpy(zero_copy_only=False)) for e in edges[1:3])
+    held = (src >= 0) & (dst >= 0)
+    if cuts is not None:
+        a, b = (place(cuts[0], e.to_numpy(zero_copy_only=False)) for e in cuts[1:3])
+        a, b, n = a[(a >= 0) & (b >= 0)], b[(a >= 0) & (b >= 0)], len(ids)
+        held &= ~np.isin(src * n + dst, np.r_[a * n + b, b * n + a])
+    src, dst = src[held], dst[held]
+    label = np.arange(len(ids))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, dst, label[src])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    return {"row": row[order], "id": ids[order], "label": ids[order][label]}
+
+
+def components(
+    nodes: DataFrame, edges: DataFrame, by: Sequence[str], node: str = "element_id", max_rounds: int = 100, cuts: DataFrame | None = None
+) -> DataFrame:
     """Component label (smallest member) of every node inside its group.
 
     Each round takes the smallest label among the neighbours and then the label of
     that label, so long chains close in few rounds.  ``edges(by, src, dst)`` holds
-    both directions.  The state is checkpointed each round and the loop ends when
-    no label moves.
+    both directions; the loop ends when no label moves.  Groups of up to ``SMALL`` nodes and edges are closed inside a row, the
+    state of the others is checkpointed each round.  ``node`` is a whole number.  ``cuts`` are edges, in either direction, that
+    do not count.
     """
     by = list(by)
+    if not by:
+        return _rounds(nodes, edges if cuts is None else without_cuts(edges, cuts, by), by, node, max_rounds)
+    tables = [nodes.select(*by, node), edges.select(*by, "src", "dst")] + ([] if cuts is None else [cuts.select(*by, "src", "dst")])
+    sizes = functools.reduce(DataFrame.unionByName, [x.select(*by) for x in tables])
+    few, rest = skew.split_groups(sizes, by, SMALL, *tables)
+    kind = nodes.schema[node].dataType.simpleString()
+    out = close_rows(dict(zip(("nodes", "edges", "cuts"), few)), by, "id long, label long", _labels)
+    out = out.select(*by, F.col("id").cast(kind).alias(node), F.col("label").cast(kind).alias("label"))
+    if rest is None:
+        return out
+    links = rest[1] if cuts is None else without_cuts(rest[1], rest[2], by)
+    return out.unionByName(_rounds(rest[0], links, by, node, max_rounds))
+
+
+def _rounds(nodes: DataFrame, edges: DataFrame, by: list[str], node: str, max_rounds: int) -> DataFrame:
     links = cut_lineage(edges.select(*by, "src", "dst"))
     state = cut_lineage(nodes.select(*by, F.col(node).alias("id"), F.col(node).alias("label")))
     for _ in range(max_rounds):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from incidex.operators import vocab as voc
-from incidex.plans.bindings import PCT, kept_sql
+from incidex.plans.bindings import PCT, chain_edges, kept_sql
 from incidex.plans.registry import query
+from incidex.session import cut_lineage
 
 SWEEP = [0.005, 0.015, 0.02, 0.024, 0.026, 0.028, 0.03, 0.034]
 
@@ -369,8 +370,9 @@ def _(t):
             LEFT JOIN near ON m.container_id = near.container_id AND m.element_id = near.element_id AND r = 1""")
 def _(t):
     # lines returned as 'R' have no index entry and take the item of the nearest mapped neighbour
-    direct = t.lookup.where("flag <> 'R'").select("container_id", "element_id", "item_id")
-    return voc.spread_lookup(t.elements, direct, t.edges)
+    lookup = cut_lineage(t.lookup.select("container_id", "element_id", "item_id", "flag"))  # read for all three inputs
+    direct = lookup.where("flag <> 'R'").select("container_id", "element_id", "item_id")
+    return voc.spread_lookup(lookup, direct, chain_edges(lookup))
 
 
 @query("voc31_direct_lookup", "container_id:l element_id:l item_id:l",

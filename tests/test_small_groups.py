@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from incidex import skew
-from incidex.operators import metrics
+from incidex.operators import graph, metrics, vocab
 from incidex.session import scratch_folders
 
 
@@ -51,3 +51,33 @@ def test_grades_of_small_and_large_containers_agree(spark, monkeypatch):
     assert few == ranged and len(few) > 20
     close = lambda a, b: all(x == y or abs(x - y) < 1e-9 for r, s in zip(a, b, strict=True) for x, y in zip(r, s, strict=True))
     assert all(close(a, b) for a, b in zip(whole, run(), strict=True))
+
+
+def _paths(spark):
+    """Paths of 1 to 40 nodes with ids in mixed order, some of their edges cut, and an edge to a node that is not there."""
+    at = spark.range(41 * 40).select((F.col("id") % 41).alias("container_id"), F.floor(F.col("id") / 41).alias("i")).where("i <= container_id")
+    name = lambda i: F.pmod(F.col(i) * 17, F.lit(41))
+    nodes = at.select("container_id", name("i").alias("element_id"))
+    one = at.where("i > 0").withColumn("j", F.col("i") - 1).select("container_id", "i", name("i").alias("src"), name("j").alias("dst"))
+    edges = one.select("container_id", "src", "dst").unionByName(one.select("container_id", F.col("src").alias("dst"), F.col("dst").alias("src")))
+    edges = edges.unionByName(spark.range(1).select(F.lit(5).alias("container_id"), F.lit(99).alias("src"), F.lit(0).alias("dst")))
+    return nodes, edges, one.where("i % 9 = 4").select("container_id", "src", "dst")
+
+
+def test_components_of_small_groups_take_no_rounds(spark, monkeypatch):
+    nodes, edges, cuts = _paths(spark)
+    with scratch_folders() as made:
+        few = rows(graph.components(nodes, edges, ["container_id"], cuts=cuts))
+    assert len(made) == 1 and len(few) == nodes.count()
+    monkeypatch.setattr(graph, "SMALL", 60)  # the longer paths go by rounds
+    assert few == rows(graph.components(nodes, edges, ["container_id"], cuts=cuts))
+
+
+def test_lookups_of_small_containers_spread_without_rounds(spark, monkeypatch):
+    nodes, edges, _ = _paths(spark)
+    direct = nodes.where("element_id % 13 = 2").withColumn("item_id", F.when(F.col("container_id") % 5 > 0, F.col("element_id") % 4 - 1))
+    with scratch_folders() as made:
+        few = rows(vocab.spread_lookup(nodes, direct, edges))
+    assert len(made) == 1 and len(few) == nodes.count()
+    monkeypatch.setattr(graph, "SMALL", 60)
+    assert few == rows(vocab.spread_lookup(nodes, direct, edges))
