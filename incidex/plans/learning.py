@@ -8,6 +8,7 @@ from incidex.operators import graph
 from incidex.operators import learn as ln
 from incidex.operators import merges as mg
 from incidex.operators import rules as rl
+from incidex.plans.bindings import chain_edges
 from incidex.plans.registry import query
 
 BITS = "log2(20)"
@@ -319,10 +320,10 @@ def _(t):
           SELECT container_id, element_id, min(element_id) OVER (PARTITION BY container_id, g) AS label FROM g""")
 def _(t):
     e = t.brand_elements.select("container_id", "element_id", "flag")
-    s = e.select("container_id", F.col("element_id").alias("src"), F.col("flag").alias("fs"))
-    d = e.select("container_id", F.col("element_id").alias("dst"), F.col("flag").alias("fd"))
-    cuts = t.edges.join(s, ["container_id", "src"]).join(d, ["container_id", "dst"]).where("fs <> fd")
-    return graph.components(e, graph.without_cuts(t.edges, cuts, ["container_id"]), ["container_id"])
+    after = e.select("container_id", (F.col("element_id") - 1).alias("element_id"), F.col("flag").alias("flag2"))
+    cuts = e.join(after, ["container_id", "element_id"]).where("flag <> flag2")
+    cuts = cuts.select("container_id", F.col("element_id").alias("src"), (F.col("element_id") + 1).alias("dst"))
+    return graph.components(e, chain_edges(e), ["container_id"], cuts=cuts)
 
 
 @query("lrn23_support_levels", "level:s bucket:s n_keys:l largest:l",
