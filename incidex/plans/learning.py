@@ -234,10 +234,11 @@ def _trees(t):
 
 def _twigs(t):
     """Part types of an order, each over the same two leaves: trees in which every type pays as a rule."""
-    li = t.lines.select(F.col("container_id").alias("tree"), "kind").distinct()
-    root = li.select("tree", F.col("kind").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("kind").alias("key"))
-    leaf = li.select("tree", F.explode(F.array(F.concat("kind", F.lit(":price")), F.concat("kind", F.lit(":size")))).alias("node"), F.col("kind").alias("parent"))
-    return root.unionByName(leaf.withColumn("key", F.col("node")))
+    li = t.lines.select(F.col("container_id").alias("tree"), "kind")
+    node = lambda name, parent, key: F.struct(name.alias("node"), parent.cast("string").alias("parent"), key.alias("key"))
+    k = F.col("kind")
+    leaves = [node(x, k, x) for x in (F.concat("kind", F.lit(":price")), F.concat("kind", F.lit(":size")))]
+    return li.distinct().select("tree", F.explode(F.array(node(k, F.lit(None), k), *leaves)).alias("n")).select("tree", "n.*")
 
 
 @query("lrn16_learn_rulebook", "step:l key:s kids:s gain:d")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from incidex import skew
-from incidex.operators import graph, metrics, vocab
+from incidex.operators import graph, learn, metrics, vocab
 from incidex.session import scratch_folders
 
 
@@ -81,3 +81,16 @@ def test_lookups_of_small_containers_spread_without_rounds(spark, monkeypatch):
     assert len(made) == 1 and len(few) == nodes.count()
     monkeypatch.setattr(graph, "SMALL", 60)
     assert few == rows(vocab.spread_lookup(nodes, direct, edges))
+
+
+def test_equal_trees_are_learned_from_once(spark):
+    base = [(n, p, n[0]) for n, p in (("A", None), ("b", "A"), ("c", "A"))]
+    other = [("A", None, "A"), ("d", "A", "d")]
+    trees = [(i, *x) for i in range(30) for x in (other if i % 3 == 0 else base)]
+    nodes = spark.createDataFrame(trees, "tree int, node string, parent string, key string")
+    kept, classes = learn.distinct_trees(nodes)
+    assert rows(classes) == [(0, 10), (1, 20)] and kept.count() == 5
+    named = nodes.select("tree", *[F.concat(c, F.lit(":"), F.col("tree")).alias(c) for c in ("node", "parent")], "key")  # no two are equal
+    assert learn.distinct_trees(named)[1].count() == 30
+    book = learn.learn_rulebook(nodes)
+    assert len(book) == 2 and book == learn.learn_rulebook(named)
