@@ -112,11 +112,7 @@ def _(t):
            SELECT doc_id, count(*) AS n_edges, count(*) FILTER (v > near) AS n_cuts, count(*) FILTER (near IS NULL) AS n_null FROM n GROUP BY doc_id""")
 def _(t):
     h = ln.branching_entropy(_pairs(t)).select(F.col("ctx").alias("token"), F.round("entropy", 9).alias("v"))
-    edges = t.tokens.join(h, "token").select("doc_id", "pos", "v")
-    return ln.local_max_cuts(edges, ["doc_id"]).groupBy("doc_id").agg(
-        F.count("*").alias("n_edges"), F.sum(F.coalesce("is_cut", F.lit(False)).cast("long")).alias("n_cuts"),
-        F.sum(F.col("is_cut").isNull().cast("long")).alias("n_null"),
-    )
+    return ln.local_max_counts(_docs(t), "doc_id", "words", h)
 
 
 @query("lrn7_description_length", "lang:s bits:d n:l",

@@ -1,5 +1,6 @@
 """Groups that fit in a row or a task are worked there; larger ones go by ranges or rounds, with the same results."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from incidex import skew
@@ -94,3 +95,18 @@ def test_equal_trees_are_learned_from_once(spark):
     assert learn.distinct_trees(named)[1].count() == 30
     book = learn.learn_rulebook(nodes)
     assert len(book) == 2 and book == learn.learn_rulebook(named)
+
+
+def test_cuts_are_counted_without_dealing_positions(spark, monkeypatch):
+    words = F.transform(F.sequence(F.lit(1), F.col("id") % 40), lambda i: F.concat(F.lit("w"), F.pmod(F.hash("id", i), F.lit(30))))
+    docs = spark.range(0, 300, 1, 3).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 40 > 0, words).otherwise(F.array()).alias("words"))
+    values = spark.range(29).select(F.concat(F.lit("w"), "id").alias("token"), (F.col("id") % 9 / 4).alias("v"))  # w29 has none
+    monkeypatch.setattr(learn, "CHUNK", 100)
+    got = learn.local_max_counts(docs, "doc_id", "words", values)
+    whole = docs.select("doc_id", F.posexplode("words").alias("pos", "token")).join(values, "token").select("doc_id", "pos", "v")
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    near = F.greatest(F.lag("v").over(order), F.lead("v").over(order))
+    want = whole.withColumn("near", near).groupBy("doc_id").agg(
+        F.count("*").alias("n_edges"), F.count_if(F.col("v") > F.col("near")).alias("n_cuts"), F.count_if(F.isnull("near")).alias("n_null")
+    )
+    assert rows(got) == rows(want) and got.where("n_null > 0").count() > 0
