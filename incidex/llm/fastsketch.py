@@ -9,7 +9,8 @@ Two documents link when ``100 * |x & y| >= percent * |x | y|``; the result is ea
 2. Banding: equal sets are one; a set is listed in a bucket for each of its bands of ``ROWS`` bins.  A pair at J = 0.8 shares no bucket with probability
    (1 - 0.8^5)^51 < 2e-9.
 3. One sorted stream over the buckets compares the sketches' low bits (one of each bin) and drops what is more than six standard deviations off ``percent``.
-   A bucket sends a spanning forest of what is left, found with pivots: no pairs of a bucket are emitted.
+   A bucket sends a spanning forest of what is left, found with pivots: no pairs of a bucket are emitted.  Its first set is its least, so that
+   the buckets that hold the same sets send the same links.
    Buckets of more than ``CROWD`` sets, or ``PIVOTS`` pivots, link what is left to the first set untested; that only makes families larger.
 4. Families are the components of these forests; pairs that link lie in one family.  Full sets are fetched once per family and all pairs of a family are decided on them:
    pivots against an inverted list, until all members that were no pivot are in one class.
@@ -292,7 +293,7 @@ def similar_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
     first = cut_lineage(first)
 
     seats = first.select(F.explode("buckets").alias("bucket"), "sid", "n", *_WORDS)
-    pairs = seats.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(percent), "a bigint, b bigint")
+    pairs = seats.repartition("bucket").sortWithinPartitions("bucket", "sid").mapInArrow(_bucket_links(percent), "a bigint, b bigint")
     edges = cut_lineage(pairs.distinct())
     ends = edges.select(F.col("a").alias("sid")).unionByName(edges.select(F.col("b").alias("sid"))).distinct()
     families = close(ends, edges).withColumnRenamed("cls", "family")

@@ -97,10 +97,8 @@ def components(
 ) -> DataFrame:
     """Component label (smallest member) of every node inside its group.
 
-    Each round takes the smallest label among the neighbours and then the label of
-    that label, so long chains close in few rounds.  ``edges(by, src, dst)`` holds
-    both directions; the loop ends when no label moves.  Groups of up to ``SMALL`` nodes and edges are closed inside a row, the
-    state of the others is checkpointed each round.  ``node`` is a whole number.  ``cuts`` are edges, in either direction, that
+    ``edges(by, src, dst)`` holds both directions; ends that are no nodes do not count.  Groups of up to ``SMALL`` nodes and edges are closed inside a row, the
+    others are merged in rounds that store nodes and the links left.  ``node`` is a whole number.  ``cuts`` are edges, in either direction, that
     do not count.
     """
     by = list(by)
@@ -119,23 +117,30 @@ def components(
 
 
 def _rounds(nodes: DataFrame, edges: DataFrame, by: list[str], node: str, max_rounds: int) -> DataFrame:
-    links = cut_lineage(edges.select(*by, "src", "dst"))
-    state = cut_lineage(nodes.select(*by, F.col(node).alias("id"), F.col(node).alias("label")))
+    """Each round merges every node into the least one of the tree that least neighbours make; links between merged nodes are left.
+
+    A node that survives two rounds has taken in another, so the nodes at least halve.
+    """
+    ids = nodes.select(*by, F.col(node).alias("id"))
+    state = cut_lineage(ids.withColumn("label", F.col("id")))
+    both = edges.where("src <> dst").select(*by, F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    for end in ("src", "dst"):
+        both = both.join(ids.withColumnRenamed("id", end), [*by, end], "left_semi")
+    links = cut_lineage(both)
     for _ in range(max_rounds):
-        src = state.select(*by, F.col("id").alias("src"), F.col("label").alias("offer"))
-        best = links.join(src, [*by, "src"]).groupBy(*by, F.col("dst").alias("id")).agg(F.min("offer").alias("offer"))
-        hooked = state.join(best, [*by, "id"], "left").select(
-            *by, "id", F.col("label").alias("old"), F.least("label", F.coalesce("offer", "label")).alias("label")
-        )
-        parent = hooked.select(*by, F.col("id").alias("label"), F.col("label").alias("up"))
-        jumped = cut_lineage(
-            hooked.join(parent, [*by, "label"], "left").select(
-                *by, "id", "old", F.least("label", F.coalesce("up", "label")).alias("label")
-            )
-        )
-        state = jumped.select(*by, "id", "label")
-        if jumped.where("label <> old").isEmpty():
-            return state.withColumnRenamed("id", node)
+        if links.isEmpty():
+            return state.select(*by, F.col("id").alias(node), F.col("label").cast(nodes.schema[node].dataType).alias("label"))
+        up = cut_lineage(links.groupBy(*by, F.col("src").alias("id")).agg(F.min("dst").alias("up")))
+        moved = True
+        while moved:  # up to the root: who has no entry is one
+            hop = up.select(*by, F.col("id").alias("up"), F.col("up").alias("top"))
+            up = cut_lineage(up.join(hop, [*by, "up"], "left").select(*by, "id", F.col("up").alias("old"), F.coalesce("top", "up").alias("up")))
+            moved = not up.where("up <> old").isEmpty()
+        root = lambda c: up.select(*by, F.col("id").alias(c), F.col("up").alias(f"{c}_up"))
+        state = cut_lineage(state.join(root("label"), [*by, "label"], "left").select(*by, "id", F.coalesce("label_up", "label").alias("label")))
+        ends = links.join(root("src"), [*by, "src"]).join(root("dst"), [*by, "dst"], "left")
+        ends = ends.select(*by, F.col("src_up").alias("src"), F.coalesce("dst_up", "dst").alias("dst")).where("src <> dst")
+        links = cut_lineage(ends.select(*by, F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     raise RuntimeError(f"components not closed after {max_rounds} rounds")
 
 
