@@ -107,6 +107,28 @@ def instance_correlation(scores: DataFrame, impact: DataFrame, by: Sequence[str]
     )
 
 
+def subset_correlation(points: DataFrame, subsets: dict[str, Column], out: str) -> DataFrame:
+    """``instance_correlation`` of the points in each of several subsets that may overlap, finite values only.
+
+    The points are ranked once for all subsets.
+    """
+    flags = {name: f"_in{i}" for i, name in enumerate(subsets)}
+    pts = points.select(
+        not_nan(F.col("score")).alias("score"), not_nan(F.col("impact")).alias("impact"), *[F.coalesce(c, F.lit(False)).alias(flags[k]) for k, c in subsets.items()]
+    ).where("score IS NOT NULL AND impact IS NOT NULL")
+    for x in ("score", "impact"):
+        pts = skew.average_ranks(pts, [], x, {f"_{x}{f}": F.col(f) for f in flags.values()})
+    rows = []
+    for name, f in flags.items():
+        one = F.when(F.col(f), 1.0)
+        rows.append(F.struct(
+            F.lit(name).alias(out), F.count(one).alias("n_instances"),
+            weighted_pearson(F.col("score"), F.col("impact"), one).alias("pearson_instance"),
+            weighted_pearson(F.col(f"_score{f}"), F.col(f"_impact{f}"), one).alias("spearman_instance"),
+        ))
+    return pts.agg(F.array(*rows).alias("rows")).select(F.inline("rows")).where("n_instances > 0")
+
+
 def score_impact(item_scores: DataFrame, impact: DataFrame) -> DataFrame:
     """Item score against impact: over all (item, container) points, and over item means."""
     one = F.lit(1.0)
