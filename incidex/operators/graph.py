@@ -129,7 +129,7 @@ def _rounds(nodes: DataFrame, edges: DataFrame, by: list[str], node: str, max_ro
     links = cut_lineage(both)
     for _ in range(max_rounds):
         if links.isEmpty():
-            return state.select(*by, F.col("id").alias(node), F.col("label").cast(nodes.schema[node].dataType).alias("label"))
+            return cut_lineage(state.select(*by, F.col("id").alias(node), F.col("label").cast(nodes.schema[node].dataType).alias("label")))
         up = cut_lineage(links.groupBy(*by, F.col("src").alias("id")).agg(F.min("dst").alias("up")))
         moved = True
         while moved:  # up to the root: who has no entry is one
@@ -137,7 +137,7 @@ def _rounds(nodes: DataFrame, edges: DataFrame, by: list[str], node: str, max_ro
             up = cut_lineage(up.join(hop, [*by, "up"], "left").select(*by, "id", F.col("up").alias("old"), F.coalesce("top", "up").alias("up")))
             moved = not up.where("up <> old").isEmpty()
         root = lambda c: up.select(*by, F.col("id").alias(c), F.col("up").alias(f"{c}_up"))
-        state = cut_lineage(state.join(root("label"), [*by, "label"], "left").select(*by, "id", F.coalesce("label_up", "label").alias("label")))
+        state = state.join(root("label"), [*by, "label"], "left").select(*by, "id", F.coalesce("label_up", "label").alias("label"))
         ends = links.join(root("src"), [*by, "src"]).join(root("dst"), [*by, "dst"], "left")
         ends = ends.select(*by, F.col("src_up").alias("src"), F.coalesce("dst_up", "dst").alias("dst")).where("src <> dst")
         links = cut_lineage(ends.select(*by, F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
