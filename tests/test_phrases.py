@@ -41,7 +41,7 @@ def test_no_patterns(spark):
     assert rows(phrases.pattern_runs(docs, "doc", "words", table.where("size(words) = 0"))) == []
 
 
-@pytest.mark.parametrize("name", ["rul33_pattern_edges"])
+@pytest.mark.parametrize("name", ["rul33_pattern_truth", "rul33_pattern_edges"])
 def test_places_are_not_shuffled(spark, name):
     from incidex.plans import load_all
 
