@@ -97,8 +97,8 @@ ENTROPY = f"""SELECT ctx, sum(c) AS n, count(*) AS n_partners, greatest(log2(sum
 
 
 def _pairs(t):
-    """Counts of neighbouring words."""
-    return ln.context_counts(_docs(t), "words", 1).where("ctx <> ''").select(F.col("key").alias("a"), F.col("ctx").alias("b"), "c")
+    """Counts of neighbouring words, not summed."""
+    return ln.context_counts(_docs(t), "words", 1, summed=False).where("ctx <> ''").select(F.col("key").alias("a"), F.col("ctx").alias("b"), "c")
 
 
 @query("lrn5_branching_entropy", "ctx:s n:l n_partners:l entropy:d", ENTROPY)

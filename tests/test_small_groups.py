@@ -110,3 +110,26 @@ def test_cuts_are_counted_without_dealing_positions(spark, monkeypatch):
         F.count("*").alias("n_edges"), F.count_if(F.col("v") > F.col("near")).alias("n_cuts"), F.count_if(F.isnull("near")).alias("n_null")
     )
     assert rows(got) == rows(want) and got.where("n_null > 0").count() > 0
+
+
+def test_no_stored_row_holds_more_than_a_record(spark, monkeypatch):
+    words = F.transform(F.sequence(F.lit(1), F.col("id") % 40 + 1), lambda i: F.concat(F.lit("w"), F.pmod(F.hash("id", i), F.lit(30))))
+    docs = spark.range(0, 400, 1, 2).select(F.col("id").alias("doc_id"), words.alias("words"))
+    stored = []
+    monkeypatch.setattr(learn, "cut_lineage", lambda df, cut=learn.cut_lineage: stored.append(cut(df)) or stored[-1])
+    values = spark.range(30).select(F.concat(F.lit("w"), "id").alias("token"), (F.col("id") % 9 / 4).alias("v"))
+    got = learn.local_max_counts(docs, "doc_id", "words", values)
+    assert got.count() == 400
+    for df in stored:
+        for name, kind in df.dtypes:
+            held = F.size(name) if kind.startswith("array") else F.length(F.col(name).cast("binary")) / 4 if kind in ("binary", "string") else F.lit(1)
+            assert df.agg(F.max(held)).first()[0] <= 40, name
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
+def test_entropy_of_counts_in_several_rows(spark):
+    docs = spark.createDataFrame([(i, ["a", "b", "a", "c", "a"][: 2 + i % 4]) for i in range(20)], "doc int, words array<string>").repartition(3)
+    apart, summed = (learn.context_counts(docs, "words", 1, summed=x) for x in (False, True))
+    assert apart.count() > summed.count()
+    found = [learn.branching_entropy(df.where("ctx <> ''").selectExpr("key AS a", "ctx AS b", "c")).selectExpr("ctx", "n", "n_partners", "round(entropy, 9)") for df in (apart, summed)]
+    assert rows(found[0]) == rows(found[1]) != []
